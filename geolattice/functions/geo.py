@@ -93,6 +93,25 @@ def project_onto_segment(lat: Column, lon: Column, alat, alon, blat, blon) -> Co
         F.when(len2 > 0.0, normalize_heading(F.degrees(F.atan2(dx, dy)))).otherwise(0.0).alias("bearing_deg"))
 
 
+def with_projection(df, name: str, lat: str, lon: str, alat: str, alon: str, blat: str, blon: str):
+    """``project_onto_segment`` as a column, built in steps so that generated code stays small."""
+    c = F.col
+    mx = plane_m_per_deg_lon(c(lat))
+    d = (df.withColumn("_mx", mx)
+         .withColumn("_ax", normalize_lon(c(alon) - c(lon)) * c("_mx")).withColumn("_ay", (c(alat) - c(lat)) * M_PER_DEG)
+         .withColumn("_dx", normalize_lon(c(blon) - c(lon)) * c("_mx") - c("_ax"))
+         .withColumn("_dy", (c(blat) - c(lat)) * M_PER_DEG - c("_ay"))
+         .withColumn("_l2", c("_dx") * c("_dx") + c("_dy") * c("_dy"))
+         .withColumn("_t", F.when(c("_l2") > 0.0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(
+             -(c("_ax") * c("_dx") + c("_ay") * c("_dy")), c("_l2"))))).otherwise(0.0))
+         .withColumn("_px", c("_ax") + c("_t") * c("_dx")).withColumn("_py", c("_ay") + c("_t") * c("_dy")))
+    p = F.struct((c(lat) + c("_py") / M_PER_DEG).alias("lat"), normalize_lon(c(lon) + c("_px") / c("_mx")).alias("lon"),
+                 F.sqrt(c("_px") * c("_px") + c("_py") * c("_py")).alias("distance_m"),
+                 (c("_t") * F.sqrt(c("_l2"))).alias("along_m"), F.sqrt(c("_l2")).alias("length_m"),
+                 F.when(c("_l2") > 0.0, normalize_heading(F.degrees(F.atan2(c("_dx"), c("_dy"))))).otherwise(0.0).alias("bearing_deg"))
+    return d.withColumn(name, p).drop("_mx", "_ax", "_ay", "_dx", "_dy", "_l2", "_t", "_px", "_py")
+
+
 # --- boxes: (south, west, north, east); west > east crosses the antimeridian -----------------
 
 def crosses_antimeridian(west: Column, east: Column) -> Column:

@@ -83,9 +83,21 @@ def radius_join(points: DataFrame, others: DataFrame, radius_m: float, lat: str,
     return box_join(p, others, ("_ps", "_pw", "_pn", "_pe"), box, size).drop("_ps", "_pw", "_pn", "_pe")
 
 
+FULL_CELL = 256
+
+
+def _levels(cells: DataFrame, deepest: int) -> int:
+    """0 when no radius-sized cell holds many targets, else how far the grid is refined.
+
+    One aggregate row comes back; it only decides how many grid levels the plan carries.
+    """
+    most = cells.groupBy("_row", "_col").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    return 0 if most <= FULL_CELL else deepest
+
+
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon: str, target_id: str,
-            t_lat: str, t_lon: str, radius_m: float, levels: int = 6) -> DataFrame:
-    """The nearest target within a radius, ties to the lowest id; unmatched points are left out.
+            t_lat: str, t_lon: str, radius_m: float, levels: int | None = None) -> DataFrame:
+    """The nearest target within a radius, ties (to the micrometre) to the lowest id; unmatched points are left out.
 
     Each point is searched only on the finest grid level whose own cell already holds a target: that
     target bounds the distance by the cell diagonal, so the ring of cells within a diagonal holds the
@@ -100,14 +112,20 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon:
     def cell(c: Column, lv: Column) -> Column:
         return F.floor(c / (F.lit(top) * F.pow(F.lit(0.5), lv)))
 
+    if levels is None:
+        zero = F.lit(0)
+        levels = _levels(uniq.select(cell(F.col("_tlat"), zero).alias("_row"), cell(F.col("_tlon"), zero).alias("_col")), 6)
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
     t_cells = (uniq.withColumn("_lv", lv).withColumn("_row", cell(F.col("_tlat"), F.col("_lv")))
                .withColumn("_col", cell(F.col("_tlon"), F.col("_lv"))))
     occupied = t_cells.select("_lv", "_row", "_col").distinct()
     s_cells = (spots.withColumn("_lv", lv).withColumn("_row", cell(F.col("_plat"), F.col("_lv")))
                .withColumn("_col", cell(F.col("_plon"), F.col("_lv"))))
-    home = (s_cells.join(occupied.withColumn("_occ", F.lit(1)), ["_lv", "_row", "_col"], "left")
-            .groupBy("_plat", "_plon").agg(F.coalesce(F.max(F.when(F.col("_occ") == 1, F.col("_lv"))), F.lit(0)).alias("_lv")))
+    if levels:
+        home = (s_cells.join(occupied.withColumn("_occ", F.lit(1)), ["_lv", "_row", "_col"], "left")
+                .groupBy("_plat", "_plon").agg(F.coalesce(F.max(F.when(F.col("_occ") == 1, F.col("_lv"))), F.lit(0)).alias("_lv")))
+    else:
+        home = spots.withColumn("_lv", F.lit(0))
     # a longitude degree is shorter than a latitude degree, so the ring in degrees widens with latitude
     size = F.lit(top) * F.pow(F.lit(0.5), F.col("_lv"))
     reach = F.when(F.col("_lv") > 0, 1.4143).otherwise(1.0)
@@ -123,20 +141,13 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon:
              .drop("_sp"))
     d = geo.plane_m(F.col("_plat"), F.col("_plon"), F.col("_tlat"), F.col("_tlon"))
     best = (salted_join(probe, t_cells, ["_lv", "_row", "_col"]).withColumn("_d", d).filter(F.col("_d") <= radius_m)
-            .groupBy("_plat", "_plon").agg(F.min(F.struct("_d", "_tid")).alias("_m")))
+            .groupBy("_plat", "_plon").agg(F.min(F.struct(F.round("_d", 6).alias("_k"), "_tid", "_d")).alias("_m")))
     return (pts.join(best, ["_plat", "_plon"])
             .select(F.col("_pid").alias(point_id), F.col("_m._tid").alias(target_id), F.col("_m._d").alias("distance_m")))
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels: int = 4) -> DataFrame:
-    """The nearest segment of each point within a radius: (pid, seg, distance_m, along_m, lat, lon).
-
-    ``points`` has pid, lat, lon; ``segs`` has seg, alat, alon, blat, blon. Works as ``nearest``: at
-    each grid level a segment is entered in the cells its pieces (no longer than a cell) touch, and a
-    point is searched at the finest level whose own cell holds a piece. Such a piece is at most two
-    cell diagonals away, so a ring of three cells holds the answer. Ties go to the lowest id.
-    """
-    top = radius_m / geo.M_PER_DEG
+def segment_cells(segs: DataFrame, top: float, levels: int) -> DataFrame:
+    """Grid cells (of ``top`` degrees halved per level) under the pieces of each segment, a little padded."""
     size = F.lit(top) * F.pow(F.lit(0.5), F.col("_lv"))
     span = F.greatest(F.abs(F.col("blat") - F.col("alat")), F.abs(F.col("blon") - F.col("alon")))
     cut = (segs.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels))))
@@ -147,25 +158,61 @@ def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels:
         return F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
     la, lb = at("alat", "blat", F.col("_i")), at("alat", "blat", F.col("_i") + 1)
     oa, ob = at("alon", "blon", F.col("_i")), at("alon", "blon", F.col("_i") + 1)
-    t_cells = (cut.withColumn("_row", F.explode(F.sequence(F.floor(F.least(la, lb) / size), F.floor(F.greatest(la, lb) / size))))
-               .withColumn("_col", F.explode(F.sequence(F.floor(F.least(oa, ob) / size), F.floor(F.greatest(oa, ob) / size))))
-               .select("_lv", "_row", "_col", "seg", "alat", "alon", "blat", "blon").distinct())
+    eps = 1e-9
+    rows = F.sequence(F.floor((F.least(la, lb) - eps) / size), F.floor((F.greatest(la, lb) + eps) / size))
+    cols = F.sequence(F.floor((F.least(oa, ob) - eps) / size), F.floor((F.greatest(oa, ob) + eps) / size))
+    return (cut.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols))
+            .select("_lv", "_row", "_col", "seg", "alat", "alon", "blat", "blon").distinct())
+
+
+def segments_in_radius(points: DataFrame, segs: DataFrame, radius_m: float) -> DataFrame:
+    """Every (pid, seg) within the radius, each once, with its projection ``p``.
+
+    A pair is kept only in the cell that holds the nearest point of the segment, which both sides are
+    entered in, so no distinct over pairs is needed.
+    """
+    top = radius_m / geo.M_PER_DEG
+    reach_lon = top / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("lat")))) + 1e-9
+    probe = (points.withColumn("_row", F.explode(F.sequence(F.floor((F.col("lat") - top - 1e-9) / top), F.floor((F.col("lat") + top + 1e-9) / top))))
+             .withColumn("_col", F.explode(F.sequence(F.floor((F.col("lon") - reach_lon) / top), F.floor((F.col("lon") + reach_lon) / top)))))
+    j = salted_join(probe, segment_cells(segs, top, 0).drop("_lv"), ["_row", "_col"])
+    j = geo.with_projection(j, "p", "lat", "lon", "alat", "alon", "blat", "blon")
+    here = (F.floor(F.col("p.lat") / top) == F.col("_row")) & (F.floor(F.col("p.lon") / top) == F.col("_col"))
+    return j.filter(here & (F.col("p.distance_m") <= radius_m)).select("pid", "seg", "p")
+
+
+def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels: int | None = None) -> DataFrame:
+    """The nearest segment of each point within a radius: (pid, seg, distance_m, along_m, lat, lon).
+
+    ``points`` has pid, lat, lon; ``segs`` has seg, alat, alon, blat, blon. Works as ``nearest``: at
+    each grid level a segment is entered in the cells its pieces (no longer than a cell) touch, and a
+    point is searched at the finest level whose own cell holds a piece. Such a piece is at most two
+    cell diagonals away, so a ring of three cells holds the answer. Ties go to the lowest id.
+    """
+    top = radius_m / geo.M_PER_DEG
+    size = F.lit(top) * F.pow(F.lit(0.5), F.col("_lv"))
+    if levels is None:
+        levels = _levels(segment_cells(segs, top, 0), 4)
+    t_cells = segment_cells(segs, top, levels)
     occupied = t_cells.select("_lv", "_row", "_col").distinct()
     spots = points.select("lat", "lon").distinct()
     s_cells = (spots.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels))))
                .withColumn("_row", F.floor(F.col("lat") / size)).withColumn("_col", F.floor(F.col("lon") / size)))
-    home = (s_cells.join(occupied.withColumn("_occ", F.lit(1)), ["_lv", "_row", "_col"], "left")
-            .groupBy("lat", "lon").agg(F.max(F.when(F.col("_occ") == 1, F.col("_lv"))).alias("_found"))
-            .withColumn("_lv", F.coalesce("_found", F.lit(0))))
+    if levels:
+        home = (s_cells.join(occupied.withColumn("_occ", F.lit(1)), ["_lv", "_row", "_col"], "left")
+                .groupBy("lat", "lon").agg(F.max(F.when(F.col("_occ") == 1, F.col("_lv"))).alias("_found"))
+                .withColumn("_lv", F.coalesce("_found", F.lit(0))))
+    else:
+        home = spots.withColumn("_found", F.lit(0)).withColumn("_lv", F.lit(0))
     ring = F.when(F.col("_found") > 1, 3.0).otherwise(F.pow(F.lit(2.0), F.col("_lv")))
     lat_reach = size * ring
     lon_reach = lat_reach / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("lat"))))
     probe = (home.withColumn("_row", F.explode(F.sequence(F.floor((F.col("lat") - lat_reach) / size), F.floor((F.col("lat") + lat_reach) / size))))
              .withColumn("_col", F.explode(F.sequence(F.floor((F.col("lon") - lon_reach) / size), F.floor((F.col("lon") + lon_reach) / size)))))
-    pr = geo.project_onto_segment(F.col("lat"), F.col("lon"), *[F.col(c) for c in ("alat", "alon", "blat", "blon")])
-    best = (salted_join(probe, t_cells, ["_lv", "_row", "_col"]).withColumn("_p", pr)
-            .filter(F.col("_p.distance_m") <= radius_m)
-            .groupBy("lat", "lon").agg(F.min(F.struct(F.col("_p.distance_m").alias("d"), "seg", F.col("_p").alias("p"))).alias("_m")))
+    near = geo.with_projection(salted_join(probe, t_cells, ["_lv", "_row", "_col"]), "_p", "lat", "lon", "alat", "alon", "blat", "blon")
+    best = (near.filter(F.col("_p.distance_m") <= radius_m)
+            .groupBy("lat", "lon").agg(F.min(F.struct(F.round("_p.distance_m", 6).alias("k"), "seg", F.col("_p.distance_m").alias("d"),
+                                                      F.col("_p").alias("p"))).alias("_m")))
     return points.join(best, ["lat", "lon"]).select(
         "pid", F.col("_m.seg").alias("seg"), F.col("_m.d").alias("distance_m"), F.col("_m.p.along_m").alias("along_m"),
         F.col("_m.p.lat").alias("on_lat"), F.col("_m.p.lon").alias("on_lon"))

@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ["features", "spatial"]
+FAMILIES = ["features", "spatial", "tracks"]
 for _m in FAMILIES:
     importlib.import_module(f"{__name__}.{_m}")
 

@@ -212,9 +212,8 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, phone).when(k % 3 == 1, mail).otherwise(web).alias("url"))
 
 
-@query("F8_match_quality", """WITH d AS (SELECT doc_id, lower(substr(text, 1, 40)) AS c0 FROM documents),
- q AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(substr(text, 1, 3)), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> ''), ' ') AS q,
-  list_filter(regexp_split_to_array(lower(substr(text, 1, 3)), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> '') AS qt FROM benchmark),
+@query("F8_match_quality", """WITH q AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(translate(substr(text, 1, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> ''), ' ') AS q,
+  list_filter(regexp_split_to_array(translate(substr(text, 1, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> '') AS qt FROM benchmark),
  d2 AS (SELECT doc_id, translate(substr(text, 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM documents),
  m AS (SELECT doc_id, item_id, CASE WHEN len(qt) = 0 OR c = q THEN 0 WHEN starts_with(c, q) THEN 1
   WHEN len(list_filter(qt, lambda t: len(list_filter(regexp_split_to_array(c, '[ \\n\\t\\r\\f\\x0B]+'), lambda w: starts_with(w, t))) = 0)) = 0 THEN 2 ELSE -1 END AS quality FROM d2, q)

@@ -18,7 +18,7 @@ def sql_norm(x):
 
 
 def sql_plane(lat, lon, lat2, lon2):
-    return (f"sqrt(pow({sql_norm(f'{lon2} - {lon}')}*111195.07973463384e0*cos(radians({lat})), 2) + pow(({lat2} - {lat})*111195.07973463384e0, 2))")
+    return (f"sqrt(pow({sql_norm(f'{lon2} - {lon}')}*111195.08023353292e0*cos(radians({lat})), 2) + pow(({lat2} - {lat})*111195.08023353292e0, 2))")
 
 
 def sql_lon_overlap(w1, e1, w2, e2):
@@ -49,7 +49,7 @@ def _(spark, sf):
     return p.select("id", F.round(r.range_m, 2).alias("range_m"), F.round(r.bearing_deg, 5).alias("bearing_deg"))
 
 
-@query("F5_boxes", with_ctes("boxes") + """SELECT cov_id, round((c_s + c_n)/2, 6) AS mid_lat, round(c_s - 50000/111195.07973463384e0, 6) AS around_s FROM boxes""")
+@query("F5_boxes", with_ctes("boxes") + """SELECT cov_id, round((c_s + c_n)/2, 6) AS mid_lat, round(c_s - 50000/111195.08023353292e0, 6) AS around_s FROM boxes""")
 def _(spark, sf):
     b = derived(spark, sf, "boxes")
     box = [F.col(c) for c in ("c_s", "c_w", "c_n", "c_e")]
@@ -110,8 +110,8 @@ def segments(spark, sf):
 
 
 SEGS = POST + """, segs AS (SELECT a.id AS seg, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM town a JOIN town b ON b.id = a.id + 37
- WHERE abs(a.lat - b.lat) < 0.04e0 AND abs(a.lon - b.lon) < 0.05e0), v AS (SELECT sid, seg, (alon - slon)*111195.07973463384e0*cos(radians(slat)) AS ax, (alat - slat)*111195.07973463384e0 AS ay,
- (blon - slon)*111195.07973463384e0*cos(radians(slat)) AS bx, (blat - slat)*111195.07973463384e0 AS by_ FROM stops, segs),
+ WHERE abs(a.lat - b.lat) < 0.04e0 AND abs(a.lon - b.lon) < 0.05e0), v AS (SELECT sid, seg, (alon - slon)*111195.08023353292e0*cos(radians(slat)) AS ax, (alat - slat)*111195.08023353292e0 AS ay,
+ (blon - slon)*111195.08023353292e0*cos(radians(slat)) AS bx, (blat - slat)*111195.08023353292e0 AS by_ FROM stops, segs),
  t AS (SELECT *, least(1e0, greatest(0e0, -(ax*(bx - ax) + ay*(by_ - ay))/((bx - ax)*(bx - ax) + (by_ - ay)*(by_ - ay)))) AS t FROM v),
  d AS (SELECT sid, seg, sqrt(pow(ax + t*(bx - ax), 2) + pow(ay + t*(by_ - ay), 2)) AS d, t*sqrt((bx - ax)*(bx - ax) + (by_ - ay)*(by_ - ay)) AS along FROM t) """
 
