@@ -109,7 +109,8 @@ def with_projection(df, name: str, lat: str, lon: str, alat: str, alon: str, bla
                  F.sqrt(c("_px") * c("_px") + c("_py") * c("_py")).alias("distance_m"),
                  (c("_t") * F.sqrt(c("_l2"))).alias("along_m"), F.sqrt(c("_l2")).alias("length_m"),
                  F.when(c("_l2") > 0.0, normalize_heading(F.degrees(F.atan2(c("_dx"), c("_dy"))))).otherwise(0.0).alias("bearing_deg"))
-    return d.withColumn(name, p).drop("_mx", "_ax", "_ay", "_dx", "_dy", "_l2", "_t", "_px", "_py")
+    # one-element explode: later filters on the result are not pushed back through the steps
+    return d.withColumn(name, F.explode(F.array(p))).drop("_mx", "_ax", "_ay", "_dx", "_dy", "_l2", "_t", "_px", "_py")
 
 
 # --- boxes: (south, west, north, east); west > east crosses the antimeridian -----------------

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .ordered import Ordered, asof, time_chunk
 
@@ -132,23 +134,26 @@ def seaward(heading: Column, faces: Column) -> Column:
 ZENITH = 90.833
 
 
+@F.pandas_udf(T.StructType().add("decl", "double").add("eot", "double"))
+def _solar(t: pd.Series) -> pd.DataFrame:
+    """Declination (radians) and equation of time (minutes) at epoch seconds."""
+    c = ((t.to_numpy() / 86400.0 + 2440587.5) - 2451545.0) / 36525.0
+    l0 = np.radians(np.fmod(280.46646 + c * (36000.76983 + c * 0.0003032), 360.0))
+    m = np.radians(357.52911 + c * (35999.05029 - 0.0001537 * c))
+    e = 0.016708634 - c * (0.000042037 + 0.0000001267 * c)
+    om = np.radians(125.04 - 1934.136 * c)
+    center = (np.sin(m) * (1.914602 - c * (0.004817 + 0.000014 * c)) + np.sin(2 * m) * (0.019993 - 0.000101 * c) + np.sin(3 * m) * 0.000289)
+    lam = l0 + np.radians(center - 0.00569 - 0.00478 * np.sin(om))
+    tilt = 23.0 + (26.0 + (21.448 - c * (46.815 + c * (0.00059 - c * 0.001813))) / 60.0) / 60.0
+    eps = np.radians(tilt + 0.00256 * np.cos(om))
+    y = np.tan(eps / 2) ** 2
+    eot = (y * np.sin(2 * l0) - 2 * e * np.sin(m) + 4 * e * y * np.sin(m) * np.cos(2 * l0) - 0.5 * y * y * np.sin(4 * l0) - 1.25 * e * e * np.sin(2 * m))
+    return pd.DataFrame({"decl": np.arcsin(np.sin(eps) * np.sin(lam)), "eot": 4.0 * np.degrees(eot)})
+
+
 def _with_sun(df: DataFrame, at: Column, tag: str) -> DataFrame:
-    """Adds declination (radians) and equation of time (minutes) at a time, in steps."""
-    c = F.col
-    d = df.withColumn("_c", ((at / 86400.0 + 2440587.5) - 2451545.0) / 36525.0)
-    d = (d.withColumn("_l0", F.radians((280.46646 + c("_c") * (36000.76983 + c("_c") * 0.0003032)) % 360.0))
-         .withColumn("_m", F.radians(357.52911 + c("_c") * (35999.05029 - 0.0001537 * c("_c"))))
-         .withColumn("_e", 0.016708634 - c("_c") * (0.000042037 + 0.0000001267 * c("_c")))
-         .withColumn("_om", F.radians(125.04 - 1934.136 * c("_c"))))
-    center = (F.sin("_m") * (1.914602 - c("_c") * (0.004817 + 0.000014 * c("_c"))) + F.sin(2 * c("_m")) * (0.019993 - 0.000101 * c("_c")) + F.sin(3 * c("_m")) * 0.000289)
-    tilt = 23.0 + (26.0 + (21.448 - c("_c") * (46.815 + c("_c") * (0.00059 - c("_c") * 0.001813))) / 60.0) / 60.0
-    d = (d.withColumn("_lam", c("_l0") + F.radians(center - 0.00569 - 0.00478 * F.sin("_om")))
-         .withColumn("_eps", F.radians(tilt + 0.00256 * F.cos("_om")))
-         .withColumn("_y", F.pow(F.tan(c("_eps") / 2), 2)))
-    eot = (c("_y") * F.sin(2 * c("_l0")) - 2 * c("_e") * F.sin("_m") + 4 * c("_e") * c("_y") * F.sin("_m") * F.cos(2 * c("_l0"))
-           - 0.5 * c("_y") * c("_y") * F.sin(4 * c("_l0")) - 1.25 * c("_e") * c("_e") * F.sin(2 * c("_m")))
-    return d.withColumn(f"decl{tag}", F.asin(F.sin("_eps") * F.sin("_lam"))).withColumn(f"eot{tag}", 4.0 * F.degrees(eot)).drop(
-        "_c", "_l0", "_m", "_e", "_om", "_lam", "_eps", "_y")
+    d = df.withColumn("_at", at).withColumn("_sun", _solar(F.col("_at")))
+    return d.withColumn(f"decl{tag}", F.col("_sun.decl")).withColumn(f"eot{tag}", F.col("_sun.eot")).drop("_sun", "_at")
 
 
 def _event(df: DataFrame, tag: str) -> DataFrame:
@@ -157,7 +162,8 @@ def _event(df: DataFrame, tag: str) -> DataFrame:
     noon = 720.0 - 4.0 * F.col("lon") - F.col(f"eot{tag}")
     d = df.withColumn("_ch", cos_h)
     h = F.when(F.abs("_ch") <= 1, F.degrees(F.acos("_ch")))
-    return d.withColumn(f"t{tag}", F.col("day") * 86400.0 + (noon + F.when(F.col("rise"), -4.0).otherwise(4.0) * h) * 60.0).drop("_ch")
+    # one-element explode: filters on the time are not pushed back through the formula
+    return d.withColumn(f"t{tag}", F.explode(F.array(F.col("day") * 86400.0 + (noon + F.when(F.col("rise"), -4.0).otherwise(4.0) * h) * 60.0))).drop("_ch")
 
 
 def sun_events(places: DataFrame) -> DataFrame:

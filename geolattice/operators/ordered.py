@@ -46,20 +46,20 @@ class Ordered:
         return out
 
     def _neighbour(self, values: dict[str, Column], reverse: bool) -> "Ordered":
-        packed = self.df.withColumn("_v", F.struct(*[c.alias(n) for n, c in values.items()]))
+        packed = self.df.withColumn("_ov", F.struct(*[c.alias(n) for n, c in values.items()]))
         key = F.struct(*[F.col(c) for c in self.order])
-        edge = (F.min_by if reverse else F.max_by)(F.col("_v"), key)
-        carry = (packed.groupBy(*self._on).agg(edge.alias("_edge"))
-                 .withColumn("_carry", F.lag("_edge").over(self._outer(reverse))).drop("_edge"))
+        edge = (F.min_by if reverse else F.max_by)(F.col("_ov"), key)
+        carry = (packed.groupBy(*self._on).agg(edge.alias("_oe"))
+                 .withColumn("_oc", F.lag("_oe").over(self._outer(reverse))).drop("_oe"))
         # a left join: every chunk has its own carry row, and a left join never inverts the big side
-        out = (packed.withColumn("_n", F.lag("_v").over(self._inner(reverse)))
+        out = (packed.withColumn("_on", F.lag("_ov").over(self._inner(reverse)))
                .join(carry, self._on, "left")
-               .withColumn("_n", F.coalesce("_n", "_carry")))
-        drop = ["_v", "_n", "_carry"]
-        return self._with(out.select("*", *[F.col(f"_n.{n}").alias(f"{'next' if reverse else 'prev'}_{n}")
+               .withColumn("_on", F.coalesce("_on", "_oc")))
+        drop = ["_ov", "_on", "_oc"]
+        return self._with(out.select("*", *[F.col(f"_on.{n}").alias(f"{'next' if reverse else 'prev'}_{n}")
                                             for n in values],
-                                     *([] if reverse else [F.col("_n").isNull().alias("is_first")]),
-                                     *([F.col("_n").isNull().alias("is_last")] if reverse else [])).drop(*drop))
+                                     *([] if reverse else [F.col("_on").isNull().alias("is_first")]),
+                                     *([F.col("_on").isNull().alias("is_last")] if reverse else [])).drop(*drop))
 
     def previous(self, **values: Column) -> "Ordered":
         """Adds ``prev_<name>`` from the row before, and ``is_first``."""

@@ -122,7 +122,7 @@ def trip_step(min_move_m: float, tau_s: float):
             if not seen:
                 lat, lon, t, seen = r.lat, r.lon, rt, True
             else:
-                d = float(geodesy.inverse([lat], [lon], [r.lat], [r.lon])[0][0])
+                d = geodesy.inverse_m(lat, lon, r.lat, r.lon)
                 dt = None if t is None or rt is None else rt - t
                 if d >= min_move_m:
                     odo += d

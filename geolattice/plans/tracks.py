@@ -116,11 +116,11 @@ def probes(spark, sf):
     return table(spark, sf, "orders").select(k.alias("pid"), (k % 150).alias("track"), (1704000000.0 + (k * 7919) % 2764800).alias("t"))
 
 
-@query("J17_track_state", FX + f""", {PROBE}, ab AS (SELECT p.*, a.t AS at, a.lat AS alat, a.lon AS alon, a.speed AS aspd, b.t AS bt, b.lat AS blat, b.lon AS blon, b.speed AS bspd
+@query("J17_track_state", FX + f""", {PROBE}, ab AS (SELECT p.*, a.t AS ta, a.lat AS alat, a.lon AS alon, a.speed AS aspd, b.t AS tb, b.lat AS blat, b.lon AS blon, b.speed AS bspd
  FROM probe p ASOF LEFT JOIN fixes a ON p.track = a.track AND p.t >= a.t ASOF LEFT JOIN fixes b ON p.track = b.track AND p.t < b.t)
- SELECT pid, CASE WHEN at IS NULL THEN 'before' WHEN bt IS NULL AND t > at THEN 'after' ELSE 'during' END AS phase,
- round(CASE WHEN at IS NULL THEN blat WHEN bt IS NULL THEN alat ELSE alat + (t - at)/(bt - at)*(blat - alat) END, 6) AS lat, round(CASE WHEN at IS NULL THEN blon WHEN bt IS NULL THEN alon ELSE alon + (t - at)/(bt - at)*(blon - alon) END, 6) AS lon,
- round(CASE WHEN at IS NULL THEN bspd WHEN bt IS NULL OR aspd IS NULL OR bspd IS NULL THEN aspd ELSE aspd + (t - at)/(bt - at)*(bspd - aspd) END, 5) AS speed FROM ab""")
+ SELECT pid, CASE WHEN ta IS NULL THEN 'before' WHEN tb IS NULL AND t > ta THEN 'after' ELSE 'during' END AS phase,
+ round(CASE WHEN ta IS NULL THEN blat WHEN tb IS NULL THEN alat ELSE alat + (t - ta)/(tb - ta)*(blat - alat) END, 6) AS lat, round(CASE WHEN ta IS NULL THEN blon WHEN tb IS NULL THEN alon ELSE alon + (t - ta)/(tb - ta)*(blon - alon) END, 6) AS lon,
+ round(CASE WHEN ta IS NULL THEN bspd WHEN tb IS NULL OR aspd IS NULL OR bspd IS NULL THEN aspd ELSE aspd + (t - ta)/(tb - ta)*(bspd - aspd) END, 5) AS speed FROM ab""")
 def _(spark, sf):
     return tr.state_at(probes(spark, sf), derived(spark, sf, "fixes")).select("pid", "phase", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("speed", 5).alias("speed"))
 
