@@ -134,23 +134,24 @@ def direction(tags: Column, klass: Column) -> Column:
             .when(falsy(o), "both").when(implied, "forward").otherwise("both"))
 
 
-def way_attributes(tags: Column) -> list[Column]:
-    """Everything the graph keeps from a way's own tags."""
-    k = road_class(tags)
-    posted = F.when(k == "ferry", 0).otherwise(maxspeed_kph(F.coalesce(tag(tags, "maxspeed"), F.lit(""))))
-    a, d = mode_access(tags), direction(tags, k)
-    right, left = side_provision(tags, "right"), side_provision(tags, "left")
-
-    def traffic(p, side):
-        return F.when(F.coalesce(tag(tags, f"cycleway:{side}:oneway") == "-1", F.lit(False)), 0).otherwise(p)
-    best = F.greatest(traffic(right, "right"), traffic(left, "left"))
-    return [k.alias("klass"), F.when(posted > 0, posted).otherwise(default_kph(k)).cast("int").alias("speed_kph"), (posted > 0).alias("speed_posted"),
-            d.alias("dir"), lanes(F.coalesce(tag(tags, "lanes"), F.lit(""))).alias("lanes"), surface_class(tag(tags, "surface")).alias("surface"),
-            F.when(k == "ferry", duration_s(F.coalesce(tag(tags, "duration"), F.lit("")))).otherwise(0).alias("duration_s"),
-            *[F.coalesce(a[m], F.lit("allowed")).alias(f"{m}_access") for m in ("bicycle", "foot", "motor")],
-            truthy(tag(tags, "toll")).alias("toll"),
-            F.when(d == "both", right).when(d == "forward", best).otherwise(0).alias("bike_fwd"),
-            F.when(d == "both", left).when(d == "backward", best).otherwise(0).alias("bike_bwd")]
+def with_way_attributes(df):
+    """Everything the graph keeps from a way's own tags, added in steps (each step reads earlier columns)."""
+    t, c = F.col("tags"), F.col
+    a = mode_access(t)
+    d = df.withColumn("klass", road_class(t)).withColumn("_posted", maxspeed_kph(F.coalesce(tag(t, "maxspeed"), F.lit(""))))
+    d = d.withColumn("_posted", F.when(c("klass") == "ferry", 0).otherwise(c("_posted"))).withColumn("dir", direction(t, c("klass")))
+    d = d.withColumn("_right", side_provision(t, "right")).withColumn("_left", side_provision(t, "left"))
+
+    def traffic(side):
+        return F.when(F.coalesce(tag(t, f"cycleway:{side}:oneway") == "-1", F.lit(False)), 0).otherwise(c(f"_{side}"))
+    d = d.withColumn("_best", F.greatest(traffic("right"), traffic("left")))
+    both = c("dir") == "both"
+    return d.select(*df.columns, "klass", F.when(c("_posted") > 0, c("_posted")).otherwise(default_kph(c("klass"))).cast("int").alias("speed_kph"), (c("_posted") > 0).alias("speed_posted"),
+                    "dir", lanes(F.coalesce(tag(t, "lanes"), F.lit(""))).alias("lanes"), surface_class(tag(t, "surface")).alias("surface"),
+                    F.when(c("klass") == "ferry", duration_s(F.coalesce(tag(t, "duration"), F.lit("")))).otherwise(0).alias("duration_s"),
+                    *[F.coalesce(a[m], F.lit("allowed")).alias(f"{m}_access") for m in ("bicycle", "foot", "motor")], truthy(tag(t, "toll")).alias("toll"),
+                    F.when(both, c("_right")).when(c("dir") == "forward", c("_best")).otherwise(0).alias("bike_fwd"),
+                    F.when(both, c("_left")).when(c("dir") == "backward", c("_best")).otherwise(0).alias("bike_bwd"))
 
 
 def is_signal(tags: Column) -> Column:

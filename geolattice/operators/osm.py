@@ -26,7 +26,7 @@ def merge_inputs(inputs: list[DataFrame], key: str = "id") -> DataFrame:
 def kept_ways(ways: DataFrame, **options) -> DataFrame:
     """Ways (way, refs, tags) the graph keeps, with their attributes."""
     t = F.col("tags")
-    return ways.withColumn("verdict", tg.verdict(t, **options)).filter("verdict = 'kept'").select("way", "refs", "tags", *tg.way_attributes(t))
+    return tg.with_way_attributes(ways.filter(tg.verdict(t, **options) == "kept").select("way", "refs", "tags"))
 
 
 def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:

