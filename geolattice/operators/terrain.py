@@ -235,18 +235,27 @@ def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005, max_round
 
     Nodes: node, elev (null to fill), fallback. Links: u, v, length. Only the nodes being filled move.
     """
-    both = cut_lineage(links.select("u", "v", "length").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "length")).withColumn("w", 1 / F.greatest(F.lit(1e-3), F.col("length"))))
-    cur = cut_lineage(nodes.select("node", "elev", "fallback", F.col("elev").isNotNull().alias("fixed")))
+    w = 1 / F.greatest(F.lit(1e-3), F.col("length"))
+    both = links.select("u", "v", w.alias("w")).union(links.select(F.col("v").alias("u"), F.col("u").alias("v"), w.alias("w")))
+    free = cut_lineage(nodes.filter(F.col("elev").isNull()).select("node"))
+    both = both.join(free.select(F.col("node").alias("u")), "u", "left_semi")
+    known = nodes.filter(F.col("elev").isNotNull()).select(F.col("node").alias("v"), "elev")
+    # what fixed neighbours contribute never changes; only links between free nodes are visited again
+    base = both.join(known, "v").groupBy("u").agg(F.sum(F.col("w") * F.col("elev")).alias("n0"), F.sum("w").alias("d0"))
+    inner = cut_lineage(both.join(free.select(F.col("node").alias("v")), "v", "left_semi"))
+    start = free.withColumnRenamed("node", "u").join(base, "u", "left").select("u", F.coalesce("n0", F.lit(0.0)).alias("n0"), F.coalesce("d0", F.lit(0.0)).alias("d0"))
+    cur = cut_lineage(start.withColumn("e", F.try_divide("n0", "d0")))
     for _ in range(max_rounds):
-        nb = both.join(cur.select(F.col("node").alias("v"), F.col("elev").alias("_e")).filter(F.col("_e").isNotNull()), "v")
-        nb = nb.join(cur.filter(~F.col("fixed")).select(F.col("node").alias("u")), "u", "left_semi")
-        mean = nb.groupBy("u").agg((F.sum(F.col("w") * F.col("_e")) / F.sum("w")).alias("_m"))
-        nxt = cut_lineage(cur.join(mean, cur.node == mean.u, "left").select("node", F.when(F.col("fixed"), F.col("elev")).otherwise(F.coalesce("_m", "elev")).alias("elev"), "fallback", "fixed",
-                                                                            F.when(~F.col("fixed"), F.abs(F.col("_m") - F.coalesce("elev", F.lit(1e9)))).alias("move")))
-        top = nxt.agg(F.max("move")).first()[0]
-        cur = nxt.drop("move")
+        old = cur
+        for _sweep in range(4):
+            nb = inner.join(cur.select(F.col("u").alias("v"), "e"), "v").filter(F.col("e").isNotNull()).groupBy("u").agg(F.sum(F.col("w") * F.col("e")).alias("n1"), F.sum("w").alias("d1"))
+            before = cur
+            cur = before.join(nb, "u", "left").select("u", "n0", "d0", F.try_divide(F.col("n0") + F.coalesce("n1", F.lit(0.0)), F.col("d0") + F.coalesce("d1", F.lit(0.0))).alias("e"))
+        cur = cut_lineage(cur)
+        top = cur.join(old.select("u", F.col("e").alias("_o")), "u").agg(F.max(F.abs(F.col("e") - F.coalesce("_o", F.lit(1e9))))).first()[0]
         if top is None or top < tol:
             break
+    cur = nodes.join(cur.select(F.col("u").alias("node"), "e"), "node", "left").select("node", F.coalesce("elev", "e").alias("elev"), "fallback")
     return cur.select("node", F.coalesce("elev", "fallback", F.lit(0.0)).alias("elev"))
 
 

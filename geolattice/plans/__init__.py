@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ["features", "spatial", "tracks", "roads", "terrain"]
+FAMILIES = ["features", "spatial", "tracks", "roads", "terrain", "feeds"]
 for _m in FAMILIES:
     importlib.import_module(f"{__name__}.{_m}")
 

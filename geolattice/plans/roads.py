@@ -27,7 +27,7 @@ def osm_ways(spark, sf):
              "lanes": pick(6, "2", "4;5"), "bicycle": pick(8, "yes"), "cycleway:right": pick(10, "lane", "track")}
     pairs = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("key"), v.alias("value"))) for n, v in cells.items()]))
     # one-element explode keeps the derived map from being rebuilt inside every tag reader
-    return table(spark, sf, "orders").select(k.alias("way"), refs.alias("refs"), F.explode(F.array(F.map_from_entries(pairs))).alias("tags"))
+    return table(spark, sf, "orders").repartition("o_orderkey").select(k.alias("way"), refs.alias("refs"), F.explode(F.array(F.map_from_entries(pairs))).alias("tags"))
 
 
 def osm_nodes(spark, sf):
