@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .geo import EARTH_R, lit
+from .geo import EARTH_R, lit, pinned
 from .nmea import KNOT, checksum
 
 # MMSI ranges by kind; kinds that stay where they are.
@@ -105,6 +105,7 @@ def decode(df: DataFrame, bits: str = "bits") -> DataFrame:
         for cond, e in reversed(arms):
             out = F.when(cond, e).otherwise(out)
         d = d.withColumn(name, out)
+    d = pinned(d, _raw=F.struct(*raw)).drop(*raw).select("*", "_raw.*").drop("_raw")
     name = F.when(ty == 5, text(b, 112, 20)).when(ty == 19, text(b, 143, 20)).when(ty == 21, F.concat(text(b, 43, 20), text(b, 272, 14))).when((ty == 24) & (u(b, 38, 2) == 0), text(b, 40, 20))
     call = F.when(ty == 5, text(b, 70, 7)).when((ty == 24) & (u(b, 38, 2) == 1), text(b, 90, 7))
     d = d.withColumn("name", name).withColumn("call_sign", call).withColumn("destination", F.when(ty == 5, text(b, 302, 20)))

@@ -18,6 +18,17 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def pinned(df, **cols):
+    """Adds columns that later filters and projections read as they are.
+
+    A one-element explode stops the optimizer from writing a long expression out again in every place
+    that reads it, which would otherwise grow with each step.
+    """
+    for n, c in cols.items():
+        df = df.withColumn(n, F.explode(F.array(c)))
+    return df
+
+
 def normalize_lon(lon: Column) -> Column:
     """Longitude into (-180, 180]; both +180 and -180 become +180."""
     r = F.pmod(lit(lon) + 180.0, F.lit(360.0))

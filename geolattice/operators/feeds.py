@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import ais, nmea
+from ..functions import ais, geo, nmea
 from .ordered import Ordered, time_chunk
 
 CHUNK = 86400.0
@@ -17,8 +17,9 @@ FRAGMENT_S, DROP_S, STALE_S = 10.0, 1800.0, 360.0
 
 def sentences(lines: DataFrame) -> DataFrame:
     """AIS sentences of the feed with their fields; a line that fails its checks keeps a null ``f``."""
-    d = lines.withColumn("_s", ais.split_tag(F.col("line"))).filter(ais.is_vdm(F.col("_s.sentence")))
-    return d.withColumn("tag", F.col("_s.tag")).withColumn("f", F.when(ais.sentence_ok(F.col("_s.sentence")), ais.sentence_fields(F.col("_s.sentence")))).drop("_s")
+    d = geo.pinned(lines, _s=ais.split_tag(F.col("line"))).filter(ais.is_vdm(F.col("_s.sentence")))
+    d = geo.pinned(d, _ok=ais.sentence_ok(F.col("_s.sentence")))
+    return geo.pinned(d, f=F.when(F.col("_ok"), ais.sentence_fields(F.col("_s.sentence")))).withColumn("tag", F.col("_s.tag")).drop("_s", "_ok")
 
 
 def assemble(sents: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def assemble(sents: DataFrame) -> DataFrame:
 def messages(assembled: DataFrame) -> DataFrame:
     """Decoded messages; the outcome tells decoded, unsupported and error apart."""
     m = assembled.filter("outcome = 'message'").drop("outcome")
-    m = m.withColumn("bits", F.explode(F.array(ais.payload_bits(F.col("payload"), F.col("fill")))))
+    m = geo.pinned(m, bits=ais.payload_bits(F.col("payload"), F.col("fill")))
     return ais.decode(m).drop("bits")
 
 
@@ -107,9 +108,9 @@ def alarms(cpa_rows: DataFrame, cpa_m: float = 926.0, tcpa_s: float = 600.0, rel
     off = F.coalesce(c("stale"), F.lit(False)) | c("cpa_m").isNull() | (c("tcpa_s") < 0)
     inside = ~off & (c("cpa_m") <= cpa_m) & (c("tcpa_s") <= tcpa_s)
     outside = off | (c("cpa_m") > release * cpa_m) | (c("tcpa_s") > release * tcpa_s)
-    o = Ordered(cpa_rows, ["mmsi"], ["t", "seq"], time_chunk(c("t"), CHUNK)).running(lasts={"_on": F.when(inside, True).when(outside, False)})
-    o = o.previous(on=F.coalesce("_on", F.lit(False))).result()
-    on, was = F.coalesce("_on", F.lit(False)), F.coalesce("prev_on", F.lit(False))
+    o = Ordered(cpa_rows, ["mmsi"], ["t", "seq"], time_chunk(c("t"), CHUNK)).running(lasts={"_alarm": F.when(inside, True).when(outside, False)})
+    o = o.previous(on=F.coalesce("_alarm", F.lit(False))).result()
+    on, was = F.coalesce("_alarm", F.lit(False)), F.coalesce("prev_on", F.lit(False))
     return o.filter(on != was).select("mmsi", "t", "seq", F.when(on, "raised").otherwise("cleared").alias("event"))
 
 

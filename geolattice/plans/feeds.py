@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ais, nmea
+from ..functions import ais, geo, nmea
 from ..operators import feeds as fd
 from ..streaming import jobs
 from .derived import derived, table, with_ctes
@@ -13,7 +13,7 @@ EV = """WITH ev AS (SELECT event_id AS k, user_id AS feed, epoch_us(ts)/1000000
 
 
 def events(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").repartition("event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(F.col("event_id").alias("k"), F.col("user_id").alias("feed"), (F.floor(us / 1000) / 1e3).alias("t"), F.col("event_type").alias("kind"), "value")
 
@@ -24,9 +24,10 @@ def nmea_lines(spark, sf):
     lat, lon = 32.5 + (k % 9700) / 60000.0, -80.0 - (k % 8900) / 60000.0
     rmc = nmea.build_rmc(F.col("t"), lat, lon, (k % 50) / 2.0, (k % 3600) / 10.0)
     gga = nmea.build_gga(F.col("t"), lat, lon, F.when(k % 7 == 0, 3).otherwise(8), F.lit(1.2), (k % 500) / 10.0)
-    gga = F.when(k % 31 == 0, F.concat(F.substring(gga, 1, 20), F.lit("9"), F.substring(gga, 22, 100))).otherwise(gga)
     vtg = nmea.build_vtg((k % 3600) / 10.0, (k % 50) / 2.0)
-    return e.select("feed", "t", F.posexplode(F.array(rmc, gga, vtg)).alias("i", "line"), "k").select("feed", "t", (F.col("k") * 3 + F.col("i")).alias("seq"), "line", "k")
+    e = geo.pinned(e, rmc=rmc, gga=gga, vtg=vtg)
+    gga = F.when(k % 31 == 0, F.concat(F.substring("gga", 1, 20), F.lit("9"), F.substring("gga", 22, 100))).otherwise(F.col("gga"))
+    return e.select("feed", "t", F.posexplode(F.array(F.col("rmc"), gga, F.col("vtg"))).alias("i", "line"), "k").select("feed", "t", (F.col("k") * 3 + F.col("i")).alias("seq"), "line", "k")
 
 
 @query("F16_F17_nmea_parse", EV + """, x AS (SELECT k, i FROM ev, range(0, 3) r(i) WHERE NOT (i = 1 AND k % 31 = 0))
@@ -80,10 +81,11 @@ def ais_lines(spark, sf):
     p18 = F.concat(b(F.lit(18), 6), b(zero, 2), b(mmsi, 30), b(zero, 8), b(sog, 10), b(zero, 1), b(lon, 28), b(lat, 27), b(cog, 12), b(hdg, 9), b(k % 64, 6), b(zero, 29))
     p5 = F.concat(b(F.lit(5), 6), b(zero, 2), b(mmsi, 30), b(zero, 2), b(k, 30), tb(F.concat(F.lit("CS"), (k % 1000).cast("string")), 7), tb(F.concat(F.lit("SHIP "), k.cast("string")), 20), b(k % 100, 8),
                   b(k % 300, 9), b(k % 200, 9), b(k % 40, 6), b(k % 30, 6), b(zero, 4), b(zero, 20), b(k % 200, 8), tb(F.lit("PORT A"), 20), b(zero, 4))
-    pay5 = ais.armour(p5)
-    single = ais.vdm(ais.armour(F.when(k % 2 == 0, p1).otherwise(p18)))
-    single = F.when(k % 37 == 0, F.concat(F.substring(single, 1, 20), F.lit("0"), F.substring(single, 22, 100))).otherwise(single)
-    first, second = ais.vdm(F.substring(pay5, 1, 36), 2, 1, "3", "B"), ais.vdm(F.substring(pay5, 37, 100), 2, 2, "3", "B")
+    e = geo.pinned(e, bits=F.when(k % 2 == 0, p1).otherwise(p18), bits5=F.when(k % 9 == 0, p5).otherwise(""))
+    e = geo.pinned(e, pay=ais.armour(F.col("bits")), pay5=F.when(k % 9 == 0, ais.armour(F.col("bits5"))))
+    e = geo.pinned(e, single=ais.vdm(F.col("pay")), first=F.when(k % 9 == 0, ais.vdm(F.substring("pay5", 1, 36), 2, 1, "3", "B")), second=F.when(k % 9 == 0, ais.vdm(F.substring("pay5", 37, 100), 2, 2, "3", "B")))
+    first, second = F.col("first"), F.col("second")
+    single = F.when(k % 37 == 0, F.concat(F.substring("single", F.lit(1), F.length("single") - 2), F.lit("ZZ"))).otherwise(F.col("single"))
     parts = F.when(k % 9 == 0, F.when(k % 5 == 0, F.array(single, second)).otherwise(F.array(single, first, first, second))).otherwise(F.array(single))
     return e.select("feed", "t", "k", F.posexplode(parts).alias("i", "line")).select("feed", "t", (F.col("k") * 4 + F.col("i")).alias("seq"), "line", "k")
 
@@ -100,7 +102,7 @@ def _(spark, sf):
 
 
 @query("T2_assemble_fragments", AISX + """, o AS (SELECT 'bad line' AS outcome, count(*) AS n FROM m WHERE k % 37 = 0 UNION ALL SELECT 'message', (SELECT count(*) FROM m WHERE k % 37 <> 0) + (SELECT count(*) FROM m WHERE k % 9 = 0 AND k % 5 <> 0)
- UNION ALL SELECT 'orphan', count(*) FROM m WHERE k % 45 = 0) SELECT outcome, CAST(n AS BIGINT) AS n FROM o WHERE n > 0""")
+ UNION ALL SELECT 'orphan', count(*) FROM m WHERE k % 45 = 0 UNION ALL SELECT 'dropped', count(*) FROM m WHERE k % 9 = 0 AND k % 5 <> 0) SELECT outcome, CAST(n AS BIGINT) AS n FROM o WHERE n > 0""")
 def _(spark, sf):
     return fd.assemble(fd.sentences(ais_lines(spark, sf))).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -118,7 +120,7 @@ def _(spark, sf):
     return u.groupBy(ais.line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("A24_counters", AISX + """, x AS (SELECT feed, 'bad line' AS outcome FROM m WHERE k % 37 = 0 UNION ALL SELECT feed, 'message' FROM m WHERE k % 37 <> 0 UNION ALL SELECT feed, 'message' FROM m WHERE k % 9 = 0 AND k % 5 <> 0 UNION ALL SELECT feed, 'orphan' FROM m WHERE k % 45 = 0)
+@query("A24_counters", AISX + """, x AS (SELECT feed, 'bad line' AS outcome FROM m WHERE k % 37 = 0 UNION ALL SELECT feed, 'message' FROM m WHERE k % 37 <> 0 UNION ALL SELECT feed, 'message' FROM m WHERE k % 9 = 0 AND k % 5 <> 0 UNION ALL SELECT feed, 'orphan' FROM m WHERE k % 45 = 0 UNION ALL SELECT feed, 'dropped' FROM m WHERE k % 9 = 0 AND k % 5 <> 0)
  SELECT feed, outcome, count(*) AS n FROM x GROUP BY ROLLUP (feed, outcome)""")
 def _(spark, sf):
     return fd.counters(fd.assemble(fd.sentences(ais_lines(spark, sf))))
