@@ -10,7 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo, geodesy
+from ..session import cut_lineage
 from .ordered import Ordered, fold, time_chunk
+from .spatial import nearest_segment
 
 SEQ_CHUNK = 2000
 TIME_CHUNK = 86400.0
@@ -75,14 +77,14 @@ def path_lengths(df: DataFrame, size: int = SEQ_CHUNK, keys=("track",)) -> DataF
     return o.running(sums={"cumulative_m": F.col("range_m")}).result().drop("prev_lat", "prev_lon", "_b", "is_first")
 
 
-def bracket(probe: DataFrame, fixes: DataFrame, keys: list[str], t: str, width_s: float, values: list[str]) -> DataFrame:
+def bracket(probe: DataFrame, fixes: DataFrame, keys: list[str], t: str, width_s: float, values: list[str], chunk=None) -> DataFrame:
     """For each probe row the fix at or before its time and the first one after: structs ``a`` and ``b``."""
     pcols = [c for c in probe.columns if c not in keys and c != t]
     v = F.struct(F.col(t).alias("t"), *values)
     p = probe.select(*keys, t, F.lit(1).alias("_side"), F.struct(*pcols).alias("_p"))
     q = fixes.select(*keys, t, F.lit(0).alias("_side"), v.alias("_v"))
     u = p.unionByName(q, allowMissingColumns=True)
-    o = Ordered(u, keys, [t, "_side"], time_chunk(F.col(t), width_s))
+    o = Ordered(u, keys, [t, "_side"], chunk(F.col(t)) if chunk else time_chunk(F.col(t), width_s))
     o = o.running(lasts={"a": F.col("_v")}).running(lasts={"b": F.col("_v")}, reverse=True)
     return o.result().filter(F.col("_side") == 1).select(*keys, t, "_p.*", "a", "b")
 
@@ -183,24 +185,27 @@ def derived_heading(df: DataFrame, history: int = 8, size: int = SEQ_CHUNK) -> D
         "known", F.col("heading_deg").isNotNull()).withColumn("heading_deg", F.coalesce("heading_deg", F.lit(0.0)))
 
 
-def remaining_on_route(fixes: DataFrame, route: DataFrame) -> DataFrame:
-    """Metres left along a route from the nearest place on it.
+def remaining_on_route(fixes: DataFrame, route: DataFrame, first_radius_m: float = 2000.0) -> DataFrame:
+    """Metres left along a route (vertices n, lat, lon) from the nearest place on it.
 
-    ``route`` is one line of vertices (n, lat, lon): a plan a person follows, broadcast as one array of
-    segments after its size is checked.
+    Fixes are matched by the nearest-segment join within a radius; those with nothing in reach are
+    tried again with a radius eight times as large, so no fix meets every segment of the route.
     """
-    r = Ordered(route.withColumn("g", F.lit(0)).withColumn("seq", F.col("n")), ["g"], ["seq"], F.floor(F.col("seq") / 10000)).following(
+    legs = Ordered(route.withColumn("g", F.lit(0)).withColumn("seq", F.col("n")), ["g"], ["seq"], F.floor(F.col("seq") / 10000)).following(
         lat=F.col("lat"), lon=F.col("lon")).result().filter(~F.col("is_last"))
-    r = r.withColumn("len", geo.sphere_m(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon")))
-    tail = Ordered(r.drop("is_last"), ["g"], ["seq"], F.floor(F.col("seq") / 10000)).running(sums={"rest": F.col("len")}, reverse=True).result()
-    segs = tail.select(F.col("n").alias("leg"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.col("next_lat").alias("blat"), F.col("next_lon").alias("blon"), "len", "rest")
-    if segs.count() <= 20000:
-        segs = F.broadcast(segs)
-    j = fixes.crossJoin(segs)
-    j = geo.with_projection(j, "_p", "lat", "lon", "alat", "alon", "blat", "blon")
-    key = F.struct(F.round("_p.distance_m", 6), "leg")
-    return j.groupBy("track", "seq").agg(F.min_by(F.struct("leg", (F.col("rest") - F.col("_p.along_m")).alias("remaining_m"), F.col("_p.distance_m").alias("off_m")), key).alias("m")).select(
-        "track", "seq", "m.leg", "m.remaining_m", "m.off_m")
+    legs = legs.withColumn("len", geo.sphere_m(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon")))
+    tail = Ordered(legs.drop("is_last"), ["g"], ["seq"], F.floor(F.col("seq") / 10000)).running(sums={"rest": F.col("len")}, reverse=True).result()
+    segs = cut_lineage(tail.select(F.col("n").alias("seg"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.col("next_lat").alias("blat"), F.col("next_lon").alias("blon"), "rest"))
+    left = fixes.select(F.struct("track", "seq").alias("pid"), "lat", "lon")
+    radius, out = first_radius_m, None
+    while radius < 2.1e7:
+        hit = cut_lineage(nearest_segment(left, segs.drop("rest"), radius))
+        out = hit if out is None else out.unionByName(hit)
+        left = cut_lineage(left.join(hit.select("pid"), "pid", "left_anti"))
+        if left.isEmpty():
+            break
+        radius *= 8
+    return out.join(segs.select("seg", "rest"), "seg").select("pid.track", "pid.seq", F.col("seg").alias("leg"), (F.col("rest") - F.col("along_m")).alias("remaining_m"), F.col("distance_m").alias("off_m"))
 
 
 def densify(df: DataFrame, step_m: float, size: int = SEQ_CHUNK, keys=("track",)) -> DataFrame:
