@@ -1,9 +1,9 @@
 """NMEA 0183 sentences as Columns: validity, fields, parsing and building."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .geo import lit
+from .geo import lit, pinned
 
 # Longest sentence, metres per second per knot and per km/h.
 MAX_SENTENCE = 82
@@ -54,10 +54,17 @@ def day_seconds(field: Column) -> Column:
     return F.when(ok, F.substring(field, 1, 2).try_cast("int") * 3600 + F.substring(field, 3, 2).try_cast("int") * 60 + F.substring(field, 5, 20).try_cast("double"))
 
 
-def parse(line: Column) -> Column:
+def with_reading(df: DataFrame, name: str = "r") -> DataFrame:
+    """Adds ``parse`` of the ``line`` column; fields and checksum are worked out once per line."""
+    d = pinned(df, _f=fields(F.col("line")), _ok=looks_valid(F.col("line")))
+    return pinned(d, **{name: parse(F.col("line"), F.col("_f"), F.col("_ok"))}).drop("_f", "_ok")
+
+
+def parse(line: Column, f: Column | None = None, valid: Column | None = None) -> Column:
     """Struct(type, lat, lon, speed_mps, heading_deg, magnetic_deg, tod_s, date, satellites, hdop, alt_m); null when unusable."""
     ty = sentence_type(line)
-    f = fields(line)
+    f = fields(line) if f is None else f
+    valid = looks_valid(line) if valid is None else valid
 
     def at(i):
         return F.coalesce(F.get(f, F.lit(i)), F.lit(""))
@@ -85,7 +92,7 @@ def parse(line: Column) -> Column:
     date = F.when(rmc & at(9).rlike(r"^\d{6}"), F.make_date(F.when(yy > 70, 1900 + yy).otherwise(2000 + yy), F.substring(at(9), 3, 2).try_cast("int"), F.substring(at(9), 1, 2).try_cast("int")))
     sats = F.when(gga, _leading(at(7)).cast("int"))
     alt = F.when(gga & (sats > 3) & at(10).startswith("M"), _leading(at(9)))
-    ok = (looks_valid(line) & ty.isNotNull()
+    ok = (valid & ty.isNotNull()
           & F.when(rmc, (n >= 12) & ~at(2).startswith("V")).when(gga, (n >= 15) & ~at(6).startswith("0")).when(gll, (n >= 7) & ~at(6).startswith("V")).when(vtg, n >= 9).otherwise(n >= 2))
     st = F.struct(ty.alias("type"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), speed.cast("double").alias("speed_mps"), heading.cast("double").alias("heading_deg"),
                   magnetic.cast("double").alias("magnetic_deg"), tod.cast("double").alias("tod_s"), date.alias("date"), sats.alias("satellites"), F.when(gga, _leading(at(8))).alias("hdop"), alt.alias("alt_m"))

@@ -116,7 +116,7 @@ def alarms(cpa_rows: DataFrame, cpa_m: float = 926.0, tcpa_s: float = 600.0, rel
 
 def assemble_fixes(lines: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
     """Sentences sharing a time of day as one fix per feed; dated by the last RMC date heard when it closes."""
-    p = lines.withColumn("r", F.explode(F.array(nmea.parse(F.col("line"))))).filter(F.col("r").isNotNull() & (F.col("r.type") != "HDT")).select("feed", "t", "seq", "r.*")
+    p = nmea.with_reading(lines).filter(F.col("r").isNotNull() & (F.col("r.type") != "HDT")).select("feed", "t", "seq", "r.*")
     o = Ordered(p, ["feed"], ["t", "seq"], time_chunk(F.col("t"), CHUNK)).running(lasts={"_tod": F.col("tod_s")}, inclusive=False)
     new = F.col("_tod").isNull() & F.lit(False) | (F.col("tod_s").isNotNull() & F.col("_tod").isNotNull() & (F.abs(F.col("tod_s") - F.col("_tod")) >= tolerance_s))
     o = o.islands(new, "grp").running(lasts={"_date": F.col("date")})

@@ -34,7 +34,7 @@ def nmea_lines(spark, sf):
  SELECT k*3 + i AS seq, CASE i WHEN 0 THEN 'RMC' WHEN 1 THEN 'GGA' ELSE 'VTG' END AS type, CASE WHEN i < 2 THEN round(32.5e0 + (k % 9700)/6e4, 6) END AS lat, CASE WHEN i < 2 THEN round(-80e0 - (k % 8900)/6e4, 6) END AS lon,
  CASE WHEN i = 1 AND k % 7 <> 0 THEN (k % 500)/1e1 END AS alt_m, CASE WHEN i <> 1 THEN (k % 3600)/1e1 END AS heading_deg FROM x""")
 def _(spark, sf):
-    r = nmea_lines(spark, sf).withColumn("r", F.explode(F.array(nmea.parse(F.col("line"))))).filter("r is not null")
+    r = nmea.with_reading(nmea_lines(spark, sf)).filter("r is not null")
     return r.select("seq", "r.type", F.round("r.lat", 6).alias("lat"), F.round("r.lon", 6).alias("lon"), "r.alt_m", "r.heading_deg")
 
 
@@ -64,7 +64,7 @@ def _(spark, sf):
     from ..session import scratch
     path = scratch(spark, "nmea")
     nmea_lines(spark, sf).filter("seq % 3 <> 1").select(F.concat_ws("\t", "feed", "t", "seq", "line").alias("value")).write.text(path)
-    r = logs.read_log(spark, path).withColumn("r", F.explode(F.array(nmea.parse(F.col("line"))))).filter("r is not null")
+    r = nmea.with_reading(logs.read_log(spark, path)).filter("r is not null")
     return r.select("seq")
 
 
