@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 #: Bytes of text that one step of a task holds at a time.
@@ -54,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
         step = np.cumsum(sizes, dtype=np.int64) // SLICE
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
