@@ -3,13 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolattice.llm import chat, decontaminate, line_dedup, near_dups, order_minhash, packing, quality, url_rules
+from geolattice.llm import chat, class_lm, decontaminate, line_dedup, main_text, near_dups, order_minhash, packing, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return class_lm.score(docs, class_lm.fit(docs))
+
+
 def op2_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -47,12 +52,16 @@ def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_boosted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_order_packing, op3_line_dedup, op4_benchmark_decontamination, op5_order_minhash, op6_prefix_target_chat,
-                                      op7_probminhash_dedup, op8_bradley_terry_quality, op10_link_graph_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_order_packing, op3_line_dedup, op4_benchmark_decontamination, op5_order_minhash, op6_prefix_target_chat,
+                                      op7_probminhash_dedup, op8_bradley_terry_quality, op9_boosted_html, op10_link_graph_url_filter)}
 
 ORACLES = {
     "op3_line_dedup": r"""
