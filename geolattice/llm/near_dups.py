@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from geolattice.llm import text as tx
 from geolattice.llm.groups import connected
@@ -96,11 +97,91 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _hub_key(doc: str) -> Column:
-    return F.struct(F.xxhash64(doc).alias("h"), F.col(doc).alias("id"))
+def _links_within(texts: list[str], docs: list[int], roots: list[int], first: list[bool], second: list[bool], similarity: float, width: int) -> list[tuple[int, int]]:
+    """Links that join different roots, at most one fewer than roots, among all pairs of a `first` and a `second` text: the exact similarity of every pair
+    is worked out, or bounded below `similarity` by the weight of its common shingles."""
+    n = len(texts)
+    own, element, weight, _ = weighted(texts, width)
+    total, size = np.bincount(own, weight, n), np.bincount(own, minlength=n)
+    cut = np.searchsorted(own, np.arange(n + 1))
+    _, column, times = np.unique(element, return_inverse=True, return_counts=True)
+    held = np.flatnonzero(times[column] > 1)
+    _, column = np.unique(column[held], return_inverse=True)
+    part = np.zeros((n, n), np.float32)        # [u, a]: u's share of weight on the shingles that it has in common with a
+    order = np.argsort(column, kind="stable")
+    bounds = np.searchsorted(column[order], np.arange(0, column.max(initial=-1) + 4097, 4096))
+    for lo, hi in zip(bounds, bounds[1:]):
+        at = order[lo:hi]
+        has = np.zeros((n, 4096), np.float32)
+        row, col = own[held[at]], column[at] % 4096
+        has[row, col] = 1
+        rate = np.zeros((n, 4096), np.float32)
+        rate[row, col] = weight[held[at]] / total[row]
+        part += rate @ has.T
+    wanted = np.minimum(part, part.T) >= similarity - 1e-4
+    wanted &= np.array(first)[:, None] & np.array(second)[None, :]
+    root = {r: r for r in roots}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    plain = size == total
+    found = []
+    for u, a in np.argwhere(wanted).tolist():
+        p, q = top(roots[u]), top(roots[a])
+        if p == q:
+            continue
+        if plain[u] and plain[a]:
+            both = round(float(part[u, a]) * size[u])
+            similar = both / (size[u] + size[a] - both)
+        else:
+            similar = probability_jaccard(element[cut[u]:cut[u + 1]], weight[cut[u]:cut[u + 1]], element[cut[a]:cut[a + 1]], weight[cut[a]:cut[a + 1]])
+        if similar >= similarity - 1e-12:
+            root[max(p, q)] = min(p, q)
+            found.append((docs[u], docs[a]))
+    return found
+
+
+def _apart(groups: DataFrame, texts: DataFrame, similarity: float, width: int, block: int) -> DataFrame:
+    """Links between the members of a hub that are in different groups. `groups`: hub, doc_id, root, linked (in the hub's own group).
+
+    The members are dealt into blocks of about `block`, those linked to the hub apart from the others, and every two blocks that
+    may hold a new link meet in one task, with their texts. Only links come out.
+    """
+    sizes = groups.groupBy("hub").agg(F.sum(F.col("linked").cast("int")).alias("n_linked"), F.sum(1 - F.col("linked").cast("int")).alias("n_other")).where("n_other > 0")
+    sizes = sizes.select(F.bitwise_not("hub").alias("h"), F.ceil(F.col("n_linked") / block).cast("int").alias("b_linked"), F.ceil(F.col("n_other") / block).cast("int").alias("b_other"))
+    dealt = groups.join(sizes, F.bitwise_not("hub") == F.col("h"))
+    # blocks 0 .. b_other - 1 hold the others, those after them the linked; a pair of blocks has an other in it
+    mine = F.when(F.col("linked"), F.col("b_other") + F.pmod(F.xxhash64("doc_id"), F.greatest("b_linked", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("b_other"))).cast("int")
+    dealt = dealt.withColumn("mine", mine)
+    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("b_other") - 1)).otherwise(F.sequence(F.lit(0), F.col("b_other") + F.col("b_linked") - 1))
+    pairs = dealt.select("hub", "doc_id", "root", "mine", F.explode(others).alias("other"))
+    pairs = pairs.select("hub", "doc_id", "root", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    rows = pairs.join(texts.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")).select("hub", "one", "two", "mine", "doc_id", "root", "text")
+    rows = rows.repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple]:
+            for b in tx.slices(batches, "text"):
+                yield from zip(*[b.column(c).to_pylist() for c in ("hub", "one", "two", "mine", "doc_id", "root", "text")])
+
+        found: list[tuple[int, int]] = []
+        for (_, one, two), group in groupby(members(), key=lambda r: r[:3]):
+            held = list(group)         # two blocks
+            mine = [r[3] for r in held]
+            found += _links_within([r[6] for r in held], [r[4] for r in held], [r[5] for r in held], [m == one for m in mine], [m == two for m in mine], similarity, width)
+            if len(found) > 4096:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 32, depth: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 32, depth: int = 6, block: int = 256) -> DataFrame:
     """Groups of documents whose texts nearly repeat each other.
 
     Words are runs of letters and digits in lower case, and a text is the multiset of its `width`-word shingles, weighted by how
@@ -112,36 +193,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null and empty texts, and those without words, are one class and are linked to nothing else; a text of fewer than `width` words is one shingle of all
     its words; rows that repeat an id count once, by the greatest text; rows with a null id are left out, as they cannot be named; extra columns are ignored.
 
-    Scale: equal texts become one representative first. In a bucket (one band value) every member is compared with one hub only, the
-    same for all buckets where it is present; what the hubs leave apart is compared pairwise only across groups within a bucket, so a large group
-    of copies gives rows in proportion to its size. Hot keys are pre-aggregated or meet single rows in joins that Spark can split. Nothing is collected.
+    Scale: equal texts become one representative first. In a bucket (one band value) every member is compared with one hub, the member that meets
+    most others in all its buckets. Members that a hub leaves apart are then compared with all members of that hub, in tasks of two blocks of about
+    `block` texts that give out links only, so a large group of copies gives rows in proportion to its size. Hot keys are pre-aggregated or
+    meet single rows in joins that Spark can split. Nothing is collected.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = written(_prints(rows, width, bands, depth), "prints")
     # repeated ids: one word sequence each
-    named = prints.groupBy("doc_id").agg(F.max(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
-    named = written(named, "named")
+    named = written(prints.groupBy("doc_id").agg(F.max(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2"), "named")
     classes = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
     members = written(named.join(classes, ["k1", "k2"]).select("doc_id", "class_id"), "members")
     reps = classes.select("k1", "k2", F.col("class_id").alias("doc_id"))
-    banded = (prints.join(reps, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("bands").alias("band", "value")))
+    banded = prints.join(reps, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("bands").alias("band", "value"))
     banded = written(banded.select("doc_id", F.xxhash64("band", "value").alias("bucket")), "banded")
-    hubs = banded.groupBy("bucket").agg(F.min(_hub_key("doc_id")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), F.col("hub.id").alias("hub"))
-    shared = written(banded.join(hubs, F.bitwise_not("bucket") == F.col("other")).select("bucket", "doc_id", "hub"), "shared")
-    pair = [F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")]
-    star = written(shared.where("doc_id <> hub").select(*pair).distinct(), "star")
-    ids = shared.select("doc_id").distinct().select(F.col("doc_id").alias("id"))
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), "n")
+    met = written(banded.join(full, F.bitwise_not("bucket") == F.col("other")).select("bucket", "doc_id", "n"), "met")
+    central = written(met.groupBy(F.col("doc_id").alias("d")).agg(F.sum("n").alias("degree")), "central")
+    ranked = written(met.join(central, F.col("doc_id") == F.col("d")).select("bucket", "doc_id", "degree"), "ranked")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"))).alias("hub")).select(F.bitwise_not("bucket").alias("other"), (-F.col("hub.least")).alias("hub"))
+    shared = written(ranked.join(hubs, F.bitwise_not("bucket") == F.col("other")).select("hub", "doc_id").distinct(), "shared")
+    ids = shared.select(F.col("doc_id").alias("id")).distinct()
     texts = written(rows.join(ids, F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    star = shared.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     links = written(_verified(star, texts, width).where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
     found = connected(links)
-    # what the hubs leave apart: groups that share a bucket but are not joined yet
-    at = shared.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    at = written(at, "apart")
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.bitwise_not("bucket").alias("other"))
-    open_ = written(at.join(mixed, F.bitwise_not("bucket") == F.col("other"), "left_semi"), "open")
-    one, two = open_.select("bucket", F.col("doc_id").alias("a"), F.col("root").alias("ra")), open_.select(F.col("bucket").alias("bucket2"), F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, (F.col("bucket") == F.col("bucket2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, texts, width).where(F.col("similarity") >= similarity - 1e-12).select("a", "b")
-    groups = connected(written(links.union(more), "all_links"))
+    root = found.select(F.col("node").alias("hub_node"), F.col("root").alias("hub_root"))
+    placed = shared.join(found, F.col("doc_id") == F.col("node"), "left").select("hub", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = placed.join(root, F.col("hub") == F.col("hub_node"), "left").select("hub", "doc_id", "root", (F.col("root") == F.coalesce("hub_root", "hub")).alias("linked"))
+    more = written(_apart(written(placed, "placed"), texts, similarity, width, block), "more")
+    groups = connected(links.union(more))
     return members.join(groups, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"))
