@@ -16,7 +16,7 @@ SCALARS = {
 }
 TABLES = {
     "tile_cover": ("s DOUBLE, w DOUBLE, n DOUBLE, e DOUBLE, z INT", "x INT, y INT",
-                   "SELECT x, y FROM (SELECT explode(sequence(CAST(floor((w + 180D) / 360D * pow(2, z)) AS INT), CAST(floor((e + 180D) / 360D * pow(2, z)) AS INT))) AS x) a, "
+                   "SELECT x, y FROM (SELECT explode(array_distinct(transform(sequence(CAST(floor((w + 180D) / 360D * pow(2, z)) AS INT), CAST(floor((e + IF(w > e, 540D, 180D)) / 360D * pow(2, z)) AS INT)), i -> pmod(i, CAST(pow(2, z) AS INT))))) AS x) a, "
                    "(SELECT explode(sequence(CAST(floor((1 - asinh(tan(radians(n))) / pi()) / 2 * pow(2, z)) AS INT), CAST(floor((1 - asinh(tan(radians(s))) / pi()) / 2 * pow(2, z)) AS INT))) AS y) b"),
 }
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.values import is_true, number
 from .ordered import Ordered
@@ -182,21 +182,34 @@ def feature_lines(pointers: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def compare_catalog(installed: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per installed cell: current, new edition, new update, cancelled or not listed."""
-    c = catalog.select("cell", F.col("edition").alias("_e"), F.col("upd").alias("_u"), "cancelled")
-    s = (F.when(F.col("_e").isNull(), "unlisted").when(F.col("cancelled"), "cancelled").when(F.col("_e") > F.col("edition"), "new edition")
+    """Per installed cell: current, new edition, new update, cancelled or not listed.
+
+    A cell held as cancelled that the catalog lists as active was issued anew; one cancelled on both sides is left out.
+    """
+    c = catalog.select("cell", F.col("edition").alias("_e"), F.col("upd").alias("_u"), F.coalesce("cancelled", F.lit(False)).alias("_gone"))
+    held = installed if "cancelled" in installed.columns else installed.withColumn("cancelled", F.lit(False))
+    j = held.withColumn("cancelled", F.coalesce("cancelled", F.lit(False))).join(c, "cell", "left").filter(~(F.col("cancelled") & F.coalesce("_gone", F.lit(False))))
+    s = (F.when(F.col("_e").isNull(), "unlisted").when(F.col("_gone"), "cancelled").when(F.col("cancelled") | (F.col("_e") > F.col("edition")), "new edition")
          .when((F.col("_e") == F.col("edition")) & (F.col("_u") > F.col("upd")), "new update").otherwise("current"))
-    return installed.join(c, "cell", "left").select("cell", s.alias("status"))
+    return j.select("cell", s.alias("status"))
 
 
 def infer_region(installed: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Jaccard overlap of the installed cells with each region's active cells; the first in the catalog on ties."""
-    act = catalog.filter(~F.col("cancelled")).select("cell", "region", "ord")
+    """Regions that share active cells with what is installed, by Jaccard overlap; ``best`` marks the winner, the first in the catalog on ties.
+
+    A cell may list several regions (an array). Cancelled cells count on neither side.
+    """
+    if isinstance(catalog.schema["region"].dataType, T.ArrayType):
+        catalog = catalog.withColumn("region", F.explode("region"))
+    if "cancelled" in installed.columns:
+        installed = installed.filter(~F.coalesce("cancelled", F.lit(False)))
+    act = catalog.filter(~F.coalesce("cancelled", F.lit(False))).select("cell", "region", "ord").distinct()
     per = act.groupBy("region").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     both = act.join(installed.select("cell"), "cell", "left_semi").groupBy("region").agg(F.count("*").alias("k"))
     tot = installed.agg(F.count("*").alias("m"))
-    j = per.join(both, "region", "left").crossJoin(F.broadcast(tot)).withColumn("k", F.coalesce("k", F.lit(0)))
-    return j.select("region", "ord", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("jaccard"))
+    j = per.join(both, "region").crossJoin(F.broadcast(tot)).select("region", "ord", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("jaccard"))   # one row
+    top = j.agg(F.max(F.struct("jaccard", (-F.col("ord")).alias("_o"), "region")).alias("_top"))
+    return j.crossJoin(F.broadcast(top)).select("region", "ord", "jaccard", (F.col("region") == F.col("_top.region")).alias("best"))   # one row
 
 
 def dataset_diff(a: DataFrame, b: DataFrame) -> DataFrame:

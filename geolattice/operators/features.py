@@ -13,7 +13,11 @@ PALETTE_SIZE = 10
 
 
 class ClauseError(ValueError):
-    """A clause whose field or value cannot be used; the message names the clause."""
+    """A clause that cannot be used: ``code`` (unknown_field, missing_value, bad_number, bad_boolean), its ``index`` from 0 and the ``part`` at fault."""
+
+    def __init__(self, code: str, index: int, part: str):
+        super().__init__(f"{code} at clause [{index}]: {part!r}")
+        self.code, self.index, self.part = code, index, part
 
 
 def _field(df: DataFrame, name: str) -> T.StructField | None:
@@ -25,7 +29,7 @@ def clause_column(df: DataFrame, clause: tuple, index: int = 0) -> Column:
     name, op, value = (*clause, None)[:3]
     f = _field(df, name)
     if f is None:
-        raise ClauseError(f"clause {index + 1}: the layer has no field {name}")
+        raise ClauseError("unknown_field", index, name)
     text = values.field_text(F.col(f.name), f.dataType)
     if op == "is empty":
         return ~values.has(F.col(f.name), f.dataType)
@@ -33,18 +37,18 @@ def clause_column(df: DataFrame, clause: tuple, index: int = 0) -> Column:
         return values.has(F.col(f.name), f.dataType)
     typed = "" if value is None else str(value).strip()
     if not typed:
-        raise ClauseError(f"clause {index + 1}: {name} {op} needs a value")
+        raise ClauseError("missing_value", index, f"{name} {op}")
     if op == "contains":
         return values.is_in(F.lit(typed.lower()), values.downcase(text))
     if isinstance(f.dataType, values.NUMERIC):
         try:
             literal, kind = float(typed), "number"
         except ValueError:
-            raise ClauseError(f"clause {index + 1}: {typed} is not a number") from None
+            raise ClauseError("bad_number", index, typed) from None
     elif isinstance(f.dataType, T.BooleanType):
         word = {"true": "true", "yes": "true", "1": "true", "false": "false", "no": "false", "0": "false"}.get(typed.lower())
         if word is None:
-            raise ClauseError(f"clause {index + 1}: {typed} is not yes or no")
+            raise ClauseError("bad_boolean", index, typed)
         literal, kind = word, "text"
     else:
         literal, kind = typed, "text"
@@ -169,15 +173,15 @@ def value_error(c: Column, dtype: T.DataType, required=False, lo=None, hi=None,
     """Why a value does not fit its field, or null."""
     out = F.lit(None).cast("string")
     if choices is not None:
-        out = F.when(~values.category_key(c, dtype).isin(*choices), "is not one of its choices").otherwise(out)
+        out = F.when(~values.category_key(c, dtype).isin(*choices), "unlisted_choice").otherwise(out)
     if isinstance(dtype, values.NUMERIC):
         if hi is not None:
-            out = F.when(c > hi, "is above its maximum").otherwise(out)
+            out = F.when(c > hi, "above_max").otherwise(out)
         if lo is not None:
-            out = F.when(c < lo, "is below its minimum").otherwise(out)
+            out = F.when(c < lo, "below_min").otherwise(out)
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
-            out = F.when(F.isnan(c), "is not a number").otherwise(out)
-    return F.when(c.isNull(), F.lit("is required" if required else None)).otherwise(out)
+            out = F.when(F.isnan(c), "nan").otherwise(out)
+    return F.when(c.isNull(), F.lit("missing" if required else None)).otherwise(out)
 
 
 def validate_rows(df: DataFrame, rules: dict[str, dict], id_col: str = "id") -> DataFrame:
@@ -197,9 +201,9 @@ def validate_schema(fields: DataFrame) -> DataFrame:
          .join(dup, F.lower("name") == F.col("_low"), "left"))
     bad_end = (F.coalesce(F.col("range_end"), F.lit("")) != "") & ~(
         F.col("type").isin(*date) & F.coalesce(F.col("_end_type").isin(*date), F.lit(False)))
-    err = (F.when(F.coalesce(F.col("name"), F.lit("")) == "", "has no name").when(F.col("_dup"), "appears twice")
-           .when((F.col("role") == "enumeration") & (F.col("n_choices") == 0), "is a list with no choices")
-           .when(F.col("min") > F.col("max"), "has min above max").when(bad_end, "ends its range at a field that is no date"))
+    err = (F.when(F.coalesce(F.col("name"), F.lit("")) == "", "unnamed").when(F.col("_dup"), "duplicate_name")
+           .when((F.col("role") == "enumeration") & (F.col("n_choices") == 0), "empty_choices")
+           .when(F.col("min") > F.col("max"), "crossed_limits").when(bad_end, "range_end_not_date"))
     return j.select("name", err.alias("error")).filter(F.col("error").isNotNull())
 
 

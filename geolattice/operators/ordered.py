@@ -118,14 +118,15 @@ class Ordered:
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], chunk: Column, state_schema: str,
-         out_schema: str, step: Callable, initial: Callable, max_rounds: int = 1000) -> DataFrame:
+         out_schema: str, step: Callable, initial: Callable) -> DataFrame:
     """An order-dependent fold per key, run chunk by chunk in parallel.
 
     ``step(state, pdf) -> (state, out_pdf)`` folds one chunk's sorted rows; ``initial()`` makes the
     first state (a tuple). Every chunk starts from a guess (the initial state) and is redone only
     when the state its predecessor ends in differs from the one it was given. At the fixpoint each
     chunk has started from its true state, so the result equals one sequential pass over the key.
-    Folds that forget their past quickly settle in two or three rounds.
+    Folds that forget their past quickly settle in two or three rounds; rounds go on until every
+    chunk has its true state, so a fold that never forgets takes one per chunk.
     """
     spark = df.sparkSession
     src = df.withColumn("_chunk", chunk)
@@ -158,7 +159,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], chunk: Column, state_
     w = Window.partitionBy(*keys).orderBy("_chunk")
     given = ends.select(*on, *[F.lit(None).cast(f.dataType).alias(f"s_{f.name}") for f in state],
                         F.lit(True).alias("_fresh"))
-    for _ in range(max_rounds):
+    while True:
         want = ends.select(*on, *[F.lag(f"e_{n}").over(w).alias(f"s_{n}") for n in names],
                            (F.row_number().over(w) == 1).alias("_fresh"))
         old = given.select(*on, F.struct(*[f"s_{n}" for n in names], "_fresh").alias("_old"))

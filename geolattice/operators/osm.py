@@ -59,8 +59,8 @@ def build_edges(ways: DataFrame, nodes: DataFrame, cut_at: DataFrame | None = No
                                              F.sum("len").alias("length_m"), F.min("pos").alias("pos"), pts.alias("_p"))
     shape = F.concat(F.array(F.struct(F.col("_p")[0]["lat"].alias("lat"), F.col("_p")[0]["lon"].alias("lon"))),
                      F.transform("_p", lambda x: F.struct(x.to_lat.alias("lat"), x.to_lon.alias("lon"))))
-    # positions inside a way are below 2,048, so way and position make a stable edge id
-    return e.select("way", (F.col("way") * 2048 + F.col("pos")).alias("edge"), "src", "dst", "length_m", shape.alias("shape"))
+    # way and first position make a stable edge id, with room for a million positions and ways below 2^43
+    return e.select("way", (F.col("way") * 1048576 + F.col("pos")).alias("edge"), "src", "dst", "length_m", shape.alias("shape"))
 
 
 def build_arcs(edges: DataFrame, ways: DataFrame) -> DataFrame:

@@ -38,18 +38,19 @@ def with_cells(df: DataFrame, box: tuple, size: float) -> DataFrame:
     return (part.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols)).drop("_part"))
 
 
-def box_join(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple, size: float) -> DataFrame:
+def box_join(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple, size: float, also: list[str] | None = None) -> DataFrame:
     """Pairs of overlapping boxes, each once: an equi join on cells, then the exact inclusive test.
 
     A pair meets in every shared cell; it is kept only in the lowest shared one of its first
-    overlapping parts, so no distinct (and no shuffle for one) is needed. Columns must not collide.
+    overlapping parts, so no distinct (and no shuffle for one) is needed. Columns must not collide, but for those
+    named in ``also``, which must be equal and join the key.
     """
     def parts(df, box, tag):
         d = df.select("*", F.posexplode(geo.box_parts(*[F.col(c) for c in box])).alias(f"_i{tag}", f"_b{tag}"))
         bx = F.col(f"_b{tag}")
         return (d.withColumn("_row", F.explode(F.sequence(F.floor(bx.s / size), F.floor(bx.n / size))))
                 .withColumn("_col", F.explode(F.sequence(F.floor(bx.w / size), F.floor(bx.e / size)))))
-    j = salted_join(parts(a, a_box, "a"), parts(b, b_box, "b"), ["_row", "_col"])
+    j = salted_join(parts(a, a_box, "a"), parts(b, b_box, "b"), ["_row", "_col", *(also or [])])
     s, w = F.greatest("_ba.s", "_bb.s"), F.greatest("_ba.w", "_bb.w")
     hit = (s <= F.least("_ba.n", "_bb.n")) & (w <= F.least("_ba.e", "_bb.e"))
     home = (F.col("_row") == F.floor(s / size)) & (F.col("_col") == F.floor(w / size))

@@ -230,7 +230,7 @@ def climb_descent(profile: Column, hysteresis: float) -> Column:
     return F.aggregate(inner, zero, step, lambda s: F.struct((s.up + F.greatest(last - s.ref, F.lit(0.0))).alias("climb"), (s.down + F.greatest(s.ref - last, F.lit(0.0))).alias("descent")))
 
 
-def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005, max_rounds: int = 500) -> DataFrame:
+def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005) -> DataFrame:
     """Elevations of unsampled nodes: 1/length-weighted mean of neighbours, iterated until nothing moves 5 mm.
 
     Nodes: node, elev (null to fill), fallback. Links: u, v, length. Only the nodes being filled move.
@@ -245,7 +245,7 @@ def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005, max_round
     inner = cut_lineage(both.join(free.select(F.col("node").alias("v")), "v", "left_semi"))
     start = free.withColumnRenamed("node", "u").join(base, "u", "left").select("u", F.coalesce("n0", F.lit(0.0)).alias("n0"), F.coalesce("d0", F.lit(0.0)).alias("d0"))
     cur = cut_lineage(start.withColumn("e", F.try_divide("n0", "d0")))
-    for _ in range(max_rounds):
+    while True:
         old = cur
         for _sweep in range(4):
             nb = inner.join(cur.select(F.col("u").alias("v"), "e"), "v").filter(F.col("e").isNotNull()).groupBy("u").agg(F.sum(F.col("w") * F.col("e")).alias("n1"), F.sum("w").alias("d1"))
@@ -259,33 +259,34 @@ def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005, max_round
     return cur.select("node", F.coalesce("elev", "fallback", F.lit(0.0)).alias("elev"))
 
 
-def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps: int = 200) -> DataFrame:
+def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps: int = 500) -> DataFrame:
     """For each observer (id, row, col, height_m, steps) the height at which each post in range is first seen.
 
     Posts are matched to observers by an equi join on blocks of posts; an observer's lattice is at most
-    (2*max_steps+1)^2 posts, so its group has a fixed size. Rings grow outwards: the line of sight of
+    (2*max_steps+1)^2 posts, so its group has a fixed size: a longer range keeps its reach and takes
+    every ``stride``-th post instead (in the result; 1 up to ``max_steps``). Rings grow outwards: the line of sight of
     a post comes from the two posts nearer the observer it lies between (min, max and interpolated).
     """
-    if max_steps > 500:
-        raise ValueError("an observer's lattice must stay within 1001 x 1001 posts")
     size = 64
-    o = observers.withColumn("steps", F.least(F.col("steps"), F.lit(max_steps)))
+    o = observers.withColumn("stride", F.greatest(F.lit(1), F.ceil(F.col("steps") / max_steps)).cast("int"))
     rows = F.sequence(F.floor((F.col("row") - F.col("steps")) / size), F.floor((F.col("row") + F.col("steps")) / size))
     cols = F.sequence(F.floor((F.col("col") - F.col("steps")) / size), F.floor((F.col("col") + F.col("steps")) / size))
-    ob = o.select("id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "height_m", "steps", F.explode(rows).alias("_br"), cols.alias("_cs")).withColumn("_bc", F.explode("_cs")).drop("_cs")
+    ob = o.select("id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "height_m", "steps", "stride", F.explode(rows).alias("_br"), cols.alias("_cs")).withColumn("_bc", F.explode("_cs")).drop("_cs")
     p = posts.select("row", "col", "elev", F.floor(F.col("row") / size).alias("_br"), F.floor(F.col("col") / size).alias("_bc"))
-    j = ob.join(p, ["_br", "_bc"]).filter((F.abs(F.col("row") - F.col("orow")) <= F.col("steps")) & (F.abs(F.col("col") - F.col("ocol")) <= F.col("steps")))
+    j = ob.join(p, ["_br", "_bc"]).filter((F.abs(F.col("row") - F.col("orow")) <= F.col("steps")) & (F.abs(F.col("col") - F.col("ocol")) <= F.col("steps"))
+                                       & ((F.col("row") - F.col("orow")) % F.col("stride") == 0) & ((F.col("col") - F.col("ocol")) % F.col("stride") == 0))
 
     def rings(pdf):
         import numpy as np
         import pandas as pd
-        s, h = int(pdf.steps.iloc[0]), float(pdf.height_m.iloc[0])
+        stride, h = int(pdf.stride.iloc[0]), float(pdf.height_m.iloc[0])
+        s = int(pdf.steps.iloc[0]) // stride
         r0, c0 = int(pdf.orow.iloc[0]), int(pdf.ocol.iloc[0])
         n = 2 * s + 1
         z = np.full((n, n), np.nan)
-        z[(pdf.row - r0 + s).to_numpy(int), (pdf.col - c0 + s).to_numpy(int)] = pdf.elev.to_numpy(float)
+        z[((pdf.row - r0) // stride + s).to_numpy(int), ((pdf.col - c0) // stride + s).to_numpy(int)] = pdf.elev.to_numpy(float)
         if np.isnan(z[s, s]):
-            return pd.DataFrame({"id": [], "row": [], "col": [], "vh_min": [], "vh_max": [], "vh_interp": []})
+            return pd.DataFrame({"id": [], "row": [], "col": [], "vh_min": [], "vh_max": [], "vh_interp": [], "stride": []})
         eye = z[s, s] + h
         ground = np.where(np.isnan(z), 0.0, z)
         los = {k: np.full((n, n), -np.inf) for k in ("min", "max", "interp")}
@@ -294,7 +295,7 @@ def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps
             k = np.arange(-ring, ring + 1)
             dr = np.concatenate([np.full(2 * ring + 1, -ring), np.full(2 * ring + 1, ring), k[1:-1], k[1:-1]])
             dc = np.concatenate([k, k, np.full(2 * ring - 1, -ring), np.full(2 * ring - 1, ring)])
-            dist = np.hypot(dr, dc) * spacing_m
+            dist = np.hypot(dr, dc) * spacing_m * stride
             rise = ground[dr + s, dc + s] - dist ** 2 / (2 * geo.CURVATURE_R) - eye
             f = (ring - 1) / ring
             er, ec = dr * f, dc * f
@@ -311,5 +312,5 @@ def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps
                 los[m][dr + s, dc + s] = np.where(seen, rise / dist, ray)
         known = ~np.isnan(z)
         rr, cc = np.nonzero(known)
-        return pd.DataFrame({"id": int(pdf.id.iloc[0]), "row": rr - s + r0, "col": cc - s + c0, "vh_min": vh["min"][known], "vh_max": vh["max"][known], "vh_interp": vh["interp"][known]})
-    return j.select("id", "orow", "ocol", "height_m", "steps", "row", "col", "elev").groupBy("id").applyInPandas(rings, "id long, row long, col long, vh_min double, vh_max double, vh_interp double")
+        return pd.DataFrame({"id": int(pdf.id.iloc[0]), "row": (rr - s) * stride + r0, "col": (cc - s) * stride + c0, "vh_min": vh["min"][known], "vh_max": vh["max"][known], "vh_interp": vh["interp"][known], "stride": stride})
+    return j.select("id", "orow", "ocol", "height_m", "steps", "stride", "row", "col", "elev").groupBy("id").applyInPandas(rings, "id long, row long, col long, vh_min double, vh_max double, vh_interp double, stride int")

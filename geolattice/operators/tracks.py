@@ -176,11 +176,13 @@ def thin_trail(df: DataFrame, min_gap_s: float = 10.0, max_points: int = 120, ma
     return o.result().filter(F.col("_from_end") <= max_points).drop("_now", "_from_end")
 
 
-def derived_heading(df: DataFrame, history: int = 8, size: int = SEQ_CHUNK) -> DataFrame:
-    """Bearing from the latest earlier fix at another place, kept while standing still."""
+def derived_heading(df: DataFrame, size: int = SEQ_CHUNK, reported: str | None = None) -> DataFrame:
+    """Heading of each fix: the one it reports (column ``reported``), else the bearing from the fix before if that lies elsewhere, else the last known one."""
     o = by_seq(df, size).previous(lat=F.col("lat"), lon=F.col("lon"))
     moved = ~F.col("is_first") & ((F.col("lat") != F.col("prev_lat")) | (F.col("lon") != F.col("prev_lon")))
     h = F.when(moved, geo.bearing(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
+    if reported:
+        h = F.coalesce(F.col(reported), h)
     return o.running(lasts={"heading_deg": h}).result().drop("prev_lat", "prev_lon", "is_first").withColumn(
         "known", F.col("heading_deg").isNotNull()).withColumn("heading_deg", F.coalesce("heading_deg", F.lit(0.0)))
 

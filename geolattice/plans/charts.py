@@ -77,7 +77,7 @@ def _(spark, sf):
 CAT = with_ctes("catalog", "installed")
 
 
-@query("J16_compare_catalog", CAT + """SELECT i.cell, CASE WHEN c.cell IS NULL THEN 'unlisted' WHEN c.cancelled THEN 'cancelled' WHEN c.edition > i.edition THEN 'new edition' WHEN c.edition = i.edition AND c.upd > i.upd THEN 'new update' ELSE 'current' END AS status FROM installed i LEFT JOIN catalog c USING (cell)""")
+@query("J16_compare_catalog", CAT + """SELECT i.cell, CASE WHEN c.cell IS NULL THEN 'unlisted' WHEN c.cancelled THEN 'cancelled' WHEN i.cancelled OR c.edition > i.edition THEN 'new edition' WHEN c.edition = i.edition AND c.upd > i.upd THEN 'new update' ELSE 'current' END AS status FROM installed i LEFT JOIN catalog c USING (cell) WHERE NOT (i.cancelled AND coalesce(c.cancelled, false))""")
 def _(spark, sf):
     return ch.compare_catalog(derived(spark, sf, "installed"), derived(spark, sf, "catalog"))
 
@@ -87,10 +87,12 @@ def _(spark, sf):
     return derived(spark, sf, "catalog").join(derived(spark, sf, "installed"), "cell", "left_anti").select("cell")
 
 
-@query("A10_infer_region", CAT + """, a AS (SELECT * FROM catalog WHERE NOT cancelled), b AS (SELECT region, count(*) AS n, min(ord) AS o, count(*) FILTER (WHERE cell IN (SELECT cell FROM installed)) AS k FROM a GROUP BY region)
- SELECT region, round(k/(n + (SELECT count(*) FROM installed) - k), 9) AS jaccard FROM b""")
+@query("A10_infer_region", CAT + """, i AS (SELECT cell FROM installed WHERE NOT cancelled), a AS (SELECT DISTINCT cell, ord, unnest([region, 'all of ' || left(region, 7)]) AS region FROM catalog WHERE NOT cancelled),
+ b AS (SELECT region, count(*) AS n, min(ord) AS o, count(*) FILTER (WHERE cell IN (SELECT cell FROM i)) AS k FROM a GROUP BY region), j AS (SELECT region, o, k/(n + (SELECT count(*) FROM i) - k) AS jac FROM b WHERE k > 0)
+ SELECT region, round(jac, 9) AS jaccard, region = (SELECT arg_max(region, jac*1e9 - o) FROM j) AS best FROM j""")
 def _(spark, sf):
-    return ch.infer_region(derived(spark, sf, "installed"), derived(spark, sf, "catalog")).select("region", F.round("jaccard", 9).alias("jaccard"))
+    c = derived(spark, sf, "catalog").withColumn("region", F.array("region", F.concat(F.lit("all of "), F.substring("region", 1, 7))))
+    return ch.infer_region(derived(spark, sf, "installed"), c).select("region", F.round("jaccard", 9).alias("jaccard"), "best")
 
 
 UPD = """WITH u AS (SELECT o_custkey AS cell, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS number, CASE WHEN o_orderkey % 31 = 0 THEN 2 ELSE 1 END AS edition, o_orderkey % 41 = 0 AS cancels FROM orders),

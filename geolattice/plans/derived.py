@@ -70,7 +70,7 @@ DERIVED: dict[str, tuple[str, list[str], str | None]] = {
         "p_brand AS region", "p_partkey AS ord"], "p_partkey % 10 <> 3"),
     "installed": ("part", [
         "'US' || CAST(1 + p_partkey % 6 AS VARCHAR(4)) || 'C' || CAST(p_partkey AS VARCHAR(20)) AS cell",
-        "(p_size + p_partkey % 3) % 7 AS edition", "(p_partkey + p_size) % 5 AS upd"], "p_partkey % 4 <> 1"),
+        "(p_size + p_partkey % 3) % 7 AS edition", "(p_partkey + p_size) % 5 AS upd", "p_partkey % 23 = 0 OR p_partkey % 38 = 0 AS cancelled"], "p_partkey % 4 <> 1"),
     "extremes": ("orders", [
         "o_custkey AS station", "epoch_us(o_orderdate)/1e6 + o_orderkey % 86400 AS t", "o_orderkey AS ok"], None),
     "tags": ("part", [

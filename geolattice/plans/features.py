@@ -44,10 +44,10 @@ def _(spark, sf):
 
 
 @query("P2_select_where", FEAT + """SELECT id, name, brand, size, price FROM features
- WHERE size >= 10 AND contains(lower(name), 'red') ORDER BY price DESC, id LIMIT 200""")
+ WHERE size >= 10 AND contains(lower(name), 'red') ORDER BY price DESC, id""")
 def _(spark, sf):
     df = ops.select_where(feats(spark, sf), [("size", ">=", "10"), ("NAME", "contains", " Red ")])
-    return ops.sort_rows(df, "price", ascending=False).limit(200).select("id", "name", "brand", "size", "price")
+    return ops.sort_rows(df, "price", ascending=False).select("id", "name", "brand", "size", "price")
 
 
 @query("P2_select_where_any", FEAT + """SELECT id FROM features WHERE depth IS NULL OR lit OR price > 1e3 AND price IS NOT NULL
@@ -111,9 +111,9 @@ def _(spark, sf):
                     F.round(geo.box_center(*box).lat, 6).alias("mid_lat"), F.round(geo.lon_span(box[1], box[3]), 6).alias("width"))
 
 
-@query("P21_value_errors", FEAT + """SELECT id, 'depth' AS field, CASE WHEN depth IS NULL THEN 'is required' WHEN depth < 3 THEN 'is below its minimum'
- ELSE 'is above its maximum' END AS error FROM features WHERE depth IS NULL OR depth < 3 OR depth > 45
- UNION ALL SELECT id, 'kind', 'is not one of its choices' FROM features WHERE kind NOT IN ('ECONOMY', 'PROMO')""")
+@query("P21_value_errors", FEAT + """SELECT id, 'depth' AS field, CASE WHEN depth IS NULL THEN 'missing' WHEN depth < 3 THEN 'below_min'
+ ELSE 'above_max' END AS error FROM features WHERE depth IS NULL OR depth < 3 OR depth > 45
+ UNION ALL SELECT id, 'kind', 'unlisted_choice' FROM features WHERE kind NOT IN ('ECONOMY', 'PROMO')""")
 def _(spark, sf):
     return ops.validate_rows(feats(spark, sf), {"depth": {"required": True, "lo": 3, "hi": 45}, "kind": {"choices": ["ECONOMY", "PROMO"]}})
 
@@ -122,8 +122,8 @@ def _(spark, sf):
  CASE WHEN p_partkey % 4 = 0 THEN 'date' ELSE 'integer' END AS type, CASE WHEN p_partkey % 5 = 0 THEN 'enumeration' ELSE '' END AS role,
  p_partkey % 3 AS n_choices, p_size AS min, 40 AS max, CASE WHEN p_partkey % 40 = 12 THEN 'F16' WHEN p_partkey % 40 = 13 THEN 'f17' END AS range_end FROM part WHERE p_partkey < 1200),
  c AS (SELECT lower(name) AS low, count(*) AS k FROM f GROUP BY 1), d AS (SELECT DISTINCT lower(name) AS low FROM f WHERE type = 'date'),
- e AS (SELECT f.name, CASE WHEN f.name = '' THEN 'has no name' WHEN k > 1 THEN 'appears twice' WHEN role = 'enumeration' AND n_choices = 0 THEN 'is a list with no choices'
- WHEN min > max THEN 'has min above max' WHEN coalesce(range_end, '') <> '' AND NOT (type = 'date' AND d.low IS NOT NULL) THEN 'ends its range at a field that is no date' END AS error
+ e AS (SELECT f.name, CASE WHEN f.name = '' THEN 'unnamed' WHEN k > 1 THEN 'duplicate_name' WHEN role = 'enumeration' AND n_choices = 0 THEN 'empty_choices'
+ WHEN min > max THEN 'crossed_limits' WHEN coalesce(range_end, '') <> '' AND NOT (type = 'date' AND d.low IS NOT NULL) THEN 'range_end_not_date' END AS error
  FROM f JOIN c ON lower(f.name) = c.low LEFT JOIN d ON lower(range_end) = d.low) SELECT DISTINCT name, error FROM e WHERE error IS NOT NULL""".replace(" WHERE p_partkey < 1200", ""))
 def _(spark, sf):
     f = table(spark, sf, "part").selectExpr(
@@ -212,29 +212,33 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, phone).when(k % 3 == 1, mail).otherwise(web).alias("url"))
 
 
-@query("F8_match_quality", """WITH q AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(translate(substr(text, 1, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> ''), ' ') AS q,
-  list_filter(regexp_split_to_array(translate(substr(text, 1, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> '') AS qt FROM benchmark),
- d2 AS (SELECT doc_id, translate(substr(text, 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM documents),
- m AS (SELECT doc_id, item_id, CASE WHEN len(qt) = 0 OR c = q THEN 0 WHEN starts_with(c, q) THEN 1
-  WHEN len(list_filter(qt, lambda t: len(list_filter(regexp_split_to_array(c, '[ \\n\\t\\r\\f\\x0B]+'), lambda w: starts_with(w, t))) = 0)) = 0 THEN 2 ELSE -1 END AS quality FROM d2, q)
+_WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> '')"
+
+
+@query("F8_match_quality", f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS t FROM benchmark),
+ q AS (SELECT item_id, array_to_string(t[1:2], ' ') AS q, t[1:2] AS qt FROM i),
+ d2 AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c, {_WORDS.format('text')} AS ct FROM documents),
+ w AS (SELECT DISTINCT doc_id, unnest(ct) AS w FROM d2), k AS (SELECT DISTINCT doc_id, item_id FROM w JOIN q ON starts_with(w, qt[1])),
+ m AS (SELECT doc_id, item_id, CASE WHEN c = q THEN 0 WHEN starts_with(c, q) THEN 1
+  WHEN len(list_filter(qt, lambda t: len(list_filter(ct, lambda w: starts_with(w, t))) = 0)) = 0 THEN 2 ELSE -1 END AS quality FROM k JOIN d2 USING (doc_id) JOIN q USING (item_id))
  SELECT doc_id, item_id, quality FROM m WHERE quality >= 0""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("c"))
-    q = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 3).alias("q"))
-    # every match of quality 0-2 has the first query word as a prefix of some title word: an equi join on
-    # that prefix replaces the cross product
-    first = F.coalesce(F.element_at(text.tokens(text.ascii_lower(F.col("q"))), 1), F.lit(""))
-    q = q.withColumn("k", first)
-    lens = F.sequence(F.lit(1), F.lit(3))
-    words = F.array_distinct(F.flatten(F.transform(text.tokens(text.ascii_lower(F.col("c"))), lambda w: F.transform(lens, lambda n: F.substring(w, F.lit(1), n)))))
-    d = d.withColumn("k", F.explode(words))
-    return (d.join(q, "k").select("doc_id", "item_id", text.match_quality(F.col("q"), F.col("c")).cast("int").alias("quality"))
+    # typed queries: the first two words of each benchmark text, over the whole texts of all documents
+    said = text.tokens(text.ascii_lower(F.col("text")))
+    q = table(spark, sf, "benchmark").select("item_id", F.slice(said, 1, 2).alias("qt")).select("item_id", F.array_join("qt", " ").alias("q"), F.element_at("qt", 1).alias("first"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("c"))
+    # a match has a word that starts with the query's first word: words and queries meet on the first four letters of that word, or all of it if it is shorter
+    q = q.withColumn("k", F.substring("first", 1, 4))
+    words = F.array_distinct(text.tokens(text.ascii_lower(F.col("c"))))
+    starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(w, F.lit(1), n)))))
+    met = d.select("doc_id", F.explode(starts).alias("k")).join(q, "k").select("doc_id", "item_id", "q")
+    return (met.join(d, "doc_id").select("doc_id", "item_id", text.match_quality(F.col("q"), F.col("c")).cast("int").alias("quality"))
             .filter(F.col("quality") >= 0))
 
 
-@query("F9_fold_title", """SELECT doc_id, trim(regexp_replace(translate(substr(text, 1, 60), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g')) AS folded FROM documents""")
+@query("F9_fold_title", """SELECT doc_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g')) AS folded FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.fold_title(F.substring("text", 1, 60)).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", text.fold_title(F.col("text")).alias("folded"))
 
 
 @query("F13_F15_measures", FEAT + """SELECT id, round(price*100/1852e0, 6) AS nm, round(price*100/(0.3048e0*0.3048e0), 3) AS sqft, round(size*7.3e0*17.777777777777777e0, 6) AS mils,
@@ -360,9 +364,9 @@ def _(spark, sf):
     return ops.rename_style_fields(rules, mapping, spark.createDataFrame([("depth_m",), ("Size",)], "name string"))
 
 
-@query("O1_attribute_sort", FEAT + "SELECT id, name FROM features ORDER BY lower(name), id LIMIT 500")
+@query("O1_attribute_sort", FEAT + "SELECT id, name FROM features ORDER BY lower(name), id")
 def _(spark, sf):
-    return ops.sort_rows(feats(spark, sf), "name").limit(500).select("id", "name")
+    return ops.sort_rows(feats(spark, sf), "name").select("id", "name")
 
 
 SEL = FEAT + ", cur AS (SELECT id FROM features WHERE size < 20), fnd AS (SELECT id FROM features WHERE kind = 'ECONOMY') "

@@ -46,8 +46,8 @@ WAYS = f"""WITH w0 AS (SELECT o_orderkey AS k FROM orders), ways AS (SELECT k AS
  pts AS (SELECT way, pos, k.node, lat, lon, CAST(sum(CASE WHEN lat IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY pos) AS BIGINT) AS run FROM krefs k LEFT JOIN nodes USING (node)),
  seg AS (SELECT way, run, pos, pts.node, lat, lon, uses > 1 OR is_end AS j, lead(pts.node) OVER w AS tn, lead(lat) OVER w AS tlat, lead(lon) OVER w AS tlon FROM pts JOIN use USING (node) WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY way, run ORDER BY pos)),
  cut AS (SELECT *, sum(CASE WHEN j THEN 1 ELSE 0 END) OVER (PARTITION BY way, run ORDER BY pos) AS piece FROM seg WHERE tn IS NOT NULL),
- edges AS (SELECT way, way*2048 + min(pos) AS edge, arg_min(node, pos) AS src, arg_max(tn, pos) AS dst, round(sum(2*6371008.8e0*asin(sqrt(pow(sin(radians(tlat - lat)/2), 2) + cos(radians(lat))*cos(radians(tlat))*pow(sin(radians(tlon - lon)/2), 2)))), 3) AS length_m FROM cut GROUP BY way, run, piece),
- arcs AS (SELECT edge*2 AS arc, edge, way, src, dst, length_m, klass FROM edges JOIN kept USING (way) WHERE dir <> 'backward' UNION ALL SELECT edge*2 + 1, edge, way, dst, src, length_m, klass FROM edges JOIN kept USING (way) WHERE dir <> 'forward') """
+ edges AS MATERIALIZED (SELECT way, way*1048576 + min(pos) AS edge, arg_min(node, pos) AS src, arg_max(tn, pos) AS dst, round(sum(2*6371008.8e0*asin(sqrt(pow(sin(radians(tlat - lat)/2), 2) + cos(radians(lat))*cos(radians(tlat))*pow(sin(radians(tlon - lon)/2), 2)))), 3) AS length_m FROM cut GROUP BY way, run, piece),
+ arcs AS MATERIALIZED (SELECT edge*2 AS arc, edge, way, src, dst, length_m, klass FROM edges JOIN kept USING (way) WHERE dir <> 'backward' UNION ALL SELECT edge*2 + 1, edge, way, dst, src, length_m, klass FROM edges JOIN kept USING (way) WHERE dir <> 'forward') """
 
 
 def kept(spark, sf):
@@ -58,15 +58,9 @@ def edges(spark, sf):
     return osm.build_edges(kept(spark, sf), osm_nodes(spark, sf))
 
 
-_BUILT: dict = {}
-
-
 def grid_arcs(spark, sf):
-    """The street graph as a stored table, built once per session as a user would store it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BUILT:
-        _BUILT[key] = written(osm.build_arcs(edges(spark, sf), kept(spark, sf)), "arcs")
-    return _BUILT[key]
+    """The street graph as a stored table."""
+    return written(osm.build_arcs(edges(spark, sf), kept(spark, sf)), "arcs")
 
 
 TAGS = with_ctes("tags")
@@ -146,7 +140,7 @@ def _(spark, sf):
 
 
 @query("G2_crossings", WAYS + """, lv AS (SELECT *, CASE klass WHEN 'trunk' THEN 3 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 1 ELSE 0 END AS met, CASE klass WHEN 'trunk' THEN 3 WHEN 'motorway' THEN 3 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 1 ELSE 0 END AS own FROM arcs),
- sg AS (SELECT arc FROM arcs WHERE dst % 10 = 0), o AS (SELECT a.arc, max(b.met) AS m FROM lv a JOIN lv b ON (b.src = a.dst OR b.dst = a.dst) AND b.edge <> a.edge GROUP BY a.arc)
+ sg AS (SELECT arc FROM arcs WHERE dst % 10 = 0), en AS (SELECT DISTINCT src AS node, edge, met FROM lv UNION SELECT dst, edge, met FROM lv), o AS (SELECT a.arc, max(b.met) AS m FROM lv a JOIN en b ON b.node = a.dst AND b.edge <> a.edge GROUP BY a.arc)
  SELECT arc, arc IN (SELECT arc FROM sg) AS signal, CASE WHEN arc NOT IN (SELECT arc FROM sg) AND m > own THEN m ELSE 0 END AS crossing FROM lv LEFT JOIN o USING (arc)""")
 def _(spark, sf):
     a = grid_arcs(spark, sf)
@@ -212,7 +206,7 @@ def _(spark, sf):
     return osm.turn_restrictions(restriction_relations(spark, sf), grid_arcs(spark, sf))[1]
 
 
-@query("G11_arcs_in_box", WAYS + ", ext AS (SELECT way*2048 + min(pos) AS edge, least(min(lat), min(tlat)) AS s, greatest(max(lat), max(tlat)) AS n, least(min(lon), min(tlon)) AS w, greatest(max(lon), max(tlon)) AS e FROM cut GROUP BY way, run, piece) SELECT arc FROM arcs JOIN ext USING (edge) WHERE s <= 32.05e0 AND n >= 32.02e0 AND w <= -79.95e0 AND e >= -79.98e0")
+@query("G11_arcs_in_box", WAYS + ", ext AS (SELECT way*1048576 + min(pos) AS edge, least(min(lat), min(tlat)) AS s, greatest(max(lat), max(tlat)) AS n, least(min(lon), min(tlon)) AS w, greatest(max(lon), max(tlon)) AS e FROM cut GROUP BY way, run, piece) SELECT arc FROM arcs JOIN ext USING (edge) WHERE s <= 32.05e0 AND n >= 32.02e0 AND w <= -79.95e0 AND e >= -79.98e0")
 def _(spark, sf):
     return osm.in_box(grid_arcs(spark, sf), (32.02, -79.98, 32.05, -79.95)).select("arc")
 
@@ -336,7 +330,11 @@ def _(spark, sf):
     return rt.ordered_stops(s, a, co.arc_cost(BIKE), a.select("arc", F.lit(None).cast("long").alias("twin"))).select("trip", "leg", "found", F.round("cost", 3).alias("cost"))
 
 
-@query("G6_heading_penalty", None)
+@query("G6_heading_penalty", WAYS + """, e2 AS (SELECT way, way*1048576 + min(pos) AS edge, arg_min(node, pos) AS src, arg_max(tn, pos) AS dst, arg_min(lat, pos) AS a1, arg_min(lon, pos) AS o1, arg_min(tlat, pos) AS a2, arg_min(tlon, pos) AS o2,
+ arg_max(tlat, pos) AS b1, arg_max(tlon, pos) AS p1, arg_max(lat, pos) AS b2, arg_max(lon, pos) AS p2 FROM cut GROUP BY way, run, piece),
+ x AS (SELECT edge*2 AS arc, src, a1, o1, a2, o2 FROM e2 JOIN kept USING (way) WHERE dir <> 'backward' UNION ALL SELECT edge*2 + 1, dst, b1, p1, b2, p2 FROM e2 JOIN kept USING (way) WHERE dir <> 'forward'),
+ y AS (SELECT src AS origin, arc, degrees(atan2(sin(radians(o2 - o1))*cos(radians(a2)), cos(radians(a1))*sin(radians(a2)) - sin(radians(a1))*cos(radians(a2))*cos(radians(o2 - o1)))) - (src*37 % 360) AS d FROM x)
+ SELECT origin, arc, CASE WHEN abs(d - 360*round(d/360)) > 90 THEN 45e0 ELSE 0e0 END AS penalty FROM y""")
 def _(spark, sf):
     a = grid_arcs(spark, sf)
     seeds = a.select(F.col("src").alias("node")).distinct().select(F.col("node").alias("origin"), "node", (F.col("node") * 37 % 360).cast("double").alias("heading"))

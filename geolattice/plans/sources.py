@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..session import scratch
 from ..sources import vector as src
 from .derived import derived, table, with_ctes
@@ -20,9 +21,11 @@ def geojson(spark, sf):
     props = F.struct("name", "size", "price", "lit", F.when(F.col("id") % 2 == 0, F.lit("2024-01-05")).otherwise("2023-11-30").alias("seen"), F.concat(F.lit("https://x.org/"), F.col("id").cast("string")).alias("page"),
                      F.concat(F.lit("+1 555 "), F.col("id").cast("string")).alias("phone"))
     f = F.struct(F.lit("Feature").alias("type"), (F.col("id") + 1).alias("id"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), props.alias("properties"))
-    # one collection per forty features
+    # one collection per forty features, indented, in a file of its own
     g = p.groupBy(F.floor(F.col("id") / 40).alias("g")).agg(F.array_sort(F.collect_list(f)).alias("features"))
-    return text_files(g.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")), "geojson")
+    path = scratch(spark, "geojson")
+    g.select("g", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"), {"pretty": "true"}).alias("value")).write.partitionBy("g").text(path)
+    return f"{path}/*/"
 
 
 @query("S2_geojson_source", with_ctes("features") + "SELECT id + 1 AS id, round(lat, 6) AS lat, round(lon, 6) AS lon, name FROM features")
@@ -39,11 +42,12 @@ def _(spark, sf):
 
 @query("S4_geojson_sink", None)
 def _(spark, sf):
-    b = derived(spark, sf, "boxes").filter("c_w < c_e")
+    # a box across +-180 is written as the two boxes on either side
+    b = derived(spark, sf, "boxes").select("cov_id", "series_id", F.explode(geo.box_parts(*[F.col(c) for c in ("c_s", "c_w", "c_n", "c_e")])).alias("b"))
 
     def p(a, o):
-        return F.struct(F.col(a).alias("lat"), F.col(o).alias("lon"))
-    ring = F.array(p("c_s", "c_w"), p("c_n", "c_w"), p("c_n", "c_e"), p("c_s", "c_e"), p("c_s", "c_w"))
+        return F.struct(F.col(f"b.{a}").alias("lat"), F.col(f"b.{o}").alias("lon"))
+    ring = F.array(p("s", "w"), p("n", "w"), p("n", "e"), p("s", "e"), p("s", "w"))
     return src.geojson_lines(b.select(F.col("cov_id").alias("id"), "series_id", F.array(ring).alias("rings")), ["series_id"])
 
 

@@ -147,10 +147,10 @@ def _(spark, sf):
 
 
 @query("W18_derived_heading", FX + """, c AS (SELECT track, seq, lat, lon, lag(lat) OVER w AS pa, lag(lon) OVER w AS po FROM fixes WINDOW w AS (PARTITION BY track ORDER BY seq)),
- h AS (SELECT track, seq, CASE WHEN pa IS NOT NULL AND (pa <> lat OR po <> lon) THEN degrees(atan2(sin(radians(lon - po))*cos(radians(lat)), cos(radians(pa))*sin(radians(lat)) - sin(radians(pa))*cos(radians(lat))*cos(radians(lon - po)))) END AS b FROM c)
+ h AS (SELECT track, seq, CASE WHEN seq % 7 = 3 THEN (seq % 360)*1e0 WHEN pa IS NOT NULL AND (pa <> lat OR po <> lon) THEN degrees(atan2(sin(radians(lon - po))*cos(radians(lat)), cos(radians(pa))*sin(radians(lat)) - sin(radians(pa))*cos(radians(lat))*cos(radians(lon - po)))) END AS b FROM c)
  SELECT track, seq, round(coalesce(last_value(CASE WHEN b < 0 THEN b + 360 ELSE b END IGNORE NULLS) OVER (PARTITION BY track ORDER BY seq), 0), 4) AS heading_deg FROM h""")
 def _(spark, sf):
-    return tr.derived_heading(derived(spark, sf, "fixes"), size=1000).select("track", "seq", F.round("heading_deg", 4).alias("heading_deg"))
+    return tr.derived_heading(derived(spark, sf, "fixes").withColumn("told", F.when(F.col("seq") % 7 == 3, (F.col("seq") % 360).cast("double"))), size=1000, reported="told").select("track", "seq", F.round("heading_deg", 4).alias("heading_deg"))
 
 
 @query("W19_densify", PREV + """SELECT track, seq, CAST(k AS INT) AS part FROM vin, range(1, 2000) r(k) WHERE k <= greatest(1, ceil(coalesce(rng, 0)/250))""")

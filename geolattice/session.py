@@ -26,10 +26,12 @@ def build(app: str = "geolattice", master: str | None = None, **extra: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one when unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a session on one machine may go without it and gets a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

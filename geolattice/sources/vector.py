@@ -11,17 +11,35 @@ URL = r"^https?://\S+$"
 PHONE_NAMES = ["phone", "tel", "telephone", "phone_number"]
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features (file, pos, fid, geometry, properties) of collections, one document per file or per line.
+# Geometry types.
+GEOMETRIES = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection"]
 
-    Geometry and properties stay VARIANT, so numbers, texts and booleans remain apart.
+
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(file, v, kind): parsed documents, one per file (on as many lines as it likes) or one per line."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    v = raw.select("file", F.try_parse_json("value").alias("v"))
+    return v.withColumn("kind", F.try_variant_get("v", "$.type", "string"))
+
+
+def bad_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, error): documents that are no JSON (not_json) or neither features nor a geometry (no_features)."""
+    ok = F.col("kind").isin("FeatureCollection", "Feature", *GEOMETRIES)
+    d = _documents(spark, path, lines).select("file", F.when(F.col("v").isNull(), "not_json").when(~F.coalesce(ok, F.lit(False)), "no_features").alias("error"))
+    return d.filter(F.col("error").isNotNull())
+
+
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features (file, pos, fid, geometry, properties) of documents: collections, single features or bare geometries.
+
+    A file is one document; with ``lines`` every line is one. Geometry and properties stay VARIANT, so numbers, texts and
+    booleans remain apart. What is none of these gives no rows here; ``bad_geojson`` lists it.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    v = F.col("v")
-    kind = F.try_variant_get(v, "$.type", "string")
+    raw = _documents(spark, path, lines).filter(F.col("kind").isin("FeatureCollection", "Feature", *GEOMETRIES))
+    v, kind = F.col("v"), F.col("kind")
     items = F.when(kind == "FeatureCollection", F.try_variant_get(v, "$.features", "array<variant>")).when(kind == "Feature", F.array(v)).otherwise(
         F.array(F.parse_json(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.to_json(v), F.lit("}")))))
-    e = raw.filter(v.isNotNull()).select("file", F.posexplode(items).alias("pos", "f"))
+    e = raw.select("file", F.posexplode(items).alias("pos", "f"))
     return e.select("file", "pos", F.try_variant_get("f", "$.id", "bigint").alias("fid"), F.try_variant_get("f", "$.geometry", "variant").alias("geometry"), F.try_variant_get("f", "$.properties", "variant").alias("properties"))
 
 
