@@ -248,6 +248,10 @@ FACT = """CASE klass WHEN 'primary' THEN 2.5e0 WHEN 'residential' THEN 0.8e0 WHE
  *CASE WHEN speed_kph > 60 THEN 1e0 ELSE 1.4e0 END*CASE WHEN speed_kph > 40 THEN CASE WHEN speed_kph <= 45 THEN 1e0 WHEN speed_kph <= 70 THEN 1.3e0 ELSE 1.7e0 END ELSE 1e0 END"""
 
 
+_HALF = "CASE {} WHEN 1 THEN 2.5e0 WHEN 2 THEN 5e0 WHEN 3 THEN 10e0 ELSE 0e0 END"
+WAIT = f"CASE WHEN arc % 5 = 0 THEN 20e0 ELSE {_HALF.format('arc % 4')} END + {_HALF.format('arc % 3')}"
+
+
 @query("P18_usable_arcs", ARCS + "SELECT arc FROM arcs WHERE klass <> 'service'")
 def _(spark, sf):
     return arcs(spark, sf).filter(co.usable(BIKE)).select("arc")
@@ -280,7 +284,7 @@ def usable_arcs(spark, sf):
     return arcs(spark, sf).filter(co.usable(BIKE))
 
 
-COSTD = ARCS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", cst AS (SELECT src, dst, min(round(({SECS})*({FACT}), 6)) AS w FROM arcs WHERE klass <> 'service' GROUP BY src, dst),
+COSTD = ARCS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", cst AS (SELECT src, dst, min(round(({SECS})*({FACT}) + ({WAIT}), 6)) AS w FROM arcs WHERE klass <> 'service' GROUP BY src, dst),
  d(origin, node, cost, round) AS (SELECT s_suppkey, s_suppkey, 0e0, 0 FROM supplier WHERE s_suppkey < 6
  UNION ALL SELECT origin, dst, min(c), r FROM (SELECT d.origin, cst.dst, round(d.cost + w, 6) AS c, d.round + 1 AS r FROM d JOIN cst ON cst.src = d.node WHERE d.round < 12) x GROUP BY origin, dst, r) """
 
@@ -288,7 +292,7 @@ COSTD = ARCS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", cst AS (SELECT src,
 @query("G3_cost_distance", COSTD + "SELECT origin, node, round(min(cost), 3) AS cost FROM d GROUP BY origin, node")
 def _(spark, sf):
     seeds = table(spark, sf, "supplier").filter("s_suppkey < 6").select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("node"))
-    st = rt.cost_distance(seeds, usable_arcs(spark, sf), co.arc_cost(BIKE))
+    st = rt.cost_distance(seeds, usable_arcs(spark, sf), co.travel_cost(BIKE))
     return rt.node_costs(st).select("origin", "node", F.round("cost", 3).alias("cost"))
 
 
@@ -301,14 +305,14 @@ def trips(spark, sf):
 @query("G4_routes", COSTD + """, b AS (SELECT origin, node, min(cost) AS cost FROM d GROUP BY 1, 2), t AS (SELECT c_custkey AS trip, c_custkey % 5 AS origin, CASE WHEN c_custkey % 50 = 7 THEN -5 ELSE (c_custkey*13) % n END AS dest FROM customer, ns)
  SELECT trip, cost IS NOT NULL AS found, round(cost, 3) AS cost FROM t LEFT JOIN b ON b.origin = t.origin AND b.node = t.dest""")
 def _(spark, sf):
-    r = rt.routes(trips(spark, sf), usable_arcs(spark, sf), co.arc_cost(BIKE))
+    r = rt.routes(trips(spark, sf), usable_arcs(spark, sf), co.travel_cost(BIKE))
     return r.groupBy("trip").agg(F.max("found").alias("found"), F.round(F.max("cost"), 3).alias("cost"))
 
 
 @query("A21_route_summary", None)
 def _(spark, sf):
     a = usable_arcs(spark, sf)
-    return rt.route_summary(rt.routes(trips(spark, sf), a, co.arc_cost(BIKE)), a, co.seconds(BIKE))
+    return rt.route_summary(rt.routes(trips(spark, sf), a, co.travel_cost(BIKE)), a, co.seconds(BIKE))
 
 
 @query("G3_turn_restricted", None)
@@ -318,7 +322,7 @@ def _(spark, sf):
     res = x.select(F.col("dst").alias("via"), F.col("arc").alias("from_arc")).join(a.filter("arc % 7 = 2").select(F.col("src").alias("via"), F.col("arc").alias("to_arc")), "via").filter("via % 9 = 4")
     res = res.groupBy("via", "from_arc").agg(F.min("to_arc").alias("to_arc")).withColumn("kind", F.when(F.col("from_arc") % 2 == 0, "only").otherwise("no"))
     seeds = table(spark, sf, "supplier").filter("s_suppkey < 4").select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("node"))
-    return rt.node_costs(rt.cost_distance(seeds, a, co.arc_cost(BIKE), res)).select("origin", "node", F.round("cost", 3).alias("cost"))
+    return rt.node_costs(rt.cost_distance(seeds, a, co.travel_cost(BIKE), res)).select("origin", "node", F.round("cost", 3).alias("cost"))
 
 
 @query("G5_ordered_stops", None)
@@ -327,7 +331,7 @@ def _(spark, sf):
     s = table(spark, sf, "supplier").crossJoin(F.broadcast(n)).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
     s = s.select(F.col("s_suppkey").alias("trip"), "n", ((F.col("s_suppkey") * 7 + F.col("n") * 29) % F.col("k")).alias("node"))
     a = usable_arcs(spark, sf)
-    return rt.ordered_stops(s, a, co.arc_cost(BIKE), a.select("arc", F.lit(None).cast("long").alias("twin"))).select("trip", "leg", "found", F.round("cost", 3).alias("cost"))
+    return rt.ordered_stops(s, a, co.travel_cost(BIKE), a.select("arc", F.lit(None).cast("long").alias("twin"))).select("trip", "leg", "found", F.round("cost", 3).alias("cost"))
 
 
 @query("G6_heading_penalty", WAYS + """, e2 AS (SELECT way, way*1048576 + min(pos) AS edge, arg_min(node, pos) AS src, arg_max(tn, pos) AS dst, arg_min(lat, pos) AS a1, arg_min(lon, pos) AS o1, arg_min(tlat, pos) AS a2, arg_min(tlon, pos) AS o2,
