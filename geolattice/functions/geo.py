@@ -61,7 +61,7 @@ def sphere_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2 = F.radians(lit(lat1)), F.radians(lit(lat2))
     dl = F.radians(lit(lon2) - lit(lon1))
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return 2 * EARTH_R * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_R * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))   # null stays null; least() would skip it
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -54,11 +54,11 @@ def build_edges(ways: DataFrame, nodes: DataFrame, cut_at: DataFrame | None = No
            .filter(F.col("to_node").isNotNull()))
     seg = seg.withColumn("piece", F.sum(F.when(F.col("is_junction"), 1).otherwise(0)).over(w))
     d = seg.withColumn("len", geo.sphere_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")))
-    pts = F.array_sort(F.collect_list(F.struct("pos", "lat", "lon", "to_lat", "to_lon")))
+    pts = F.array_sort(F.collect_list(F.struct("pos", "lat", "lon", "node", "to_lat", "to_lon", "to_node")))
     e = d.groupBy("way", "run", "piece").agg(F.min_by("node", "pos").alias("src"), F.max_by("to_node", "pos").alias("dst"),
                                              F.sum("len").alias("length_m"), F.min("pos").alias("pos"), pts.alias("_p"))
-    shape = F.concat(F.array(F.struct(F.col("_p")[0]["lat"].alias("lat"), F.col("_p")[0]["lon"].alias("lon"))),
-                     F.transform("_p", lambda x: F.struct(x.to_lat.alias("lat"), x.to_lon.alias("lon"))))
+    shape = F.concat(F.array(F.struct(F.col("_p")[0]["lat"].alias("lat"), F.col("_p")[0]["lon"].alias("lon"), F.col("_p")[0]["node"].alias("node"))),
+                     F.transform("_p", lambda x: F.struct(x.to_lat.alias("lat"), x.to_lon.alias("lon"), x.to_node.alias("node"))))
     # way and first position make a stable edge id, with room for a million positions and ways below 2^43
     return e.select("way", (F.col("way") * 1048576 + F.col("pos")).alias("edge"), "src", "dst", "length_m", shape.alias("shape"))
 
@@ -114,19 +114,17 @@ def barrier_edges(edges: DataFrame, ways: DataFrame, barriers: DataFrame) -> Dat
     return j.groupBy("edge").agg(*[F.get(words, F.max(F.element_at(m, F.col(f"imposed.{c}")))).alias(c) for c in ("bicycle", "foot", "motor")])
 
 
-def signal_arcs(arcs: DataFrame, signals: DataFrame, points: DataFrame, reach_m: float = 30.0) -> DataFrame:
+def signal_arcs(arcs: DataFrame, signals: DataFrame, reach_m: float = 30.0) -> DataFrame:
     """Arcs whose far end has a signal: at the node itself, or on the approach within reach of the end.
 
-    ``points`` are the resolved way points; the distance from a point to the edge's end is a cumulative
-    length along one edge.
+    Signals meet the shape by node id; the distance from a point to the edge's end is a cumulative length along one edge.
     """
     direct = arcs.join(signals.select(F.col("node").alias("dst")), "dst", "left_semi").select("arc")
     sh = arcs.select("arc", F.posexplode("shape").alias("pos", "p"))
     w = Window.partitionBy("arc").orderBy(F.col("pos").desc())
     back = sh.withColumn("_d", F.coalesce(geo.sphere_m(F.col("p.lat"), F.col("p.lon"), F.lag("p.lat").over(w), F.lag("p.lon").over(w)), F.lit(0.0)))
     back = back.withColumn("to_end", F.sum("_d").over(w)).filter(F.col("to_end") <= reach_m)
-    spots = signals.join(points.select("node", "lat", "lon").distinct(), "node").select("lat", "lon").distinct()
-    near = back.join(spots, (F.col("p.lat") == F.col("lat")) & (F.col("p.lon") == F.col("lon"))).filter(F.col("pos") > 0).select("arc")
+    near = back.join(signals.select(F.col("node").alias("_sn")).distinct(), F.col("p.node") == F.col("_sn")).filter(F.col("pos") > 0).select("arc")
     return direct.union(near).distinct()
 
 

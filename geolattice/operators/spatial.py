@@ -1,7 +1,8 @@
 """Bucket joins: boxes, nearest neighbours and radius candidates as equi joins on grid cells.
 
-Hot cells: a join key that holds many rows is split by ``salted_join`` (the big side keeps one random
-salt, the other side is copied once per salt, only for keys counted as hot).
+Hot cells: both sides of a cell join are dealt out by the cell for that join alone (no aggregate stands between), so
+adaptive execution splits the partition of a crowded cell on either side, by its measured size. Settings in ``session``
+switch this on.
 """
 from __future__ import annotations
 
@@ -9,26 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
 
-HOT_ROWS = 100_000
-SALTS = 32
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Equi join that spreads left-side hot keys over ``salts`` tasks.
-
-    The hot-key list holds at most rows/hot_rows entries and is joined, never collected. Valid for
-    inner, left, left_semi and left_anti joins: each left row meets every matching right row once.
-    """
-    hot = left.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    lh = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or on),
-                                              F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    rh = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return lh.join(rh, [*on, "_salt"], how).drop("_salt")
-
 
 def with_cells(df: DataFrame, box: tuple, size: float) -> DataFrame:
     """One row per grid cell a (s, w, n, e) box touches; crossing boxes are split at +-180 first."""
@@ -50,7 +31,7 @@ def box_join(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple, size: float
         bx = F.col(f"_b{tag}")
         return (d.withColumn("_row", F.explode(F.sequence(F.floor(bx.s / size), F.floor(bx.n / size))))
                 .withColumn("_col", F.explode(F.sequence(F.floor(bx.w / size), F.floor(bx.e / size)))))
-    j = salted_join(parts(a, a_box, "a"), parts(b, b_box, "b"), ["_row", "_col", *(also or [])])
+    j = parts(a, a_box, "a").join(parts(b, b_box, "b"), ["_row", "_col", *(also or [])])
     s, w = F.greatest("_ba.s", "_bb.s"), F.greatest("_ba.w", "_bb.w")
     hit = (s <= F.least("_ba.n", "_bb.n")) & (w <= F.least("_ba.e", "_bb.e"))
     home = (F.col("_row") == F.floor(s / size)) & (F.col("_col") == F.floor(w / size))
@@ -84,20 +65,8 @@ def radius_join(points: DataFrame, others: DataFrame, radius_m: float, lat: str,
     return box_join(p, others, ("_ps", "_pw", "_pn", "_pe"), box, size).drop("_ps", "_pw", "_pn", "_pe")
 
 
-FULL_CELL = 256
-
-
-def _levels(cells: DataFrame, deepest: int) -> int:
-    """0 when no radius-sized cell holds many targets, else how far the grid is refined.
-
-    One aggregate row comes back; it only decides how many grid levels the plan carries.
-    """
-    most = cells.groupBy("_row", "_col").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    return 0 if most <= FULL_CELL else deepest
-
-
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon: str, target_id: str,
-            t_lat: str, t_lon: str, radius_m: float, levels: int | None = None) -> DataFrame:
+            t_lat: str, t_lon: str, radius_m: float, levels: int = 6) -> DataFrame:
     """The nearest target within a radius, ties (to the micrometre) to the lowest id; unmatched points are left out.
 
     Each point is searched only on the finest grid level whose own cell already holds a target: that
@@ -113,9 +82,6 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon:
     def cell(c: Column, lv: Column) -> Column:
         return F.floor(c / (F.lit(top) * F.pow(F.lit(0.5), lv)))
 
-    if levels is None:
-        zero = F.lit(0)
-        levels = _levels(uniq.select(cell(F.col("_tlat"), zero).alias("_row"), cell(F.col("_tlon"), zero).alias("_col")), 6)
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
     t_cells = (uniq.withColumn("_lv", lv).withColumn("_row", cell(F.col("_tlat"), F.col("_lv")))
                .withColumn("_col", cell(F.col("_tlon"), F.col("_lv"))))
@@ -141,7 +107,7 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, lat: str, lon:
              .withColumn("_col", F.explode(F.sequence(F.floor(F.col("_sp.w") / size), F.floor(F.col("_sp.e") / size))))
              .drop("_sp"))
     d = geo.plane_m(F.col("_plat"), F.col("_plon"), F.col("_tlat"), F.col("_tlon"))
-    best = (salted_join(probe, t_cells, ["_lv", "_row", "_col"]).withColumn("_d", d).filter(F.col("_d") <= radius_m)
+    best = (probe.join(t_cells, ["_lv", "_row", "_col"]).withColumn("_d", d).filter(F.col("_d") <= radius_m)
             .groupBy("_plat", "_plon").agg(F.min(F.struct(F.round("_d", 6).alias("_k"), "_tid", "_d")).alias("_m")))
     return (pts.join(best, ["_plat", "_plon"])
             .select(F.col("_pid").alias(point_id), F.col("_m._tid").alias(target_id), F.col("_m._d").alias("distance_m")))
@@ -176,13 +142,13 @@ def segments_in_radius(points: DataFrame, segs: DataFrame, radius_m: float) -> D
     reach_lon = top / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("lat")))) + 1e-9
     probe = (points.withColumn("_row", F.explode(F.sequence(F.floor((F.col("lat") - top - 1e-9) / top), F.floor((F.col("lat") + top + 1e-9) / top))))
              .withColumn("_col", F.explode(F.sequence(F.floor((F.col("lon") - reach_lon) / top), F.floor((F.col("lon") + reach_lon) / top)))))
-    j = salted_join(probe, segment_cells(segs, top, 0).drop("_lv"), ["_row", "_col"])
+    j = probe.join(segment_cells(segs, top, 0).drop("_lv"), ["_row", "_col"])
     j = geo.with_projection(j, "p", "lat", "lon", "alat", "alon", "blat", "blon")
     here = (F.floor(F.col("p.lat") / top) == F.col("_row")) & (F.floor(F.col("p.lon") / top) == F.col("_col"))
     return j.filter(here & (F.col("p.distance_m") <= radius_m)).select("pid", "seg", "p")
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels: int | None = None) -> DataFrame:
+def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels: int = 4) -> DataFrame:
     """The nearest segment of each point within a radius: (pid, seg, distance_m, along_m, lat, lon).
 
     ``points`` has pid, lat, lon; ``segs`` has seg, alat, alon, blat, blon. Works as ``nearest``: at
@@ -192,8 +158,6 @@ def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels:
     """
     top = radius_m / geo.M_PER_DEG
     size = F.lit(top) * F.pow(F.lit(0.5), F.col("_lv"))
-    if levels is None:
-        levels = _levels(segment_cells(segs, top, 0), 4)
     t_cells = segment_cells(segs, top, levels)
     occupied = t_cells.select("_lv", "_row", "_col").distinct()
     spots = points.select("lat", "lon").distinct()
@@ -210,7 +174,7 @@ def nearest_segment(points: DataFrame, segs: DataFrame, radius_m: float, levels:
     lon_reach = lat_reach / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("lat"))))
     probe = (home.withColumn("_row", F.explode(F.sequence(F.floor((F.col("lat") - lat_reach) / size), F.floor((F.col("lat") + lat_reach) / size))))
              .withColumn("_col", F.explode(F.sequence(F.floor((F.col("lon") - lon_reach) / size), F.floor((F.col("lon") + lon_reach) / size)))))
-    near = geo.with_projection(salted_join(probe, t_cells, ["_lv", "_row", "_col"]), "_p", "lat", "lon", "alat", "alon", "blat", "blon")
+    near = geo.with_projection(probe.join(t_cells, ["_lv", "_row", "_col"]), "_p", "lat", "lon", "alat", "alon", "blat", "blon")
     best = (near.filter(F.col("_p.distance_m") <= radius_m)
             .groupBy("lat", "lon").agg(F.min(F.struct(F.round("_p.distance_m", 6).alias("k"), "seg", F.col("_p.distance_m").alias("d"),
                                                       F.col("_p").alias("p"))).alias("_m")))

@@ -147,10 +147,13 @@ def _(spark, sf):
     return osm.crossings(a, a.filter("dst % 10 = 0").select("arc"))
 
 
-@query("J8_signal_arcs", None)
+@query("J8_signal_arcs", WAYS + """, sh AS (SELECT way*1048576 + min(pos) OVER (PARTITION BY way, run, piece) AS edge, way, pos, node, tn, 2*6371008.8e0*asin(sqrt(pow(sin(radians(tlat - lat)/2), 2) + cos(radians(lat))*cos(radians(tlat))*pow(sin(radians(tlon - lon)/2), 2))) AS m FROM cut),
+ ac AS (SELECT edge, edge*2 AS arc, node, tn, sum(m) OVER (PARTITION BY edge ORDER BY pos DESC) AS d, pos, min(pos) OVER (PARTITION BY edge) AS lo, 1 AS fwd FROM sh JOIN kept USING (way) WHERE dir <> 'backward'
+ UNION ALL SELECT edge, edge*2 + 1, tn, node, sum(m) OVER (PARTITION BY edge ORDER BY pos), -pos, min(-pos) OVER (PARTITION BY edge), 0 FROM sh JOIN kept USING (way) WHERE dir <> 'forward')
+ SELECT arc FROM arcs WHERE dst % 10 = 0 UNION SELECT arc FROM ac WHERE node % 10 = 0 AND pos > lo AND d <= 120""")
 def _(spark, sf):
     n = osm_nodes(spark, sf)
-    return osm.signal_arcs(grid_arcs(spark, sf), n.filter("node % 10 = 0").select("node"), osm.way_points(kept(spark, sf), n), 120.0)
+    return osm.signal_arcs(grid_arcs(spark, sf), n.filter("node % 10 = 0").select("node"), 120.0)
 
 
 @query("J7_barrier_edges", WAYS + """, b AS (SELECT node, CASE node % 3 WHEN 0 THEN 2 ELSE 0 END AS motor, CASE WHEN node % 4 = 1 THEN 1 ELSE 0 END AS bike FROM nodes WHERE node % 7 = 1), role AS (SELECT node, way, bool_and(pos = 0 OR pos = n - 1) AS ends FROM krefs WHERE node IN (SELECT node FROM b) GROUP BY node, way),

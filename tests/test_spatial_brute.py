@@ -47,14 +47,6 @@ def test_nearest_segment_all_levels(spark):
                 assert got[i][0] == best[1]
 
 
-def test_salted_join_equals_join(spark):
-    left = spark.createDataFrame([(i, 0 if i % 3 else i % 7) for i in range(300)], "i long, k long")
-    right = spark.createDataFrame([(j, j % 5) for j in range(20)], "j long, k long")
-    for how in ("inner", "left", "left_anti"):
-        a = sorted(map(str, spatial.salted_join(left, right, ["k"], how, hot_rows=20, salts=4).collect()))
-        assert a == sorted(map(str, left.join(right, "k", how).collect()))
-
-
 def test_merge_pieces_brute_force(spark):
     r = random.Random(9)
     rows = []
