@@ -35,8 +35,13 @@ def normalize_lon(lon: Column) -> Column:
     return F.when(r == 0.0, 180.0).otherwise(r - 180.0)
 
 
+def clamp(v, low: float, high: float) -> Column:
+    """The value held between two numbers; null stays null, which least() and greatest() would skip."""
+    return F.when(lit(v) < low, low).when(lit(v) > high, high).otherwise(lit(v))
+
+
 def clamp_lat(lat: Column) -> Column:
-    return F.least(F.lit(90.0), F.greatest(F.lit(-90.0), lit(lat)))
+    return clamp(lat, -90.0, 90.0)
 
 
 def normalize_heading(deg: Column) -> Column:
@@ -182,9 +187,9 @@ def box_around(lat: Column, lon: Column, radius_m) -> Column:
     scale = M_PER_DEG * F.cos(F.radians(lat))
     dlon = F.when(scale > 1e-6, F.try_divide(lit(radius_m), scale)).otherwise(F.lit(360.0))
     whole = dlon >= 180.0
-    return F.struct(F.greatest(F.lit(-90.0), lat - dlat).alias("s"),
+    return F.struct(clamp(lat - dlat, -90.0, 180.0).alias("s"),
                     F.when(whole, -180.0).otherwise(normalize_lon(lon - dlon)).alias("w"),
-                    F.least(F.lit(90.0), lat + dlat).alias("n"),
+                    clamp(lat + dlat, -180.0, 90.0).alias("n"),
                     F.when(whole, 180.0).otherwise(normalize_lon(lon + dlon)).alias("e"))
 
 

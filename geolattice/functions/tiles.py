@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from .geo import lit
+from .geo import clamp, lit
 
 # Latitude limit of the square world, metres per pixel at zoom 0 (256-pixel tiles).
 MAX_LAT = 85.0511287798066
@@ -21,12 +21,12 @@ def tile_x_exact(lon, z) -> Column:
 
 
 def tile_y_exact(lat, z) -> Column:
-    p = F.radians(F.least(F.lit(MAX_LAT), F.greatest(F.lit(-MAX_LAT), lit(lat))))
+    p = F.radians(clamp(lat, -MAX_LAT, MAX_LAT))
     return (1.0 - F.asinh(F.tan(p)) / math.pi) / 2.0 * per_axis(z)
 
 
 def _whole(v: Column, z) -> Column:
-    return F.least(F.greatest(F.floor(v), F.lit(0)), per_axis(z).cast("long") - 1).cast("int")
+    return F.when(v.isNotNull(), F.least(F.greatest(F.floor(v), F.lit(0)), per_axis(z).cast("long") - 1)).cast("int")
 
 
 def tile_x(lon, z) -> Column:
@@ -69,7 +69,7 @@ def m_per_pixel(z, lat) -> Column:
 
 def zoom_for_scale(denom, lat, mm_per_pixel, z_min: int, z_max: int) -> Column:
     """Whole zoom whose ground resolution is nearest the display scale."""
-    p = F.least(F.lit(MAX_LAT), F.greatest(F.lit(-MAX_LAT), lit(lat)))
+    p = clamp(lat, -MAX_LAT, MAX_LAT)
     view = lit(denom) * lit(mm_per_pixel) / 1000.0
     z = F.log2(F.try_divide(M_PER_PIXEL_Z0 * F.cos(F.radians(p)), view))
     return F.when((lit(denom) > 0) & z.isNotNull(),
@@ -77,7 +77,7 @@ def zoom_for_scale(denom, lat, mm_per_pixel, z_min: int, z_max: int) -> Column:
 
 
 def scale_for_zoom(z, lat, mm_per_pixel) -> Column:
-    return m_per_pixel(z, F.least(F.lit(MAX_LAT), F.greatest(F.lit(-MAX_LAT), lit(lat)))) * 1000.0 / lit(mm_per_pixel)
+    return m_per_pixel(z, clamp(lat, -MAX_LAT, MAX_LAT)) * 1000.0 / lit(mm_per_pixel)
 
 
 def tiles_covering(s, w, n, e, z) -> Column:
