@@ -314,7 +314,9 @@ def main_text(pages: DataFrame, sample: int = 256, id_col: str = "page_id", url_
     repeated rows give equal texts; an empty table trains on nothing and gives an empty table; other columns are ignored. One pass, no shuffle.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    drawn = rows.where("html <> ''").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample).collect()   # the bound of the fit
+    hashed = rows.where("html <> ''").select("html", F.xxhash64("html").alias("h"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]   # the bound of the fit: numbers only, of different pages
+    drawn = sorted(hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html")).collect(), key=lambda r: r.h) if least else []   # one page each
     shared = pages.sparkSession.sparkContext.broadcast(train([r.html for r in drawn]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
