@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geolattice.llm import text as tx
 
@@ -79,6 +80,15 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
+def _above(value: Column, bounds: list[int]) -> Column:
+    """How many of the descending bounds lie above the value, by way of every k-th of them first."""
+    k = max(1, math.isqrt(len(bounds)))
+    count = lambda held: F.size(F.filter(held, lambda b: b > value))
+    coarse = count(F.lit(bounds[::k]).cast("array<long>"))
+    fine = F.slice(F.lit(bounds).cast("array<long>"), (coarse - 1) * k + 1, F.lit(k))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * k + count(fine))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Rows sorted within tasks so that each text is followed by the next one's, in descending order of ids; after the last comes the first.
 
@@ -90,7 +100,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], F.lit(20 * ranges))).first()[0] if ranges > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)     # at most `ranges` numbers
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b > F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(_above(F.col("doc_id"), bounds))
     heads = rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()   # one row per range
     before = {r.part: heads[i - 1].part for i, r in enumerate(heads)}
     rows = rows.withColumn("part", part)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 #: Bytes of text that one step of a task holds at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _U = np.uint64
 
 SPACE = np.zeros(256, bool)
