@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"))).alias("hub")).select(F.bitwise_not("bucket").alias("other"), (-F.col("hub.least")).alias("hub"))
     shared = written(ranked.join(hubs, F.bitwise_not("bucket") == F.col("other")).select("hub", "doc_id").distinct(), "shared")
     ids = shared.select(F.col("doc_id").alias("id")).distinct()
-    texts = written(rows.join(ids, F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    # ids has no bound, so it is never broadcast
+    texts = written(rows.join(ids.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     star = shared.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     links = written(_verified(star, texts, width).where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
     found = connected(links)
