@@ -30,7 +30,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates, and of rows that repeat an id one; rows without an id stay."""
-    first = near_duplicates(docs).where("doc_id = group_id").select(F.col("doc_id").alias("_first"))
+    first = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_first"))
     named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_first")).select(*[docs[c] for c in docs.columns])
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 

@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often they come. Two texts are linked if some band of `depth` of their ProbMinHash positions agrees and their exact probability Jaccard
     similarity is `similarity` or more (at 0.8 and the usual 32 bands of 6, a link is missed with chance 6e-5). Groups are the connected pieces.
 
-    Returns one row per distinct id: `doc_id`, `class_id` (the least id with the same word sequence) and `group_id` (the least id of the group).
+    Returns one row per distinct id: `doc_id`, `class_id` (the least id of its group) and `copy_id` (the least id with the same word sequence).
 
     Defined cases: null and empty texts, and those without words, are one class and are linked to nothing else; a text of fewer than `width` words is one shingle of all
     its words; rows that repeat an id count once, by the greatest text; rows with a null id are left out, as they cannot be named; extra columns are ignored.
@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(_prints(rows, width, bands, depth), "prints")
     # repeated ids: one word sequence each
     named = written(prints.groupBy("doc_id").agg(F.max(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2"), "named")
-    classes = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = written(named.join(classes, ["k1", "k2"]).select("doc_id", "class_id"), "members")
-    reps = classes.select("k1", "k2", F.col("class_id").alias("doc_id"))
+    copies = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id")), "copies")
+    members = written(named.join(copies, ["k1", "k2"]).select("doc_id", "copy_id"), "members")
+    reps = copies.select("k1", "k2", F.col("copy_id").alias("doc_id"))
     banded = prints.join(reps, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("bands").alias("band", "value"))
     banded = written(banded.select("doc_id", F.xxhash64("band", "value").alias("bucket")), "banded")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), "n")
@@ -224,4 +224,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(root, F.col("hub") == F.col("hub_node"), "left").select("hub", "doc_id", "root", (F.col("root") == F.coalesce("hub_root", "hub")).alias("linked"))
     more = written(_apart(written(placed, "placed"), texts, similarity, width, block), "more")
     groups = connected(links.union(more))
-    return members.join(groups, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"))
+    return members.join(groups, F.col("copy_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "copy_id").alias("class_id"), "copy_id")

@@ -267,7 +267,7 @@ def test_near_duplicates_against_all_pairs(spark):
         docs[60_000 + k] = " ".join(base[:60] + ["".join(rng.choice("ghijkl") for _ in range(5)) for _ in range(90)])
     frame = spark.createDataFrame([*docs.items(), (None, "x y z"), (70_000, None), (70_001, ""), (70_001, "")], "doc_id long, text string").selectExpr("*", "1 as k1", "'b' as bucket", "2 as root")
     rows = near_dups.near_duplicates(frame).collect()
-    group, kind = {r.doc_id: r.group_id for r in rows}, {r.doc_id: r.class_id for r in rows}
+    group, kind = {r.doc_id: r.class_id for r in rows}, {r.doc_id: r.copy_id for r in rows}
     assert len(rows) == len(group) == len(docs) + 2 and group[70_000] == group[70_001] == 70_000
     sets = {d: shingles_of(t) for d, t in docs.items()}
     root = {d: d for d in docs}
@@ -421,7 +421,7 @@ def test_pipeline_drops_what_its_stages_name(spark):
     kept = {r.doc_id for r in good.select("doc_id").collect()}
     assert sum((d in kept) == bool(q) for d, q in marked.items()) > 0.98 * len(marked)
     one = corpus_pipeline.one_of_each_group(spark, docs, sf)
-    groups_ = near_dups.near_duplicates(docs).select("group_id").distinct().count()
+    groups_ = near_dups.near_duplicates(docs).select("class_id").distinct().count()
     assert one.count() == groups_ and one.select("text").distinct().count() == one.count()
     leaks = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert leaks and {r.doc_id for r in corpus_pipeline.without_leaks(spark, docs, sf).select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - leaks
