@@ -7,7 +7,7 @@ import time
 
 HEADLINE = ["P2_select_where", "P3_saved_queries", "A4_quantiles_real", "J1_coverage_overlap", "J3_nearest_node", "O2_O3_W16_search", "W1_speed", "W3_drop_non_monotonic",
             "A14_path_lengths", "J17_track_state", "J18_tide_height", "W12_windows_below", "F28_F29_arc_cost", "G3_cost_distance", "R3_contour_segments", "R5_hillshade",
-            "R8_viewshed", "F22_J24_cpa", "T8_cpa_alarms", "J16_compare_catalog", "W17_M8_update_state", "A9_zoom_extent"]
+            "R8_viewshed", "A12_chart_names", "G1_road_graph", "F22_J24_cpa", "T8_cpa_alarms", "J16_compare_catalog", "W17_M8_update_state", "A9_zoom_extent"]
 
 
 def main() -> None:
