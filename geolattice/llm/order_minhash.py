@@ -4,7 +4,6 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,56 +12,142 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geolattice.llm import text as tx
 
 _U = np.uint64
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, k: int = 6, tuples: int = 64, size: int = 2, sketch: int = 256) -> np.ndarray:
-    """`tuples` hashes of 32 bits. Each of as many random orders ranks the text's k-mers, every occurrence numbered; its `size`
+#: Code points of the texts, and k-mers, that are worked on at once.
+BLOCK = 1 << 16
+#: The bits of a k-mer's hash that give way to its place when places are sorted by k-mer.
+PLACE = 20
+
+
+def fingerprint(text: str, k: int = 6, tuples: int = 64, size: int = 2) -> np.ndarray:
+    """`tuples` hashes of 32 bits. Each of as many random orders ranks all of the text's k-mers, every occurrence numbered; its `size`
     least, put back into text order, are hashed together.
 
-    The orders are drawn over the occurrences of the k-mers with the `sketch` least base hashes (all, in shorter texts), a sample of
-    all k-mers of the whole text that equal k-mers enter alike. A text of fewer than k code points is one k-mer; an empty text has none and gives zeros.
+    A text of fewer than k code points is one k-mer; an empty text has none and gives zeros.
     """
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    if not len(code):
-        return np.zeros(tuples, np.uint32)
-    width = min(k, len(code))
-    n = len(code) - width + 1
-    kmer = np.zeros(n, _U)
-    for j in range(width):
-        kmer *= _U(0x9E3779B97F4A7C15)
-        kmer += code[j:j + n]
-    kmer = tx.mix(kmer)
-    if n > sketch:
-        bound = np.partition(kmer, sketch - 1)[sketch - 1]
-        place = np.flatnonzero(kmer <= bound)
-        kmer = kmer[place]
-    else:
-        place = np.arange(n)
-    order = np.argsort(kmer, kind="stable")        # text order within equal k-mers
-    held = kmer[order]
-    new = np.concatenate([[True], held[1:] != held[:-1]])
-    start = np.flatnonzero(new)
-    number = np.empty(len(kmer), _U)
-    number[order] = (np.arange(len(kmer)) - start[np.cumsum(new) - 1]).astype(_U)
-    keys = tx.mix(kmer + number * _U(0xC2B2AE3D27D4EB4F))
-    ranks = _ranks(keys, tuples)
-    take = min(size, len(keys))
-    best = np.argpartition(ranks, take - 1, axis=1)[:, :take] if take < len(keys) else np.broadcast_to(np.arange(take), (tuples, take))
-    best = np.sort(best, axis=1)                   # places ascend, so this is text order
-    total = np.zeros(tuples, _U)
-    for j in range(take):
-        total = tx.mix(total * _U(3) + keys[best[:, j]])
+    return fingerprints_of([text], k, tuples, size)[0]
+
+
+def fingerprints_of(texts: list[str], k: int = 6, tuples: int = 64, size: int = 2) -> np.ndarray:
+    """One row per text. Texts are taken together up to BLOCK code points; a longer one is taken alone."""
+    made, group, weight = [np.zeros((0, tuples), np.uint32)], [], 0
+    for t in texts:
+        if group and weight + len(t) > BLOCK:
+            made.append(_together(group, k, tuples, size))
+            group, weight = [], 0
+        group.append(t)
+        weight += len(t)
+    if group:
+        made.append(_together(group, k, tuples, size))
+    return np.concatenate(made)
+
+
+def _together(texts: list[str], k: int, tuples: int, size: int) -> np.ndarray:
+    keys, many = numbered(texts, k)
+    total = np.zeros((len(texts), tuples), _U)
+    first = np.cumsum(many) - many
+    for i in np.flatnonzero((many > 0) & (many <= size)).tolist():
+        for j in range(many[i]):
+            total[i] = tx.mix(total[i] * _U(3) + keys[first[i] + j])
+    rest = np.flatnonzero(many > size)
+    if len(rest):
+        best = _least(keys, np.repeat(np.arange(len(texts)), many), many, rest, tuples, size)
+        for j in range(size):
+            total[rest] = tx.mix(total[rest] * _U(3) + keys[best[rest, :, j]])
     return (total >> _U(32)).astype(np.uint32)
 
 
-def _ranks(keys: np.ndarray, tuples: int) -> np.ndarray:
-    seeds = tx.mix(np.arange(1, tuples + 1, dtype=_U) * _U(0xD1342543DE82EF95))
-    x = keys[None, :] ^ seeds[:, None]
-    x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
-    x *= _U(0xA0761D6478BD642F)
-    return x
+def numbered(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every k-mer of the texts in text order, and how many each text has; equal k-mers of a text differ by how many came before."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(length) - length
+    many = np.where(length > 0, np.maximum(length - k + 1, 1), 0)
+    wide = np.concatenate([code, np.zeros(k - 1, np.uint32)])
+    kmer = np.zeros(len(code), _U)
+    for j in range(k):
+        kmer *= _U(0x9E3779B97F4A7C15)
+        kmer += wide[j:j + len(code)]
+    for i in np.flatnonzero((length > 0) & (length < k)).tolist():
+        whole = 0
+        for c in code[start[i]:start[i] + length[i]].tolist():
+            whole = (whole * 0x9E3779B97F4A7C15 + c) & 0xFFFFFFFFFFFFFFFF
+        kmer[start[i]] = whole
+    kmer = tx.mix(kmer) >> _U(PLACE) << _U(PLACE)
+    parts = []
+    for a, n in zip(start.tolist(), many.tolist()):
+        own = kmer[a:a + n]
+        parts.append(own)
+        if n < 2:
+            continue
+        if n <= 1 << PLACE:
+            held = np.sort(own | np.arange(n, dtype=_U))       # text order within equal k-mers
+            order = None
+        else:
+            order = np.argsort(own, kind="stable")
+            held = own[order]
+        again = np.flatnonzero((held[1:] ^ held[:-1]) < _U(1 << PLACE)) + 1
+        if len(again):
+            head = np.concatenate([[True], np.diff(again) > 1])         # each run of equal k-mers
+            number = np.arange(len(again)) - np.flatnonzero(head)[np.cumsum(head) - 1] + 1
+            at = (held[again] & _U((1 << PLACE) - 1)).astype(np.int64) if order is None else order[again]
+            own[at] += number.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    return tx.mix(np.concatenate(parts)), many
+
+
+def _least(keys: np.ndarray, owner: np.ndarray, many: np.ndarray, texts: np.ndarray, tuples: int, take: int) -> np.ndarray:
+    """(all texts, tuples, take): the places of the least keys of every order, ascending, for the named texts, which have more than `take` keys.
+
+    A key meets the orders at the times of its own random process, each time a random one of them; its rank in an order is when it first
+    meets it, so ranks are independent and every order ranks all keys. Only times below a bound are worked out: an order that
+    `take` keys have met by then has its least among them, and the bound is doubled until all orders have.
+    """
+    best = np.full((len(many), tuples, take), -1)
+    bound = (4.0 * take + 2) / np.maximum(many, 1)
+    while len(texts):
+        open_ = np.zeros(len(many), bool)
+        open_[texts] = True
+        todo = np.flatnonzero(open_[owner])
+        met = [_meetings(keys, todo[at:at + BLOCK], bound[owner[todo[at:at + BLOCK]]], tuples) for at in range(0, len(todo), BLOCK)]
+        time, order, place = (np.concatenate([m[i] for m in met]) for i in range(3))
+        group = owner[place] * tuples + order
+        flat = best.reshape(-1, take)
+        for j in range(take):
+            low = np.full(len(flat), np.inf)
+            np.minimum.at(low, group, time)
+            hit = np.flatnonzero(time == low[group])
+            flat[group[hit], j] = place[hit]
+            keep = np.flatnonzero(place != flat[group, j])        # a key counts in an order from their first meeting
+            time, group, place = time[keep], group[keep], place[keep]
+        short = (best[texts] < 0).any((1, 2))
+        texts = texts[short]
+        best[texts] = -1
+        bound[texts] *= 2
+    return np.sort(best, axis=2)
+
+
+def _meetings(keys: np.ndarray, place: np.ndarray, bound: np.ndarray, tuples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times below the bounds, orders and places of all meetings of the keys at `place`. One order is met in a unit of time on average."""
+    times, orders, places = [], [], []
+    state, time = keys[place], np.zeros(len(place))
+    while len(place):
+        state = tx.mix(state + _U(0x9E3779B97F4A7C15))
+        # a chance of at most exp(-tuples x time left) ends a key's process: most go without a logarithm
+        keep = np.flatnonzero((state >> _U(16)) >= (np.exp(-tuples * (bound - time)) * 2.0 ** 48).astype(_U)) if times else \
+            np.flatnonzero((state >> _U(16)) >= np.repeat(*_runs(bound, tuples)))
+        state, time, place, bound = state[keep], time[keep], place[keep], bound[keep]
+        time = time - np.log(((state >> _U(16)) + _U(1)) * 2.0 ** -48) / tuples
+        times.append(time)
+        orders.append(((state & _U(0xFFFF)) * _U(tuples) >> _U(16)).astype(np.int64))
+        places.append(place)
+    return np.concatenate(times), np.concatenate(orders), np.concatenate(places)
+
+
+def _runs(bound: np.ndarray, tuples: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least first draw that stays below each bound, and for how many keys on end."""
+    at = np.concatenate([[0], np.flatnonzero(np.diff(bound)) + 1])
+    return (np.exp(-tuples * bound[at]) * 2.0 ** 48).astype(_U), np.diff(np.concatenate([at, [len(bound)]]))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -121,31 +206,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple[int, int | None, str, bool]]:
-            for b in tx.slices(batches, "text"):
-                yield from zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("extra").to_pylist())
-
-        out: list[tuple] = []
-        weight = 0
-        for _, group in groupby(stream(), key=lambda r: r[0]):
-            held = None
-            for _, doc, body, extra in group:
-                own = fingerprint(body, k, tuples, size)
+        held, current = None, None       # the row before, until its range has its one extra row
+        for b in tx.slices(batches, "text"):
+            texts = tx.column(b, "text")
+            pairs = []
+            for row in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), texts, fingerprints_of(texts, k, tuples, size), b.column("extra").to_pylist()):
+                part, _, _, _, extra = row
+                if part != current:
+                    held, current = None, part
+                elif held is None:
+                    continue
                 if held is not None:
-                    text = edited(held[1], body)
-                    other = fingerprint(text, k, tuples, size)
-                    out.append((held[0], len(held[1]), text, written_out(held[2]), written_out(other), likeness(held[2], other), likeness(held[2], own)))
-                    weight += len(text)
-                held = (doc, body, own)
-                if extra:
-                    break
-                if weight > tx.SLICE:
-                    yield _batch(out)
-                    out, weight = [], 0
-            for _ in group:
-                pass
-        if out:
-            yield _batch(out)
+                    pairs.append((held, row))
+                held = None if extra else row
+            if pairs:
+                changed = [edited(x[2], y[2]) for x, y in pairs]
+                yield _batch([(x[1], len(x[2]), t, written_out(x[3]), written_out(f), likeness(x[3], f), likeness(x[3], y[3]))
+                              for (x, y), t, f in zip(pairs, changed, fingerprints_of(changed, k, tuples, size))])
 
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -234,6 +234,33 @@ def test_order_minhash_follows_edits_and_order():
     assert near(base) == 1 > near(" ".join(few)) > near(" ".join(many)) and near(" ".join(few)) > near(" ".join(moved))
 
 
+def test_order_minhash_ranks_all_kmers():
+    rng = random.Random(9)
+    longs = ["".join(rng.choices("abcdefghij ", k=6000)) for _ in range(30)]
+    # the first half of a text holds half of its k-mers, so an order's least is among them with chance 1/2, its two least with 1/4
+    for size, want in ((1, 0.5), (2, 0.25)):
+        whole, half = order_minhash.fingerprints_of(longs, size=size), order_minhash.fingerprints_of([t[:3000] for t in longs], size=size)
+        assert order_minhash.likeness(whole, half) == pytest.approx(want, abs=0.05)
+    # every order ranks every k-mer: the process of each key, run until it has met all orders
+    texts = ["abcdefg", "abcabcabcabcabc", longs[0][:400], "x", "", "e" * 300, longs[1]]
+    keys, many = order_minhash.numbered(texts, 6)
+    assert len(set(keys[:many[0] + many[1]].tolist())) == many[0] + many[1]
+    owner = np.repeat(np.arange(len(texts)), many)
+    got = order_minhash._least(keys, owner, many, np.flatnonzero((many > 2) & (many < 1000)), 8, 2)
+    for i in (1, 2, 5):
+        rank = np.full((8, len(keys)), np.inf)
+        for p in np.flatnonzero(owner == i):
+            state, time = keys[p:p + 1], 0.0
+            while np.isinf(rank[:, p]).any():
+                state = tx.mix(state + np.uint64(0x9E3779B97F4A7C15))
+                x = int(state[0])
+                time -= math.log(((x >> 16) + 1) * 2.0 ** -48) / 8
+                order = (x & 0xFFFF) * 8 >> 16
+                rank[order, p] = min(rank[order, p], time)
+        assert (np.sort(np.argsort(rank, axis=1)[:, :2], axis=1) == got[i]).all()
+    assert all((a == order_minhash.fingerprint(t)).all() for a, t in zip(order_minhash.fingerprints_of(texts), texts))
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "a </s> [INST] \\ b"), (1, 2, "assistant", "<\\/s>"), (1, 0, "system", "<<SYS>> x <"), (1, 3, "user", None), (2, 0, "user", "only"), (3, 0, "assistant", ""), (3, None, "assistant", "<"),
             (4, 0, None, "who"), (4, 1, "to</s>ol", "/s> [\\/INST] <s>"), (4, 1, "to</s>ol", "/s> [\\/INST] <s>"), (None, 0, "assistant", "日本")]
