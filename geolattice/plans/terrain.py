@@ -89,8 +89,7 @@ def _(spark, sf):
 
 @query("R4_contour_lines", None)
 def _(spark, sf):
-    smooth = te.overview(posts(spark, sf), 8)
-    return te.contour_lines(te.contour_segments(smooth, levels=[250.0]))
+    return te.contour_lines(te.contour_segments(posts(spark, sf), interval=50.0))
 
 
 NB = P + ", n AS (SELECT a.row, a.col, a.elev AS up, coalesce(b.elev, a.elev) AS lf, coalesce(c.elev, b.elev, a.elev) AS rt FROM posts a LEFT JOIN posts b ON b.row = a.row - 1 AND b.col = a.col LEFT JOIN posts c ON c.row = a.row - 1 AND c.col = a.col + 1 WHERE a.elev IS NOT NULL) "
@@ -172,10 +171,11 @@ def _(spark, sf):
 
 @query("W20_fill_nodes", None)
 def _(spark, sf):
-    p = posts(spark, sf).filter("row % 3 = 0")
+    p = posts(spark, sf)
     key = F.col("row") * 120 + F.col("col")
     nodes = p.select(key.alias("node"), F.when(F.col("col") % 6 == 0, F.col("elev")).alias("elev"), F.lit(0.0).alias("fallback"))
-    links = p.filter("col < 119").select(key.alias("u"), (key + 1).alias("v"), (10.0 + F.col("col") % 5).alias("length"))
+    links = p.filter("col < 119").select(key.alias("u"), (key + 1).alias("v"), (10.0 + F.col("col") % 5).alias("length")).union(
+        p.select(key.alias("u"), (key + 120).alias("v"), (10.0 + F.col("row") % 5).alias("length")))
     return te.fill_nodes(nodes, links.join(nodes.select(F.col("node").alias("v")), "v", "left_semi"), tol=0.005).select("node", F.round("elev", 2).alias("elev"))
 
 

@@ -95,3 +95,32 @@ def test_boxes_in_one_crowded_cell(spark):
     (ra, a), (rb, b) = boxes(300, "a"), boxes(200, "b")
     got = {(r.ai, r.bi) for r in spatial.box_join(a, b, ("as", "aw", "an", "ae"), ("bs", "bw", "bn", "be"), 10.0).collect()}
     assert got == {(x[0], y[0]) for x, y in itertools.product(ra, rb) if x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4]}
+
+
+def test_fill_and_contours_take_the_full_grid(spark):
+    import numpy as np
+    from geolattice import plans
+    from geolattice.plans.terrain import posts
+    sf = "/root/testdata/sf0.001"
+    z = {(r.row, r["col"]): r.elev for r in posts(spark, sf).collect()}
+    got = {r.node: r.elev for r in plans.QUERIES["W20_fill_nodes"](spark, sf).collect()}
+    assert set(got) == {r * 120 + c for r, c in z}
+    # what is filled solves the balance of every free post with its neighbours along rows and columns
+    fixed = {p: e for p, e in z.items() if p[1] % 6 == 0 and e is not None}
+    free = [p for p in z if p not in fixed]
+    at = {p: i for i, p in enumerate(free)}
+    a, b = np.zeros((len(free), len(free))), np.zeros(len(free))
+    for p, i in at.items():
+        r, c = p
+        for q, length in (((r, c - 1), 10 + (c - 1) % 5), ((r, c + 1), 10 + c % 5), ((r - 1, c), 10 + (r - 1) % 5), ((r + 1, c), 10 + r % 5)):
+            if q in z:
+                a[i, i] += 1 / length
+                if q in at:
+                    a[i, at[q]] -= 1 / length
+                else:
+                    b[i] += fixed[q] / length
+    want = np.linalg.solve(a, b)
+    assert max(abs(got[r * 120 + c] - want[i]) for (r, c), i in at.items()) < 0.1
+    lines = plans.QUERIES["R4_contour_lines"](spark, sf).groupBy("level").count().collect()
+    segments = {r.level: r["segments"] for r in terrain.contour_segments(posts(spark, sf), interval=50.0).groupBy("level").agg(F.count("*").alias("segments")).collect()}
+    assert len(segments) > 3 and {r.level: r["count"] for r in lines} == segments
