@@ -259,16 +259,16 @@ def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005) -> DataFr
     return cur.select("node", F.coalesce("elev", "fallback", F.lit(0.0)).alias("elev"))
 
 
-def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps: int = 500) -> DataFrame:
+def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps: int | None = None) -> DataFrame:
     """For each observer (id, row, col, height_m, steps) the height at which each post in range is first seen.
 
-    Posts are matched to observers by an equi join on blocks of posts; an observer's lattice is at most
-    (2*max_steps+1)^2 posts, so its group has a fixed size: a longer range keeps its reach and takes
-    every ``stride``-th post instead (in the result; 1 up to ``max_steps``). Rings grow outwards: the line of sight of
+    Posts are matched to observers by an equi join on blocks of posts. Every post in range is judged, whatever the range;
+    an observer is one group of (2*steps+1)^2 posts in one task. Only a caller that names ``max_steps`` gets every ``stride``-th
+    post (in the result, else 1) where ``steps`` is over it. Rings grow outwards: the line of sight of
     a post comes from the two posts nearer the observer it lies between (min, max and interpolated).
     """
     size = 64
-    o = observers.withColumn("stride", F.greatest(F.lit(1), F.ceil(F.col("steps") / max_steps)).cast("int"))
+    o = observers.withColumn("stride", (F.greatest(F.lit(1), F.ceil(F.col("steps") / max_steps)) if max_steps else F.lit(1)).cast("int"))
     rows = F.sequence(F.floor((F.col("row") - F.col("steps")) / size), F.floor((F.col("row") + F.col("steps")) / size))
     cols = F.sequence(F.floor((F.col("col") - F.col("steps")) / size), F.floor((F.col("col") + F.col("steps")) / size))
     ob = o.select("id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "height_m", "steps", "stride", F.explode(rows).alias("_br"), cols.alias("_cs")).withColumn("_bc", F.explode("_cs")).drop("_cs")

@@ -55,6 +55,14 @@ def test_a_long_view_keeps_its_range(spark):
     assert len(terrain.viewshed(ob, posts, 90.0).collect()) == 41 * 41
 
 
+def test_a_view_over_500_posts_judges_every_post(spark):
+    posts = spark.range(1201).select(F.lit(0).alias("row"), F.col("id").alias("col"), F.when(F.col("id") == 603, 500.0).otherwise(5.0).alias("elev"))
+    ob = spark.createDataFrame([(1, 0, 600, 2.0, 600)], "id long, row long, col long, height_m double, steps int")
+    rows = {r["col"]: r for r in terrain.viewshed(ob, posts, 90.0).collect()}
+    assert sorted(rows) == list(range(1201)) and {r.stride for r in rows.values()} == {1}
+    assert rows[603].vh_interp == 0 and rows[610].vh_interp > 400 and rows[590].vh_interp < 1      # the peak, which no second post meets, hides what lies behind
+
+
 def test_long_routes_come_whole(spark):
     arcs = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(12)], "arc long, src long, dst long, w double")
     od = spark.createDataFrame([(1, 0, 3), (2, 1, 11), (3, 0, 0), (4, 5, 2)], "trip long, origin long, dest long")
