@@ -110,6 +110,23 @@ def test_exchange_raises_the_objective_by_what_it_says():
         assert value(got[u]) == pytest.approx(max(value(b) for b in range(k)))
 
 
+def test_exchange_goes_on_until_neither_half_helps(spark, monkeypatch):
+    rounds, true = [], class_lm.exchange
+
+    def watched(contexts, classes, own, turn):
+        rounds.append((class_lm.objective(class_lm.transitions(contexts, classes)), set(turn.tolist())))
+        return true(contexts, classes, own, turn)
+    monkeypatch.setattr(class_lm, "exchange", watched)
+    model = class_lm.fit(spark.read.parquet(f"{SF}/documents.parquet"), exchange_words=200, endings=50, classes=8)
+    end = class_lm.objective(model.table)
+    assert [r[0] for r in rounds[-2:]] == [end, end]
+    assert rounds[-1][1] | rounds[-2][1] == set(range(250))     # both halves were tried from the last classes
+    # a first round that does not help ends nothing
+    rounds.clear()
+    monkeypatch.setattr(class_lm, "exchange", lambda contexts, classes, own, turn: np.zeros_like(classes) if len(turn) == 250 else watched(contexts, classes, own, turn))
+    assert class_lm.objective(class_lm.fit(spark.read.parquet(f"{SF}/documents.parquet"), exchange_words=200, endings=50, classes=8).table) > rounds[0][0]
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
