@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from geolattice.llm import text as tx
+from geolattice.session import written
 
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KIND = np.full(256, 0, np.int64)
@@ -111,14 +112,18 @@ def fit_ranker(x: np.ndarray, label: np.ndarray, pairs: int = 40_000, ridge: flo
         if rate <= 1e-4 or now - new < 1e-7:
             break
         w, now = w - rate * step, new
-    strength = z @ w
     level = float((label == 0).mean()) if quantile is None else quantile
-    return Ranker(middle, scale, w, float(np.quantile(strength, [level * 0.98, level * 0.98 + 0.02]).mean()))
+    return Ranker(middle, scale, w, float(np.quantile(z @ w, around(level)).mean()))
+
+
+def around(level: float) -> list[float]:
+    return [level * 0.98, level * 0.98 + 0.02]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit: float) -> Ranker:
-    """Fit on at most `sample` labelled documents, those with the least hash of their id; rows with crc32(id) mod 3 = 1 are held out.
+    """Fit the weights on at most `sample` labelled documents, those with the least hash of their id; rows with crc32(id) mod 3 = 1 are held out.
 
+    If there are more, the threshold is the quantile over the strengths of all labelled documents that are not held out, found in one pass on Spark.
     Null ids and labels teach nothing; an id with differing labels takes their majority, and nothing at a tie.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
@@ -135,7 +140,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192, id_col: str =
     made = marked.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(run, "id long, y double, x array<double>")
     got = sorted((r.id, tuple(r.x), r.y) for r in made.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")).collect())   # at most `sample` rows
     x = np.array([r[1] for r in got]).reshape(len(got), -1) if got else np.zeros((0, 2 * KINDS + 15))
-    return fit_ranker(x, np.array([float(r[2] > 0.5) for r in got]), **fit)
+    ranker = fit_ranker(x, np.array([float(r[2] > 0.5) for r in got]), **fit)
+    if ids.limit(sample + 1).count() <= sample or not ranker.weights.any():
+        return ranker
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches, "text"):
+            yield pa.record_batch([b.column("id").cast(pa.int64()), pa.array(shared.value.strength(features(tx.column(b, "text"))))], ["id", "s"])
+
+    # texts stay where they are: only an id and a number a row meet the labels; of an id's texts the least strength counts
+    judged = texts.where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string")) % 3 != 1)).select(F.col("id").cast("long").alias("id"), "text").mapInArrow(judge, "id long, s double")
+    every = written(judged.groupBy("id").agg(F.min("s").alias("s")).join(ids.select(F.col("id").cast("long").alias("id"), "y"), "id").select("y", "s"), "strengths")
+    level = fit.get("quantile")
+    if level is None:
+        level = every.agg(F.avg(F.when(F.col("y") > 0.5, 0.0).otherwise(1.0))).first()[0]
+    ends = every.agg(F.percentile_approx("s", around(level), F.lit(1_000_000))).first()[0]     # two numbers
+    return replace(ranker, threshold=float(np.mean(ends)))
 
 
 def score_quality(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

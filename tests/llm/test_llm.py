@@ -354,6 +354,19 @@ def test_groups_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000, 1002: 1000}
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    known = [(r.text, label[r.doc_id]) for r in docs.collect() if r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    y = np.array([v for _, v in known])
+    ranker = quality.learn(docs, labels, sample=len(known) // 4)
+    assert ranker.weights.any()
+    strength = np.sort(ranker.strength(quality.features([t for t, _ in known])))
+    level = (y == 0).mean()
+    want = np.mean([strength[math.ceil(q * len(strength)) - 1] for q in quality.around(level)])
+    assert ranker.threshold == pytest.approx(want)
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     marked = {r.doc_id: r.quality for r in labels.collect()}
