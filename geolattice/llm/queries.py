@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolattice.llm import chat, class_lm, decontaminate, line_dedup, main_text, near_dups, order_minhash, packing, quality, url_rules
+from geolattice.llm import chat, class_lm, decontaminate, host_rules, line_dedup, main_text, near_dups, order_minhash, packing, quality, token_links, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,21 @@ def op10_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge_hosts(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_blocked", "kept")
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_order_packing, op3_line_dedup, op4_benchmark_decontamination, op5_order_minhash, op6_prefix_target_chat,
-                                      op7_probminhash_dedup, op8_bradley_terry_quality, op9_boosted_html, op10_link_graph_url_filter)}
+                                      op7_probminhash_dedup, op8_bradley_terry_quality, op9_boosted_html, op10_link_graph_url_filter, op11_host_rules, op12_token_links, op13_whitening)}
 
 ORACLES = {
     "op3_line_dedup": r"""
@@ -87,4 +100,25 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(upto) FILTER (role = 'assistant' OR i = n)::bigint AS formatted_chars
         FROM f GROUP BY conv_id""",
+    "op11_host_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+        cut AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        windows AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM cut)),
+        twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+        covered AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest([0, 1, 2]) AS j FROM twice) GROUP BY r),
+        m AS (SELECT r, doc_id, host, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                     coalesce(covered.n, 0) AS n_repeat_words FROM cut LEFT JOIN covered USING (r)),
+        f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines FROM m),
+        long AS (UNPIVOT (SELECT host, short::int AS short, repeats::int AS repeats, symbols::int AS symbols, lines::int AS lines FROM f WHERE host IS NOT NULL) ON short, repeats, symbols, lines INTO NAME rule VALUE failed),
+        h AS (SELECT host, rule, count(*) AS n, sum(failed)::hugeint AS f FROM long GROUP BY host, rule),
+        moments AS (SELECT rule, (sum(f * 1000000000 // n)::double / count(*)::double) / 1e9 AS mean,
+                           (sum(CASE WHEN n > 1 THEN f * (f - 1) * 1000000000 // (n * (n - 1)) ELSE 0 END)::double / nullif(count(*) FILTER (n > 1), 0)::double) / 1e9 AS square FROM h GROUP BY rule),
+        prior AS (SELECT *, square - mean * mean AS spread, greatest(mean * (1.0::double - mean) / nullif(square - mean * mean, 0) - 1.0::double, 0.0::double) AS weight FROM moments),
+        rate AS (SELECT host, CASE WHEN spread > 0 THEN (f::double + mean * weight) / (n::double + weight) ELSE mean END AS rate FROM h JOIN prior USING (rule)),
+        blocked AS (SELECT DISTINCT host FROM rate WHERE rate > 0.5)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, blocked.host IS NOT NULL AS host_blocked,
+               NOT (short OR repeats) AND blocked.host IS NULL AS kept
+        FROM f LEFT JOIN blocked ON f.host = blocked.host""",
 }
