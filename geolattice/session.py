@@ -42,17 +42,28 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back (columnar, so later scans prune)."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: they survive the loss of any executor.
+
+    A checkpoint would keep the size estimate of the plan it replaces. In a loop, where every round joins the last with what
+    was made from it, such estimates multiply from round to round until planning never ends; a written table has its true size.
+    """
+    return written(df, "step")
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that `written` or `cut_lineage` made, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
