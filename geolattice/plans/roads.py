@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cost as co, geo, tags as tg
-from ..operators import osm, routing as rt, tracks as tr
+from ..operators import arc_routes as ar, osm, routing as rt, tracks as tr
 from ..session import written
 from .derived import derived, table, with_ctes
 from .registry import query
@@ -348,6 +348,59 @@ def _(spark, sf):
     return rt.heading_penalty(seeds, a)
 
 
+#: From a quarter of one street to the middle of one some blocks on, for every customer; searches end at a cost.
+ROUTE_LIMIT = 500.0
+
+
+def street_trips(spark, sf, a):
+    first = a.groupBy("way").agg(F.min("arc").alias("arc"))
+    t = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("trip")).agg(F.min("o_orderkey").alias("way"))
+    t = t.join(first.withColumnRenamed("arc", "from_arc"), "way").join(first.select((F.col("way") - 194).alias("way"), F.col("arc").alias("to_arc")), "way")
+    none = F.lit(None)
+    return t.select("trip", none.cast("long").alias("from_node"), "from_arc", F.lit(0.25).alias("from_at"), none.cast("long").alias("to_node"), "to_arc", F.lit(0.5).alias("to_at"),
+                    (F.col("trip") * 37 % 360 + 0.5).alias("heading"))
+
+
+def street_turns(a):
+    """At every ninth junction, crossing over from a northward or southward street to another road costs 15 s; at every tenth one it may not be made."""
+    inn = a.filter("way % 2 = 1").select(F.col("arc").alias("in_arc"), F.col("dst").alias("node"), F.col("edge").alias("_e"))
+    out = a.filter("way % 2 = 0").select("arc", F.col("src").alias("node"), F.col("edge").alias("_f"))
+    t = inn.join(out, "node").filter("_e <> _f and (node % 9 = 0 or node % 10 = 0)")
+    return t.select("in_arc", "arc", F.when(F.col("node") % 10 != 0, 15.0).alias("extra"))
+
+
+def street_routes(spark, sf):
+    a = grid_arcs(spark, sf)
+    return a, *ar.arc_routes(street_trips(spark, sf, a), a, F.round(F.round("length_m", 3) * 0.2, 3), street_turns(a), False, ROUTE_LIMIT)
+
+
+STREETS = WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ra AS MATERIALIZED (SELECT a.*, round(a.length_m*0.2e0, 3) AS w, b.arc AS twin, round(b.length_m*0.2e0, 3) AS tw, CASE WHEN way % 2 = 0 THEN 90 ELSE 0 END + CASE WHEN arc % 2 = 1 THEN 180 ELSE 0 END AS brg
+  FROM (SELECT arc, edge, way, src, dst, length_m FROM arcs) a LEFT JOIN (SELECT arc, edge, length_m FROM arcs) b ON b.edge = a.edge AND b.arc <> a.arc),
+ fa AS (SELECT way, min(arc) AS arc FROM ra GROUP BY way), tr AS MATERIALIZED (SELECT trip, f.arc AS fa, g.arc AS ta, trip*37 % 360 + 0.5e0 AS h FROM (SELECT o_custkey AS trip, min(o_orderkey) AS way FROM orders GROUP BY 1) t JOIN fa f USING (way) JOIN fa g ON g.way = t.way + 194),
+ st AS (SELECT trip, arc, 0.25e0 AS at, h FROM tr JOIN ra ON arc = fa UNION ALL SELECT trip, twin, 0.75e0, h FROM tr JOIN ra ON arc = fa WHERE twin IS NOT NULL),
+ seed AS MATERIALIZED (SELECT trip, st.arc, at, w, CASE WHEN least((h - brg + 720) % 360, 360 - (h - brg + 720) % 360) > 90 THEN 45e0 ELSE 0e0 END AS pen FROM st JOIN ra ON ra.arc = st.arc),
+ mv AS MATERIALIZED (SELECT a.arc AS in_arc, b.arc, b.w, CASE WHEN a.way % 2 = 1 AND b.way % 2 = 0 AND a.dst % 9 = 0 THEN 15e0 ELSE 0e0 END AS extra FROM ra a JOIN ra b ON b.src = a.dst AND b.edge <> a.edge
+   WHERE NOT (a.way % 2 = 1 AND b.way % 2 = 0 AND a.dst % 10 = 0)),
+ lab(trip, arc, cost) USING KEY (trip, arc) AS (SELECT trip, arc, round((1 - at)*w + pen, 6) FROM seed
+   UNION (SELECT trip, arc, min(c) FROM (SELECT l.trip, mv.arc, round(l.cost + w + extra, 6) AS c, r.cost AS was FROM lab l JOIN mv ON mv.in_arc = l.arc LEFT JOIN recurring.lab r ON r.trip = l.trip AND r.arc = mv.arc) x
+     WHERE c <= {ROUTE_LIMIT}e0 AND (was IS NULL OR c < was) GROUP BY trip, arc)),
+ goal AS (SELECT trip, ta AS arc, 0.5e0 AS at, w FROM tr JOIN ra ON arc = ta UNION ALL SELECT trip, twin, 0.5e0, tw FROM tr JOIN ra ON arc = ta WHERE twin IS NOT NULL),
+ ends AS (SELECT g.trip, round(l.cost + extra + at*g.w, 6) AS c FROM goal g JOIN mv ON mv.arc = g.arc JOIN lab l ON l.trip = g.trip AND l.arc = mv.in_arc
+   UNION ALL SELECT g.trip, round((g.at - s.at)*s.w + pen, 6) FROM goal g JOIN seed s ON s.trip = g.trip AND s.arc = g.arc WHERE s.at <= g.at) """
+
+
+@query("G4_G6_arc_ends", STREETS + f"""SELECT tr.trip, min(c) IS NOT NULL AS found, round(min(c), 3) AS cost FROM tr LEFT JOIN ends ON ends.trip = tr.trip AND c <= {ROUTE_LIMIT}e0 GROUP BY tr.trip""")
+def _(spark, sf):
+    _, found, _ = street_routes(spark, sf)
+    return found.select("trip", "found", F.round("cost", 3).alias("cost"))
+
+
+@query("G4_arc_steps", None)
+def _(spark, sf):
+    _, _, steps = street_routes(spark, sf)
+    return steps
+
+
 @query("G12_replan_difference", ARCS + "SELECT arc % 300 AS trip, arc FROM arcs WHERE arc % 4 = 1 EXCEPT SELECT arc % 300 AS trip, arc FROM arcs WHERE arc % 6 = 1")
 def _(spark, sf):
     a = arcs(spark, sf).select((F.col("arc") % 300).alias("trip"), "arc")
