@@ -6,6 +6,7 @@ meet in a partial-free aggregate on (row, col), whose groups have at most four r
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -259,58 +260,117 @@ def fill_nodes(nodes: DataFrame, links: DataFrame, tol: float = 0.005) -> DataFr
     return cur.select("node", F.coalesce("elev", "fallback", F.lit(0.0)).alias("elev"))
 
 
-def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, max_steps: int | None = None) -> DataFrame:
-    """For each observer (id, row, col, height_m, steps) the height at which each post in range is first seen.
+_SIGHT = ("min", "max", "interp")
 
-    Posts are matched to observers by an equi join on blocks of posts. Every post in range is judged, whatever the range;
-    an observer is one group of (2*steps+1)^2 posts in one task. Only a caller that names ``max_steps`` gets every ``stride``-th
-    post (in the result, else 1) where ``steps`` is over it. Rings grow outwards: the line of sight of
-    a post comes from the two posts nearer the observer it lies between (min, max and interpolated).
-    """
-    size = 64
-    o = observers.withColumn("stride", (F.greatest(F.lit(1), F.ceil(F.col("steps") / max_steps)) if max_steps else F.lit(1)).cast("int"))
-    rows = F.sequence(F.floor((F.col("row") - F.col("steps")) / size), F.floor((F.col("row") + F.col("steps")) / size))
-    cols = F.sequence(F.floor((F.col("col") - F.col("steps")) / size), F.floor((F.col("col") + F.col("steps")) / size))
-    ob = o.select("id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "height_m", "steps", "stride", F.explode(rows).alias("_br"), cols.alias("_cs")).withColumn("_bc", F.explode("_cs")).drop("_cs")
-    p = posts.select("row", "col", "elev", F.floor(F.col("row") / size).alias("_br"), F.floor(F.col("col") / size).alias("_bc"))
-    j = ob.join(p, ["_br", "_bc"]).filter((F.abs(F.col("row") - F.col("orow")) <= F.col("steps")) & (F.abs(F.col("col") - F.col("ocol")) <= F.col("steps"))
-                                       & ((F.col("row") - F.col("orow")) % F.col("stride") == 0) & ((F.col("col") - F.col("ocol")) % F.col("stride") == 0))
 
-    def rings(pdf):
+def _wedge(spacing_m: float, band: int):
+    """One band of rings of one side and sector of an observer: heights at which its posts are seen, and the sight lines of its last ring.
+
+    A side is the ring's posts with one coordinate at the ring's distance r and the other one, k, from -r to r. The sight line to (r, k) passes
+    ring r - 1 at k * (r - 1) / r, between two posts of the same side. Outside the sector a margin that shrinks by one post a ring is worked out as well.
+    """
+    def run(pdf):
         import numpy as np
         import pandas as pd
-        stride, h = int(pdf.stride.iloc[0]), float(pdf.height_m.iloc[0])
-        s = int(pdf.steps.iloc[0]) // stride
-        r0, c0 = int(pdf.orow.iloc[0]), int(pdf.ocol.iloc[0])
-        n = 2 * s + 1
-        z = np.full((n, n), np.nan)
-        z[((pdf.row - r0) // stride + s).to_numpy(int), ((pdf.col - c0) // stride + s).to_numpy(int)] = pdf.elev.to_numpy(float)
-        if np.isnan(z[s, s]):
-            return pd.DataFrame({"id": [], "row": [], "col": [], "vh_min": [], "vh_max": [], "vh_interp": [], "stride": []})
-        eye = z[s, s] + h
-        ground = np.where(np.isnan(z), 0.0, z)
-        los = {k: np.full((n, n), -np.inf) for k in ("min", "max", "interp")}
-        vh = {k: np.zeros((n, n)) for k in los}
-        for ring in range(1, s + 1):
-            k = np.arange(-ring, ring + 1)
-            dr = np.concatenate([np.full(2 * ring + 1, -ring), np.full(2 * ring + 1, ring), k[1:-1], k[1:-1]])
-            dc = np.concatenate([k, k, np.full(2 * ring - 1, -ring), np.full(2 * ring - 1, ring)])
-            dist = np.hypot(dr, dc) * spacing_m * stride
-            rise = ground[dr + s, dc + s] - dist ** 2 / (2 * geo.CURVATURE_R) - eye
-            f = (ring - 1) / ring
-            er, ec = dr * f, dc * f
-            a = (np.floor(er).astype(int) + s, np.floor(ec).astype(int) + s)
-            b = (np.ceil(er).astype(int) + s, np.ceil(ec).astype(int) + s)
-            t = np.maximum(er - np.floor(er), ec - np.floor(ec))
-            for m in los:
-                pa, pb = los[m][a], los[m][b]
+        head = pdf.iloc[0]
+        eye, r0, n, s = float(head.eye), int(head.r0), int(head.sectors), int(head.sector)
+        r1 = min(r0 + band, int(head.steps))
+        u0, u1 = -1 + 2 * s / n, -1 + 2 * (s + 1) / n
+
+        def reach(r):
+            margin = r1 - r + 1
+            return max(-r, int(np.floor(u0 * r)) - margin), min(r, int(np.ceil(u1 * r)) + margin)
+        carried = pdf[pdf.ring == r0]
+        lo, hi = reach(r0) if r0 else (0, 0)
+        los = {m: np.full(hi - lo + 1, -np.inf) for m in _SIGHT}
+        inside = carried[(carried.k >= lo) & (carried.k <= hi)]
+        for m in _SIGHT:
+            los[m][inside.k.to_numpy(int) - lo] = inside[f"l_{m}"].to_numpy(float)
+        posts = pdf[pdf.ring > r0].sort_values("ring")
+        rings, at, heights = posts.ring.to_numpy(int), posts.k.to_numpy(int), posts.elev.to_numpy(float)
+        out = []
+        for r in range(r0 + 1, r1 + 1):
+            was, (lo, hi) = lo, reach(r)
+            k = np.arange(lo, hi + 1)
+            z = np.full(len(k), np.nan)
+            x, y = np.searchsorted(rings, [r, r + 1])
+            mine = (at[x:y] >= lo) & (at[x:y] <= hi)
+            z[at[x:y][mine] - lo] = heights[x:y][mine]
+            dist = np.hypot(r, k) * spacing_m
+            rise = np.where(np.isnan(z), 0.0, z) - dist ** 2 / (2 * geo.CURVATURE_R) - eye
+            a, part = k * (r - 1) // r, k * (r - 1) % r
+            t, b = part / r, a + (part > 0)
+            vh, line = {}, {}
+            for m in _SIGHT:
+                pa, pb = los[m][a - was], los[m][b - was]
                 with np.errstate(invalid="ignore"):
-                    ray = np.maximum(pa, pb) if m == "max" else np.minimum(pa, pb) if m == "min" else np.where(t == 0, pa, pa * (1 - t) + pb * t)
+                    ray = np.maximum(pa, pb) if m == "max" else np.minimum(pa, pb) if m == "min" else np.where(part == 0, pa, pa * (1 - t) + pb * t)
                     ray = np.where(np.isnan(ray), -np.inf, ray)
                     seen = ray * dist < rise
-                vh[m][dr + s, dc + s] = np.where(seen, 0.0, ray * dist - rise)
-                los[m][dr + s, dc + s] = np.where(seen, rise / dist, ray)
-        known = ~np.isnan(z)
-        rr, cc = np.nonzero(known)
-        return pd.DataFrame({"id": int(pdf.id.iloc[0]), "row": (rr - s) * stride + r0, "col": (cc - s) * stride + c0, "vh_min": vh["min"][known], "vh_max": vh["max"][known], "vh_interp": vh["interp"][known], "stride": stride})
-    return j.select("id", "orow", "ocol", "height_m", "steps", "stride", "row", "col", "elev").groupBy("id").applyInPandas(rings, "id long, row long, col long, vh_min double, vh_max double, vh_interp double, stride int")
+                vh[m] = np.where(seen, 0.0, ray * dist - rise)
+                line[m] = np.where(seen, rise / dist, ray)
+            los = line
+            own = np.minimum(n - 1, np.floor((k / r + 1) / 2 * n).astype(int)) == s
+            keep = own & (~np.isnan(z) | (r == r1))
+            out.append(pd.DataFrame({"id": int(head.id), "side": int(head.side), "ring": r, "k": k[keep], "known": ~np.isnan(z)[keep],
+                                     **{f"vh_{m}": vh[m][keep] for m in _SIGHT}, **{f"l_{m}": line[m][keep] for m in _SIGHT}}))
+        return pd.concat(out)
+    return run
+
+
+def viewshed(observers: DataFrame, posts: DataFrame, spacing_m: float, circle: bool = False, band: int = 256, width: int = 1024) -> DataFrame:
+    """For each observer (id, row, col, height_m, steps) the height at which each post in range is first seen, 0 for one in sight.
+
+    Rings grow outwards: the line of sight of a post comes from the two posts nearer the observer it lies between (min, max and interpolated). Every post in range is judged,
+    whatever the range. A range is cut into bands of ``band`` rings and, on each of its four sides, into sectors of about ``width`` posts: each band is one job in which an observer is many tasks; its
+    last ring's sight lines are written down for the next. A task holds about band * (width + 2 * band) posts.
+
+    ``circle``: only posts within ``steps`` as the crow flies. Observers may have ``bearing`` and ``angle`` (degrees, null: all round; 270 or more: no crop): only posts in that wedge, rows growing northward, are
+    returned. Observers on a post without elevation see nothing.
+    """
+    crop = "bearing" in observers.columns
+    cols = ["id", "row", "col", "height_m", "steps", *(["bearing", "angle"] if crop else [])]
+    eyes = posts.filter("elev is not null").select("row", "col", F.col("elev").alias("_z"))
+    o = cut_lineage(observers.select(*cols).join(eyes, ["row", "col"]).withColumn("eye", F.col("_z") + F.col("height_m")).withColumnRenamed("row", "orow").withColumnRenamed("col", "ocol").drop("_z"))
+    most = o.agg(F.max("steps")).first()[0] or 0
+    size = 64
+    p = posts.select("row", "col", "elev", F.floor(F.col("row") / size).alias("_br"), F.floor(F.col("col") / size).alias("_bc"))
+    carried, found = None, []
+    schema = "id long, side int, ring int, k int, known boolean, " + ", ".join(f"{a}_{m} double" for a in ("vh", "l") for m in _SIGHT)
+    for r0 in range(0, int(most), band):
+        here = o.filter(F.col("steps") > r0).withColumn("r1", F.least(F.col("steps"), F.lit(r0 + band)))
+        # blocks of posts that the band's square ring meets
+        lo = lambda c: F.floor((F.col(c) - F.col("r1")) / size)
+        hi = lambda c: F.floor((F.col(c) + F.col("r1")) / size)
+        ob = here.withColumn("_br", F.explode(F.sequence(lo("orow"), hi("orow")))).withColumn("_bc", F.explode(F.sequence(lo("ocol"), hi("ocol"))))
+        far = F.greatest(*[F.greatest(F.abs(F.col(b) * size - F.col(c)), F.abs(F.col(b) * size + size - 1 - F.col(c))) for b, c in (("_br", "orow"), ("_bc", "ocol"))])
+        j = ob.filter(far > r0).join(p, ["_br", "_bc"]).withColumn("dr", (F.col("row") - F.col("orow")).cast("int")).withColumn("dc", (F.col("col") - F.col("ocol")).cast("int"))
+        j = j.withColumn("ring", F.greatest(F.abs("dr"), F.abs("dc"))).filter((F.col("ring") > r0) & (F.col("ring") <= F.col("r1")))
+        # a corner is on two sides, which both need it
+        on = F.array(*[F.when(F.col(c) == sign * F.col("ring"), F.struct(F.lit(i).alias("side"), F.col(k).alias("k"))) for i, (c, sign, k) in
+                       enumerate([("dr", -1, "dc"), ("dr", 1, "dc"), ("dc", -1, "dr"), ("dc", 1, "dr")])])
+        rows = j.withColumn("_on", F.explode(F.array_compact(on))).select("id", "eye", "steps", "r1", "_on.side", "ring", "_on.k", "elev", *[F.lit(None).cast("double").alias(f"l_{m}") for m in _SIGHT])
+        if carried is not None:
+            rows = rows.unionByName(carried.join(here.select("id", "eye", "steps", "r1"), "id").select("id", "eye", "steps", "r1", "side", "ring", "k", F.lit(None).cast("double").alias("elev"), *[f"l_{m}" for m in _SIGHT]))
+        n = F.ceil((2 * F.col("r1") + 1) / width).cast("int")
+        margin = F.col("r1") - F.col("ring") + 2
+        at = lambda k: F.greatest(F.lit(0), F.least(F.col("sectors") - 1, F.floor((k / F.col("ring") + 1) / 2 * F.col("sectors")).cast("int")))
+        rows = rows.withColumn("sectors", n).withColumn("sector", F.explode(F.sequence(at(F.col("k") - margin), at(F.col("k") + margin))))
+        # every sector has its task, also where the table holds no post of it
+        none = F.lit(None).cast("double")
+        base = here.withColumn("sectors", n).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("sector", F.explode(F.sequence(F.lit(0), F.col("sectors") - 1)))
+        rows = rows.unionByName(base.select("id", "eye", "steps", "r1", "side", F.lit(-1).alias("ring"), F.lit(0).alias("k"), none.alias("elev"), *[none.alias(f"l_{m}") for m in _SIGHT], "sectors", "sector")).withColumn("r0", F.lit(r0))
+        made = cut_lineage(rows.drop("r1").groupBy("id", "side", "sector").applyInPandas(_wedge(spacing_m, band), schema))
+        carried = made.filter(F.col("ring") == r0 + band).select("id", "side", "ring", "k", *[f"l_{m}" for m in _SIGHT])
+        found.append(made.filter("known and (side < 2 or abs(k) < ring)"))   # corners come once
+    # the observer's own post
+    own = o.select("id", F.lit(0).alias("side"), F.lit(0).alias("ring"), F.lit(0).alias("k"), F.lit(True).alias("known"), *[F.lit(0.0).alias(f"{a}_{m}") for a in ("vh", "l") for m in _SIGHT])
+    seen = reduce(DataFrame.unionByName, [own, *found]).join(o.select("id", "orow", "ocol", "steps", *cols[5:]), "id")
+    sign = F.when(F.col("side") % 2 == 0, -F.col("ring")).otherwise(F.col("ring"))
+    dr, dc = F.when(F.col("side") < 2, sign).otherwise(F.col("k")), F.when(F.col("side") < 2, F.col("k")).otherwise(sign)
+    if circle:
+        seen = seen.filter(F.hypot(dr, dc) <= F.col("steps"))
+    if crop:
+        off = geo.angle_between(geo.normalize_heading(F.degrees(F.atan2(dc.cast("double"), dr.cast("double")))), F.col("bearing"))
+        seen = seen.filter(F.col("angle").isNull() | F.col("bearing").isNull() | (F.col("angle") >= 270.0) | (F.col("ring") == 0) | (off <= F.col("angle") / 2))
+    return seen.select("id", (F.col("orow") + dr).cast("long").alias("row"), (F.col("ocol") + dc).cast("long").alias("col"), *[f"vh_{m}" for m in _SIGHT])
