@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -21,7 +22,11 @@ _U = np.uint64
 CHUNK = 1 << 16
 #: Vectors that one step of the tree adds up.
 FAN = 16
+#: Chunks up to so many characters whose alignment a worker remembers, and how many of them; others are aligned again, with the same result.
+SHORT, REMEMBERED = 48, 400_000
+_CUT = re.compile(r"(?<=\S)(?= )")
 _pairs: dict[tuple[str, str], "TokenPair"] = {}
+_chunks: dict[tuple[str, str], "Chunks"] = {}
 
 
 class TokenPair:
@@ -29,7 +34,7 @@ class TokenPair:
 
     def __init__(self, first: str, second: str) -> None:
         import sentencepiece
-        self.a = Encoder(first)
+        self.a = Encoder(first).core
         with open(first, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
@@ -45,20 +50,26 @@ class TokenPair:
             self.b_bytes.append(bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode())
         self.size_b = len(self.b_bytes)
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # no piece has a space after another character: then no token of either reaches over a cut before a space that follows a visible character
+        self.cuts = not any("▁" in p[p.find(p.lstrip("▁")):] for p in map(self.b.id_to_piece, range(self.size_b)) if p.strip("▁"))
         digits = max(len(str(len(self.a_bytes))), len(str(self.size_b))) + 1
         # each id in decimal, with what follows it: inside a group, at its end
         self.a_text, self.b_text = (np.array([[f"{i},", f"{i}{end}"] for i in range(n)], f"S{digits}") for n, end in ((len(self.a_bytes), "|"), (self.size_b, ";")))
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both, or none where there is no text or either one's bytes are not the text's after a space."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
-        want = b" " + text.encode("utf-8", "surrogatepass")
-        a = np.frombuffer(self.a.encode(" " + text), "<u4").astype(np.int64)
-        b = np.array(self.b.encode(text), np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != want:
-            return none
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both for each text; none where there is no text or either one's bytes are not the text's after a space."""
+        a, b = [self.a.encode_ordinary(" " + t) if t else [] for t in texts], self.b.encode(texts, num_threads=1) if texts else []
+        want = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        for ids, table, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            # all at once where every text has its length and all of them together their bytes
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+            ends = np.cumsum([len(x) for x in ids])
+            long = np.diff(np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], ends]).astype(np.int64)])
+            if long.tolist() == [len(w) for w in want] and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(want):
+                continue
+            for k, w in enumerate(want):
+                if b"".join(map(table.__getitem__, ids[k])) != w:
+                    a[k], b[k], want[k] = [], [], b""
         return a, b
 
 
@@ -82,11 +93,9 @@ class Aligned:
         """A number for each link's pair of ids: the two tokens that end a group end together, and no others do."""
         return self.a[self.last_a] * size_b + self.b[self.last_b]
 
-    def per_text(self, link: np.ndarray) -> np.ndarray:
-        """Sums of a whole number of each link, by text."""
-        total = np.concatenate([[0], np.cumsum(link, dtype=np.int64)])
-        ends = np.concatenate([[0], np.cumsum(self.last_a)])[np.cumsum(self.n_a)]
-        return np.diff(total[np.concatenate([[0], ends])])
+    def link_ends(self) -> np.ndarray:
+        """Where each text's links begin, and where the last one's end."""
+        return np.concatenate([[0], np.cumsum(self.last_a)])[np.concatenate([[0], np.cumsum(self.n_a)])]
 
 
 def align(pair: TokenPair, texts: list[str]) -> Aligned:
@@ -94,27 +103,85 @@ def align(pair: TokenPair, texts: list[str]) -> Aligned:
 
     As both sequences of a text have the same bytes, the ends can be counted on through all texts.
     """
-    both = [pair.encode(t) for t in texts]
-    a, b = (np.concatenate([x[k] for x in both]) if both else np.zeros(0, np.int64) for k in (0, 1))
+    both = pair.encode(texts)
+    a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in both)
     end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
     total = int(end_a[-1]) + 1 if len(end_a) else 1
     at_a, at_b = np.zeros(total, bool), np.zeros(total, bool)
     at_a[end_a] = True
     at_b[end_b] = True
-    sizes = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
+    sizes = (np.array([len(x) for x in ids], np.int64) for ids in both)
     return Aligned(a, b, *sizes, at_b[end_a], at_a[end_b])
 
 
-def digests(pair: TokenPair, al: Aligned) -> list[str]:
-    """SHA-256 of `a1,a2|b1;a3|b2,b3` of each text; '' without tokens."""
+def group_texts(pair: TokenPair, al: Aligned) -> list[bytes]:
+    """`a1,a2|b1;a3|b2,b3` of each text: its groups' ids in order."""
     group_a, group_b = (np.cumsum(x) - x for x in (al.last_a, al.last_b))
     before_b = np.concatenate([[0], np.flatnonzero(al.last_b) + 1])     # B tokens before each group
     upto_a = np.concatenate([np.flatnonzero(al.last_a) + 1, [len(al.a)]])   # A tokens to each group's end
     line = np.empty(len(al.a) + len(al.b), pair.a_text.dtype)
     line[np.arange(len(al.a)) + before_b[group_a]] = pair.a_text[al.a, al.last_a.astype(np.int8)]
     line[np.arange(len(al.b)) + upto_a[group_b]] = pair.b_text[al.b, al.last_b.astype(np.int8)]
-    ends = np.concatenate([[0], np.cumsum(al.n_a + al.n_b)]).tolist()
-    return [hashlib.sha256(line[x:y].tobytes().replace(b"\0", b"")[:-1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
+    width, data = line.dtype.itemsize, line.tobytes()
+    ends = (np.concatenate([[0], np.cumsum(al.n_a + al.n_b)]) * width).tolist()
+    return [data[x:y].replace(b"\0", b"")[:-1] for x, y in zip(ends, ends[1:])]
+
+
+def pieces(pair: TokenPair, text: str) -> list[str]:
+    """A space and the text, cut where both tokenizers cut; each chunk begins with a space."""
+    return _CUT.split(" " + text) if pair.cuts else [" " + text]
+
+
+class Chunks:
+    """Aligned chunks under numbers: text is written with few words, so most chunks come again, and a worker keeps them from task to task.
+
+    `rows` holds of each chunk the counts of both tokens, the keys of its links and the text of its groups. A text whose chunks are not
+    all given back byte by byte counts as one chunk, for the whole text decides.
+    """
+
+    def __init__(self, pair: TokenPair) -> None:
+        self.pair = pair
+        self.known: dict[str, int] = {}
+        self.rows: list[tuple[int, int, np.ndarray, bytes]] = []
+
+    def _add(self, texts: list[str]) -> list[int]:
+        """Numbers of new chunks; -1 for one that is not given back."""
+        al = align(self.pair, texts)
+        key, ends = al.keys(self.pair.size_b), al.link_ends().tolist()
+        out = []
+        for n_a, n_b, x, y, text in zip(al.n_a.tolist(), al.n_b.tolist(), ends, ends[1:], group_texts(self.pair, al)):
+            out.append(len(self.rows) if n_a else -1)
+            if n_a:
+                self.rows.append((n_a, n_b, key[x:y], text))
+        return out
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The chunks of each text; none for a text without tokens. The numbers hold until the next call."""
+        if len(self.rows) > REMEMBERED:
+            self.known, self.rows = {}, []
+        cut = [pieces(self.pair, t) if t else [] for t in texts]
+        new = list(set(itertools.chain.from_iterable(cut)).difference(self.known))
+        self.known.update(zip(new, self._add([c[1:] for c in new])))
+        out = [list(map(self.known.__getitem__, x)) for x in cut]
+        for c in new:
+            if len(c) > SHORT:
+                del self.known[c]
+        odd = [k for k, x in enumerate(out) if x and min(x) < 0]
+        for k, i in zip(odd, self._add([texts[k] for k in odd])):
+            out[k] = [i] if i >= 0 else []
+        return out
+
+    def used(self, numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts' chunks: the distinct ones, which of them each chunk is, the keys of the distinct ones' links, and how many each has."""
+        one, which = np.unique(np.fromiter(itertools.chain.from_iterable(numbers), np.int64), return_inverse=True)
+        links = [self.rows[i][2] for i in one.tolist()]
+        return one, which, np.concatenate([np.zeros(0, np.int64), *links]), np.array([len(k) for k in links], np.int64)
+
+
+def chunks_of(first: str, second: str) -> Chunks:
+    if (first, second) not in _chunks:
+        _chunks[first, second] = Chunks(token_pair(first, second))
+    return _chunks[first, second]
 
 
 class PerfectHash:
@@ -180,13 +247,13 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _count_links(first: str, second: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = token_pair(first, second)
+        chunks = chunks_of(first, second)
         keys, counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in tx.slices(batches, text_col):
-            k, n = np.unique(align(pair, tx.column(batch, text_col)).keys(pair.size_b), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            waiting += len(k)
+            _, which, key, sizes = chunks.used(chunks.numbers(tx.column(batch, text_col)))
+            keys.append(key)
+            counts.append(np.repeat(np.bincount(which, minlength=len(sizes)), sizes))
+            waiting += len(key)
             if waiting > 1 << 20:
                 k, n = _merged(keys, counts)
                 keys, counts, waiting = [k], [n], 0
@@ -258,7 +325,8 @@ def align_documents(docs: DataFrame, first: str | None = None, second: str | Non
     Defined cases: a null or empty text, or one that either tokenizer does not give back byte by byte after its space, has no
     tokens: zeros and ''. Repeated rows and ids count each. Null ids stay null. An empty table gives an empty table. Other columns, of any name, are not read.
 
-    Scale: texts are read and encoded twice and never shuffled, a slice of 2 MB (or one text) at a time; see `count_links` for the counts.
+    Scale: texts are read and aligned twice and never shuffled, a slice of 2 MB (or one text) at a time; see `count_links` for the counts. Chunks of text
+    that come again are aligned once a worker.
     """
     import public_tokenizers
     first = first or public_tokenizers.path("byte_bpe_50k.json")
@@ -266,17 +334,27 @@ def align_documents(docs: DataFrame, first: str | None = None, second: str | Non
     model = count_links(docs, first, second, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = token_pair(first, second)
+        chunks = chunks_of(first, second)
+        size_b = chunks.pair.size_b
         for batch in tx.slices(batches, "text"):
-            al = align(pair, tx.column(batch, "text"))
-            key = al.keys(pair.size_b)
+            numbers = chunks.numbers(tx.column(batch, "text"))
+            one, which, key, links = chunks.used(numbers)
             found = model.hash.find(key)
             if (found < 0).any():
                 raise ValueError("a pair of ids is not in the table of pairs")
             count = model.counts[found]
-            links = al.per_text(np.ones(len(key), np.int64))
-            best = al.per_text(count == model.best[key % pair.size_b])
-            numbers = [al.n_a, al.n_b, links, links, best, al.per_text(count)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array(digests(pair, al), pa.string())], schema=_OUT)
+            rows = [chunks.rows[i] for i in one.tolist()]
+            owner = np.repeat(np.arange(len(one)), links)
+            table = np.zeros((len(one), 5), np.int64)      # n_a, n_b, links, best, count_sum of each distinct chunk
+            table[:, 0], table[:, 1], table[:, 2] = [r[0] for r in rows], [r[1] for r in rows], links
+            np.add.at(table[:, 3], owner, count == model.best[key % size_b])
+            np.add.at(table[:, 4], owner, count)
+            sizes = np.array([len(x) for x in numbers], np.int64)
+            total = np.zeros((len(which) + 1, 5), np.int64)
+            np.cumsum(table[which], axis=0, out=total[1:])
+            ends = np.cumsum(sizes)
+            n_a, n_b, n_links, best, counts = (total[ends] - total[ends - sizes]).T
+            digests = [hashlib.sha256(b";".join([chunks.rows[i][3] for i in x])).hexdigest() if x else "" for x in numbers]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_links, n_links, best, counts)], pa.array(digests, pa.string())], schema=_OUT)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
