@@ -16,7 +16,9 @@ from geolattice.llm.boosting import Boosted, fit_boosted
 
 #: Elements by their kind in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title".split())
+#: What may stand in a head; any other tag, or text of its own, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset blockquote pre figure figcaption address details summary dialog menu hr hgroup search center select button".split())
 #: What an opening tag closes by itself, and where looking for it stops.
 ENDS_P = BLOCK - {"html", "body", "select", "button", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
@@ -82,6 +84,10 @@ def parse(html: str) -> Page:
         return len(page.tag) - 1
 
     def say(raw: str) -> None:
+        nonlocal hidden
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            stack.pop()
+            hidden -= 1
         if raw and not hidden:
             text = unescape(raw) if "&" in raw else raw
             at = stack[-1][1]
@@ -126,8 +132,8 @@ def parse(html: str) -> Page:
         closes = SAME.get(tag, ())
         if tag in ENDS_P:
             closes = (*closes, "p")
-        if tag == "body":
-            closes = ("head",)
+        if hidden and tag not in HEAD:
+            closes = (*closes, "head")
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in closes:

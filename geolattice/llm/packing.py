@@ -29,28 +29,38 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A text is cut before each single space that a visible character follows: no token of this vocabulary's pattern
-    reaches over such a place, so the chunks' ids, which repeat, can be remembered.
+    The file's added tokens are taken out first, as the tokenizers library does by default: their strings in a text are their ids. What is between them is
+    cut before each single space that a visible character follows: no token of this vocabulary's pattern reaches over such a place, so the chunks' ids, which
+    repeat, can be remembered.
     """
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
         added = {i for i in model["vocab"].values()} - set(ranks.values())
         ranks = {token: i for token, i in ranks.items() if i < 256 + len(model["merges"])}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
+        size = max([size, *(t["id"] + 1 for t in whole.get("added_tokens") or [])])
         self.ends = np.zeros(size + len(added) + 1, bool)   # ids that end a sentence
         for token, i in ranks.items():
             self.ends[i] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in whole.get("added_tokens") or []}
+        self.between = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.irregular = re.compile(r" (?=\s|$)")
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if self.between is None or not any(t in text for t in self.added):
+            return self._plain(text)
+        return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.between.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         if self.irregular.search(text):
             return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
         known, out = self.known, []

@@ -123,7 +123,7 @@ def around(level: float) -> list[float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit: float) -> Ranker:
     """Fit the weights on at most `sample` labelled documents, those with the least hash of their id; rows with crc32(id) mod 3 = 1 are held out.
 
-    If there are more, the threshold is the quantile over the strengths of all labelled documents that are not held out, found in one pass on Spark.
+    The threshold is the quantile over the strengths of all labelled documents that are not held out, found in one pass on Spark.
     Null ids and labels teach nothing; an id with differing labels takes their majority, and nothing at a tie.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192, id_col: str =
     got = sorted((r.id, tuple(r.x), r.y) for r in made.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")).collect())   # at most `sample` rows
     x = np.array([r[1] for r in got]).reshape(len(got), -1) if got else np.zeros((0, 2 * KINDS + 15))
     ranker = fit_ranker(x, np.array([float(r[2] > 0.5) for r in got]), **fit)
-    if ids.limit(sample + 1).count() <= sample or not ranker.weights.any():
+    if not ranker.weights.any():
         return ranker
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 

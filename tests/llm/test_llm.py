@@ -131,8 +131,8 @@ def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
     reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reader.encode_special_tokens = True
-    odd = [(1, "a  b \n c\t d "), (2, " x"), (3, "  "), (4, "<|endoftext|> it's  ok\n\n a b"), (5, "　 a\xa0 b"), (6, None), (7, "日本語 1234 !!"), (8, "z" * 9000), (None, "none"), (7, "again")]
+    assert 50256 in reader.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    odd = [(1, "a  b \n c\t d "), (2, " x"), (3, "  "), (4, "<|endoftext|> it's  ok\n\n a b"), (5, "　 a\xa0 b"), (6, None), (7, "日本語 1234 !!"), (8, "z" * 9000), (None, "none"), (7, "again"), (9, "a<|endoftext|>b <|endoftext|><|endoftext|>  c")]
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     want = collections.Counter((r.doc_id, tuple(reader.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect())
     pieces = packing.pack(docs).collect()
@@ -482,3 +482,12 @@ def test_pipeline_drops_what_its_stages_name(spark):
     assert one.count() == groups_ and one.select("text").distinct().count() == one.count()
     leaks = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert leaks and {r.doc_id for r in corpus_pipeline.without_leaks(spark, docs, sf).select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - leaks
+
+
+def test_only_what_is_never_shown_is_left_out_before_the_trees():
+    said = lambda h: "".join(p[2] for p in main_text.parse(h).pieces)
+    assert said("<p>a <math>x+1</math> b <noscript>img</noscript> c<object>alt words</object>.</p>") == "a x+1 b img calt words."
+    assert said("<p>a<script>var x</script><style>p {}</style><textarea>typed</textarea> b</p>") == "a b"
+    assert said("<html><head><title>x</title><p>Hello world</p></html>") == "Hello world"
+    assert said("<head>Text at once</head> more") == "Text at once more"
+    assert said("<head><meta a=b><link x><title>t</title></head><body>ok</body>") == "ok"
