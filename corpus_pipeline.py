@@ -12,7 +12,7 @@ from geolattice.llm.line_dedup import line_dedup
 from geolattice.llm.near_dups import near_duplicates
 from geolattice.llm.packing import pack
 from geolattice.llm.quality import learn, score_quality
-from geolattice.session import scratch
+from geolattice.session import scratch, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    """Documents in which no benchmark item is found. Rows are written with their number first, so both uses of it agree."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
     leaks = find_leaks(rows.select("_row", "_doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
     return rows.join(leaks.select(F.col("doc_id").alias("_leak")).distinct(), F.col("_row") == F.col("_leak"), "left_anti").select("_doc.*")
 
