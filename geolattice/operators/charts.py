@@ -130,44 +130,6 @@ def chart_index(cells: DataFrame, state: DataFrame) -> DataFrame:
                                                     F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), F.coalesce("cancelled", F.lit(False)).alias("cancelled"))
 
 
-def apply_updates(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Ordered edits by position inside each record (cell, rcid): insert, delete, modify at an index, all or nothing per file.
-
-    ``rows``: cell, rcid, idx, value. ``edits``: cell, rcid, file_no, seq, op, idx, value. A record holds
-    at most a few thousand coordinates by format, so one record is one small group; a file that does
-    not fit one record is dropped for the whole cell, with everything after it.
-    """
-    def fold(key, base, ed):
-        from itertools import groupby
-
-        import pandas as pd
-        v = [x for _, x in sorted(zip(base["idx"], base["value"]))]
-        todo = sorted(zip(ed["file_no"], ed["seq"], ed["op"], ed["idx"], ed["value"]), key=lambda e: e[:2])
-        fail, snaps = None, [(0, list(v))]
-        for file_no, part in groupby(todo, key=lambda e: e[0]):
-            w = list(v)
-            for _, _, op, i, value in part:
-                if op == "insert" and 0 <= i <= len(w):
-                    w.insert(i, value)
-                elif op == "delete" and 0 <= i < len(w):
-                    del w[i]
-                elif op == "modify" and 0 <= i < len(w):
-                    w[i] = value
-                else:
-                    fail = int(file_no)
-                    break
-            if fail is not None:
-                break
-            v = w
-            snaps.append((int(file_no), list(v)))
-        return pd.DataFrame([{"cell": key[0], "rcid": key[1], "file_no": f, "values": s, "failed": fail} for f, s in snaps])
-    schema = "cell long, rcid long, file_no long, values array<double>, failed long"
-    s = rows.groupBy("cell", "rcid").cogroup(edits.groupBy("cell", "rcid")).applyInPandas(fold, schema)
-    first_bad = s.groupBy("cell").agg(F.min("failed").alias("_stop"))
-    live = s.join(first_bad, "cell").filter(F.col("_stop").isNull() | (F.col("file_no") < F.col("_stop")))
-    return live.groupBy("cell", "rcid").agg(F.max_by("values", "file_no").alias("values"), F.max("file_no").alias("last_file"), F.max("_stop").alias("failed_file"))
-
-
 def feature_lines(pointers: DataFrame, vectors: DataFrame) -> DataFrame:
     """Line geometry from ordered edge pointers: (owner, parts, points). ``pointers``: owner, seq, target, reverse; ``vectors``: target, coords.
 

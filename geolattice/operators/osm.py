@@ -59,8 +59,10 @@ def build_edges(ways: DataFrame, nodes: DataFrame, cut_at: DataFrame | None = No
                                              F.sum("len").alias("length_m"), F.min("pos").alias("pos"), pts.alias("_p"))
     shape = F.concat(F.array(F.struct(F.col("_p")[0]["lat"].alias("lat"), F.col("_p")[0]["lon"].alias("lon"), F.col("_p")[0]["node"].alias("node"))),
                      F.transform("_p", lambda x: F.struct(x.to_lat.alias("lat"), x.to_lon.alias("lon"), x.to_node.alias("node"))))
-    # way and first position make a stable edge id, with room for a million positions and ways below 2^43
-    return e.select("way", (F.col("way") * 1048576 + F.col("pos")).alias("edge"), "src", "dst", "length_m", shape.alias("shape"))
+    # way and first position make a stable edge id, with room for a million positions and ways below 2^42 (arcs double the id); beyond that the job stops
+    fits = (F.col("pos") < 1048576) & (F.abs("way") < 1 << 42)
+    edge = F.when(fits, F.col("way") * 1048576 + F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("no edge id for way "), F.col("way").cast("string"))).cast("long"))
+    return e.select("way", edge.alias("edge"), "src", "dst", "length_m", shape.alias("shape"))
 
 
 def build_arcs(edges: DataFrame, ways: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts as ch
+from ..operators import chart_updates as cu, charts as ch
+from ..operators.ordered import Ordered
 from .derived import derived, table, with_ctes
 from .registry import query
 
@@ -122,15 +123,67 @@ def _(spark, sf):
     return ch.chart_index(cells.select(F.col("nm").alias("cell"), "base_edition"), st)
 
 
-@query("M7_apply_updates", None)
-def _(spark, sf):
+_EDIT = {"op": "CASE pk % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'modify' END", "at": "pk % 6", "count": "CASE pk % 3 WHEN 1 THEN 1 ELSE 1 + pk % 2 END"}
+
+
+def chart_cells(spark, sf):
+    """(base, edits): records of ten customers a cell, their orders as points; every order updates its record once, with its line items as edits."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("cell"), (k % 3).alias("rcid"), k.alias("idx"), F.col("o_totalprice").alias("value"))
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(k.alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    ed = li.groupBy("o_custkey", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("pk")).select(
-        F.col("o_custkey").alias("cell"), (F.col("l_orderkey") % 3).alias("rcid"), F.col("l_linenumber").cast("long").alias("file_no"), F.col("l_orderkey").alias("seq"),
-        F.when(F.col("pk") % 3 == 0, "insert").when(F.col("pk") % 3 == 1, "delete").otherwise("modify").alias("op"), (F.col("pk") % 3).alias("idx"), F.col("q").alias("value"))
-    return ch.apply_updates(rows, ed).select("cell", "rcid", F.size("values").alias("n"), "last_file", "failed_file")
+    o = table(spark, sf, "orders").select(F.floor(F.col("o_custkey") / 10).cast("long").alias("cell"), (F.col("o_custkey") % 10).cast("long").alias("rec"), k.cast("long").alias("seq"), (1 + k % 5).cast("long").alias("file_no"),
+                                          F.col("o_totalprice").cast("double").alias("value"))
+    chunk = F.floor(F.col("seq") / 5000)
+    pts = Ordered(o, ["cell", "rec"], ["seq"], chunk).running(sums={"n": F.lit(1)}).result().select("cell", "rec", F.lit("points").alias("list"), (F.col("n") - 1).cast("long").alias("idx"), "value")
+    rec = o.select("cell", "rec").distinct()
+    base = {"records": rec.select("cell", "rec", F.lit(1).alias("version"), F.concat(F.lit("K"), (F.col("rec") % 3).cast("string")).alias("klass")), "lists": pts,
+            "attributes": rec.withColumn("code", F.explode(F.array(*[F.lit(c) for c in range(3)]))).select("cell", "rec", "code", F.lit(0).alias("national"), F.concat(F.lit("b"), F.col("code").cast("string")).alias("value"))}
+    v = Ordered(o, ["cell", "rec"], ["file_no", "seq"], F.col("file_no")).running(sums={"n": F.lit(1)}).result()
+    records = v.select("cell", "file_no", "seq", "rec", F.lit("modify").alias("op"), (1 + F.col("n") + F.when(F.col("seq") % 199 == 0, 1).otherwise(0)).cast("int").alias("version"), F.lit(None).cast("string").alias("klass"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("seq"), F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_partkey").alias("pk"), F.min("l_extendedprice").cast("double").alias("price"))
+    li = li.join(o.select("cell", "rec", "seq", "file_no"), "seq")
+    at = ["cell", "file_no", "seq", "n"]
+    att = li.filter("n = 1").select(*at, "rec", (F.col("pk") % 4).cast("int").alias("code"), F.lit(0).alias("national"), F.when(F.col("pk") % 97 != 0, F.concat(F.lit("v"), F.col("pk").cast("string"))).alias("value"))
+    ops = li.filter("n > 1").selectExpr(*at, "rec", "'points' AS list", f"{_EDIT['op']} AS op", f"cast({_EDIT['at']} as bigint) AS at", f"cast({_EDIT['count']} as bigint) AS count", "price")
+    values = ops.filter("op <> 'delete'").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).select(*at, "j", (F.col("price") + F.col("j")).alias("value"))
+    return base, {"records": records, "attributes": att, "lists": ops.drop("price"), "values": values}
+
+
+CELLS = f"""WITH RECURSIVE o AS (SELECT o_custkey // 10 AS cell, o_custkey % 10 AS rec, o_orderkey AS seq, 1 + o_orderkey % 5 AS file_no, o_totalprice::DOUBLE AS value FROM orders),
+ li AS (SELECT l_orderkey AS seq, l_linenumber AS n, min(l_partkey) AS pk, min(l_extendedprice)::DOUBLE AS price FROM lineitem GROUP BY 1, 2), e AS (SELECT li.*, cell, rec, file_no FROM li JOIN o USING (seq)),
+ bad1 AS (SELECT cell, file_no, seq, -1 AS ix, rec, 'version mismatch' AS error FROM (SELECT *, ver <> coalesce(lag(ver) OVER w, 1) + 1 AS bad FROM (SELECT *, 1 + row_number() OVER w + CASE WHEN seq % 199 = 0 THEN 1 ELSE 0 END AS ver FROM o WINDOW w AS (PARTITION BY cell, rec ORDER BY file_no, seq)) WINDOW w AS (PARTITION BY cell, rec ORDER BY file_no, seq)) WHERE bad),
+ att AS (SELECT cell, file_no, seq, n, rec, pk % 4 AS code, CASE WHEN pk % 97 <> 0 THEN 'v' || pk END AS value FROM e WHERE n = 1),
+ bad2 AS (SELECT cell, file_no, seq, n AS ix, rec, 'deletes an absent attribute' AS error FROM (SELECT *, CASE WHEN row_number() OVER w = 1 THEN code < 3 ELSE lag(value) OVER w IS NOT NULL END AS has FROM att WINDOW w AS (PARTITION BY cell, rec, code ORDER BY file_no, seq, n)) WHERE value IS NULL AND NOT has),
+ op AS MATERIALIZED (SELECT cell, file_no, seq, n, rec, {_EDIT['op']} AS op, {_EDIT['at']} AS ix, {_EDIT['count']} AS cnt, price FROM e WHERE n > 1), sz AS (SELECT cell, rec, count(*) AS base FROM o GROUP BY 1, 2),
+ bad3 AS (SELECT cell, file_no, seq, n AS ix, rec, 'bad ' || op AS error FROM (SELECT op.*, base + coalesce(sum(CASE op WHEN 'insert' THEN cnt WHEN 'delete' THEN -cnt ELSE 0 END) OVER (PARTITION BY cell, rec ORDER BY file_no, seq, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size FROM op JOIN sz USING (cell, rec))
+   WHERE ix + CASE op WHEN 'insert' THEN 0 ELSE cnt END > size),
+ fe AS (SELECT cell, min(struct_pack(f := file_no, s := seq, a := ix, r := rec, e := error)) AS x FROM (SELECT * FROM bad1 UNION ALL SELECT * FROM bad2 UNION ALL SELECT * FROM bad3) GROUP BY cell), lim AS (SELECT DISTINCT o.cell, coalesce(x.f, 99) AS stop FROM o LEFT JOIN fe USING (cell)),
+ la AS (SELECT cell, rec, code, arg_max(struct_pack(v := value), struct_pack(f := file_no, s := seq, n := n)) AS w FROM att JOIN lim USING (cell) WHERE file_no < stop GROUP BY ALL),
+ hv AS (SELECT *, row_number() OVER (PARTITION BY cell, rec ORDER BY file_no, seq, n, ins) AS k FROM (SELECT op.*, h AS ins FROM op JOIN lim USING (cell), (VALUES (false), (true)) t(h) WHERE file_no < stop AND (op = 'modify' OR (op = 'insert') = h))),
+ rw AS (SELECT cell, rec, 0 AS k, row_number() OVER (PARTITION BY cell, rec ORDER BY seq) - 1 AS pos, value FROM o UNION ALL SELECT cell, rec, k, ix + j, price + j FROM hv, range(0, 2) t(j) WHERE ins AND j < cnt),
+ mv(cell, rec, k, pos, value) AS (SELECT cell, rec, k::BIGINT, pos::BIGINT, value FROM rw UNION ALL SELECT * FROM (SELECT mv.cell, mv.rec, h.k::BIGINT, (CASE WHEN h.ins THEN CASE WHEN pos >= ix THEN pos + cnt ELSE pos END WHEN pos >= ix + cnt THEN pos - cnt WHEN pos < ix THEN pos END)::BIGINT AS p, mv.value
+   FROM mv JOIN hv h ON h.cell = mv.cell AND h.rec = mv.rec AND h.k = mv.k + 1) WHERE p IS NOT NULL),
+ top AS (SELECT cell, rec, max(k) AS k FROM hv GROUP BY 1, 2) """
+
+
+def updated_cells(spark, sf):
+    return cu.apply_chart_updates(*chart_cells(spark, sf))
+
+
+@query("M7_apply_updates", CELLS + "SELECT mv.cell, mv.rec, pos AS idx, value FROM mv LEFT JOIN top USING (cell, rec) WHERE mv.k = coalesce(top.k, 0)")
+def _(spark, sf):
+    return updated_cells(spark, sf)["lists"].select("cell", "rec", "idx", "value")
+
+
+@query("M7_update_results", CELLS + """, vr AS (SELECT cell, rec, 1 + count(*) FILTER (file_no < stop) AS version, max(file_no) FILTER (file_no < stop) AS last FROM o JOIN lim USING (cell) GROUP BY cell, rec)
+ SELECT 'record' AS kind, cell, rec, NULL::BIGINT AS code, 'K' || rec % 3 AS text, version FROM vr
+ UNION ALL SELECT 'attribute', cell, rec, code, CASE WHEN w IS NULL THEN 'b' || code ELSE w.v END, NULL FROM (SELECT * FROM (SELECT DISTINCT cell, rec FROM o), range(0, 4) t(code)) LEFT JOIN la USING (cell, rec, code) WHERE CASE WHEN w IS NULL THEN code < 3 ELSE w.v IS NOT NULL END
+ UNION ALL SELECT 'cell', cell, x.r, x.f, x.e, (SELECT max(last) FROM vr WHERE vr.cell = lim.cell) FROM lim LEFT JOIN fe USING (cell)""")
+def _(spark, sf):
+    d = updated_cells(spark, sf)
+    none = F.lit(None).cast("long")
+    r = d["records"].select(F.lit("record").alias("kind"), "cell", "rec", none.alias("code"), F.col("klass").alias("text"), F.col("version").cast("long").alias("version"))
+    a = d["attributes"].select(F.lit("attribute"), "cell", "rec", F.col("code").cast("long"), "value", none)
+    c = d["cells"].select(F.lit("cell"), "cell", F.col("rec").cast("long"), F.col("failed_file").cast("long"), "error", F.col("last_file").cast("long"))
+    return r.union(a).union(c)
 
 
 @query("J29_dataset_diff", """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'added' WHEN p_partkey % 11 = 0 THEN 'removed' WHEN p_partkey % 7 = 0 THEN 'attributes' ELSE 'geometry' END AS change FROM part WHERE NOT (p_partkey % 10 = 0 AND p_partkey % 11 = 0) AND (p_partkey % 10 = 0 OR p_partkey % 11 = 0 OR p_partkey % 7 = 0 OR p_partkey % 13 = 0)""")

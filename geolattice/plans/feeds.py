@@ -231,7 +231,7 @@ def _(spark, sf):
 @query("T2_fragment_stream", None)
 def _(spark, sf):
     k = F.col("seq")
-    s = event_stream(spark, sf).filter(k % 9 == 0).withColumn("number", F.explode(F.when(k % 5 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    s = event_stream(spark, sf).withColumn("number", F.explode(F.when(k % 5 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))))
     s = s.select(F.col("track").alias("feed"), F.lit("AI").alias("talker"), F.lit(False).alias("own"), (k % 10).cast("string").alias("seq_id"), F.lit("A").alias("channel"), F.lit(2).alias("count"),
                  "number", F.concat(F.lit("P"), k.cast("string"), F.lit("."), F.col("number").cast("string")).alias("payload"), F.lit(0).alias("fill"), "ts")
     return jobs.run_available(jobs.fragments(s), "fragments").groupBy("outcome").agg(F.count("*").alias("n"))

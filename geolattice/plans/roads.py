@@ -334,7 +334,11 @@ def _(spark, sf):
     s = table(spark, sf, "supplier").crossJoin(F.broadcast(n)).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
     s = s.select(F.col("s_suppkey").alias("trip"), "n", ((F.col("s_suppkey") * 7 + F.col("n") * 29) % F.col("k")).alias("node"))
     a = usable_arcs(spark, sf)
-    return rt.ordered_stops(s, a, co.travel_cost(BIKE), a.select("arc", F.lit(None).cast("long").alias("twin"))).select("trip", "leg", "found", F.round("cost", 3).alias("cost"))
+    # two in three arcs can be driven back as well
+    back = a.filter("arc % 3 <> 0").withColumn("src0", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("src0")).withColumn("arc", -F.col("arc")).drop("src0")
+    a = written(a.unionByName(back), "arcs")
+    twins = a.filter("abs(arc) % 3 <> 0").select("arc", (-F.col("arc")).alias("twin"))
+    return rt.ordered_stops(s, a, co.travel_cost(BIKE), twins).select("trip", "leg", "found", F.round("cost", 3).alias("cost"))
 
 
 @query("G6_heading_penalty", WAYS + """, e2 AS (SELECT way, way*1048576 + min(pos) AS edge, arg_min(node, pos) AS src, arg_max(tn, pos) AS dst, arg_min(lat, pos) AS a1, arg_min(lon, pos) AS o1, arg_min(tlat, pos) AS a2, arg_min(tlon, pos) AS o2,
@@ -349,7 +353,7 @@ def _(spark, sf):
 
 
 #: From a quarter of one street to the middle of one some blocks on, for every customer; searches end at a cost.
-ROUTE_LIMIT = 500.0
+ROUTE_LIMIT = 300.0
 
 
 def street_trips(spark, sf, a):
@@ -374,19 +378,19 @@ def street_routes(spark, sf):
     return a, *ar.arc_routes(street_trips(spark, sf, a), a, F.round(F.round("length_m", 3) * 0.2, 3), street_turns(a), False, ROUTE_LIMIT)
 
 
-STREETS = WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ra AS MATERIALIZED (SELECT a.*, round(a.length_m*0.2e0, 3) AS w, b.arc AS twin, round(b.length_m*0.2e0, 3) AS tw, CASE WHEN way % 2 = 0 THEN 90 ELSE 0 END + CASE WHEN arc % 2 = 1 THEN 180 ELSE 0 END AS brg
+STREETS = WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ra AS MATERIALIZED (SELECT a.*, round(a.length_m*0.2e0, 3) AS w, b.arc AS twin, round(b.length_m*0.2e0, 3) AS tw, CASE WHEN a.way % 2 = 0 THEN 90 ELSE 0 END + CASE WHEN a.arc % 2 = 1 THEN 180 ELSE 0 END AS brg
   FROM (SELECT arc, edge, way, src, dst, length_m FROM arcs) a LEFT JOIN (SELECT arc, edge, length_m FROM arcs) b ON b.edge = a.edge AND b.arc <> a.arc),
  fa AS (SELECT way, min(arc) AS arc FROM ra GROUP BY way), tr AS MATERIALIZED (SELECT trip, f.arc AS fa, g.arc AS ta, trip*37 % 360 + 0.5e0 AS h FROM (SELECT o_custkey AS trip, min(o_orderkey) AS way FROM orders GROUP BY 1) t JOIN fa f USING (way) JOIN fa g ON g.way = t.way + 194),
- st AS (SELECT trip, arc, 0.25e0 AS at, h FROM tr JOIN ra ON arc = fa UNION ALL SELECT trip, twin, 0.75e0, h FROM tr JOIN ra ON arc = fa WHERE twin IS NOT NULL),
- seed AS MATERIALIZED (SELECT trip, st.arc, at, w, CASE WHEN least((h - brg + 720) % 360, 360 - (h - brg + 720) % 360) > 90 THEN 45e0 ELSE 0e0 END AS pen FROM st JOIN ra ON ra.arc = st.arc),
+ st AS (SELECT trip, arc, 0.25e0 AS pos_, h FROM tr JOIN ra ON arc = fa UNION ALL SELECT trip, twin, 0.75e0, h FROM tr JOIN ra ON arc = fa WHERE twin IS NOT NULL),
+ seed AS MATERIALIZED (SELECT trip, st.arc, pos_, w, CASE WHEN least((h - brg + 720) % 360, 360 - (h - brg + 720) % 360) > 90 THEN 45e0 ELSE 0e0 END AS pen FROM st JOIN ra ON ra.arc = st.arc),
  mv AS MATERIALIZED (SELECT a.arc AS in_arc, b.arc, b.w, CASE WHEN a.way % 2 = 1 AND b.way % 2 = 0 AND a.dst % 9 = 0 THEN 15e0 ELSE 0e0 END AS extra FROM ra a JOIN ra b ON b.src = a.dst AND b.edge <> a.edge
    WHERE NOT (a.way % 2 = 1 AND b.way % 2 = 0 AND a.dst % 10 = 0)),
- lab(trip, arc, cost) USING KEY (trip, arc) AS (SELECT trip, arc, round((1 - at)*w + pen, 6) FROM seed
+ lab(trip, arc, cost) USING KEY (trip, arc) AS (SELECT trip, arc, round((1 - pos_)*w + pen, 6) FROM seed
    UNION (SELECT trip, arc, min(c) FROM (SELECT l.trip, mv.arc, round(l.cost + w + extra, 6) AS c, r.cost AS was FROM lab l JOIN mv ON mv.in_arc = l.arc LEFT JOIN recurring.lab r ON r.trip = l.trip AND r.arc = mv.arc) x
      WHERE c <= {ROUTE_LIMIT}e0 AND (was IS NULL OR c < was) GROUP BY trip, arc)),
- goal AS (SELECT trip, ta AS arc, 0.5e0 AS at, w FROM tr JOIN ra ON arc = ta UNION ALL SELECT trip, twin, 0.5e0, tw FROM tr JOIN ra ON arc = ta WHERE twin IS NOT NULL),
- ends AS (SELECT g.trip, round(l.cost + extra + at*g.w, 6) AS c FROM goal g JOIN mv ON mv.arc = g.arc JOIN lab l ON l.trip = g.trip AND l.arc = mv.in_arc
-   UNION ALL SELECT g.trip, round((g.at - s.at)*s.w + pen, 6) FROM goal g JOIN seed s ON s.trip = g.trip AND s.arc = g.arc WHERE s.at <= g.at) """
+ goal AS (SELECT trip, ta AS arc, 0.5e0 AS pos_, w FROM tr JOIN ra ON arc = ta UNION ALL SELECT trip, twin, 0.5e0, tw FROM tr JOIN ra ON arc = ta WHERE twin IS NOT NULL),
+ ends AS (SELECT g.trip, round(l.cost + extra + pos_*g.w, 6) AS c FROM goal g JOIN mv ON mv.arc = g.arc JOIN lab l ON l.trip = g.trip AND l.arc = mv.in_arc
+   UNION ALL SELECT g.trip, round((g.pos_ - s.pos_)*s.w + pen, 6) FROM goal g JOIN seed s ON s.trip = g.trip AND s.arc = g.arc WHERE s.pos_ <= g.pos_) """
 
 
 @query("G4_G6_arc_ends", STREETS + f"""SELECT tr.trip, min(c) IS NOT NULL AS found, round(min(c), 3) AS cost FROM tr LEFT JOIN ends ON ends.trip = tr.trip AND c <= {ROUTE_LIMIT}e0 GROUP BY tr.trip""")
@@ -401,6 +405,49 @@ def _(spark, sf):
     return steps
 
 
+WINDOWS = STREETS[:STREETS.index(" mv AS MATERIALIZED")] + f""" gt AS (SELECT arc FROM ra WHERE way % 5 = 0), wn AS MATERIALIZED (SELECT arc, (arc % 7)*60 + k*300e0 AS b, (arc % 7)*60 + k*300 + 150e0 AS e FROM gt, range(0, 3) t(k)),
+ mv AS MATERIALIZED (SELECT a.arc AS in_arc, b.arc, b.w, b.way % 5 = 0 AS gated FROM ra a JOIN ra b ON b.src = a.dst AND b.edge <> a.edge),
+ sd AS MATERIALIZED (SELECT seed.trip, seed.arc, pos_, seed.w, pen, ra.way % 5 = 0 AS gated, seed.trip % 600 AS dep FROM seed JOIN ra ON ra.arc = seed.arc),
+ s0 AS (SELECT trip, sd.arc, dep, min(CASE WHEN gated THEN greatest(b, dep + pen) - dep ELSE pen END + (1 - pos_)*w) AS c FROM sd LEFT JOIN wn ON gated AND wn.arc = sd.arc AND e - (1 - pos_)*w >= greatest(b, dep + pen) WHERE NOT gated OR b IS NOT NULL GROUP BY ALL),
+ lab(trip, arc, dep, cost) USING KEY (trip, arc) AS (SELECT trip, arc, dep, round(c, 6) FROM s0
+   UNION (SELECT trip, arc, dep, min(c) FROM (SELECT l.trip, mv.arc, l.dep, round(CASE WHEN gated THEN greatest(b, l.cost + l.dep) - l.dep ELSE l.cost END + w, 6) AS c, r.cost AS was FROM lab l JOIN mv ON mv.in_arc = l.arc
+     LEFT JOIN wn ON gated AND wn.arc = mv.arc AND e - w >= greatest(b, l.cost + l.dep) LEFT JOIN recurring.lab r ON r.trip = l.trip AND r.arc = mv.arc WHERE NOT gated OR b IS NOT NULL) x WHERE c <= {ROUTE_LIMIT}e0 AND (was IS NULL OR c < was) GROUP BY trip, arc, dep)),
+ goal AS (SELECT trip, ta AS arc, 0.5e0 AS pos_, w, way % 5 = 0 AS gated FROM tr JOIN ra ON arc = ta UNION ALL SELECT trip, twin, 0.5e0, tw, way % 5 = 0 FROM tr JOIN ra ON arc = ta WHERE twin IS NOT NULL),
+ en AS (SELECT g.trip, g.arc, g.gated, l.dep, l.cost AS c, g.pos_*g.w AS p FROM goal g JOIN mv ON mv.arc = g.arc JOIN lab l ON l.trip = g.trip AND l.arc = mv.in_arc
+   UNION ALL SELECT g.trip, g.arc, g.gated, s.dep, s.pen, (g.pos_ - s.pos_)*s.w FROM goal g JOIN sd s ON s.trip = g.trip AND s.arc = g.arc WHERE s.pos_ <= g.pos_),
+ ends AS (SELECT trip, round(CASE WHEN gated THEN greatest(b, dep + c) - dep ELSE c END + p, 6) AS c FROM en LEFT JOIN wn ON gated AND wn.arc = en.arc AND e - p >= greatest(b, dep + c) WHERE NOT gated OR b IS NOT NULL) """
+
+
+@query("G13_tide_windows", WINDOWS + f"""SELECT tr.trip, min(c) IS NOT NULL AS found, round(min(c), 3) AS cost FROM tr LEFT JOIN ends ON ends.trip = tr.trip AND c <= {ROUTE_LIMIT}e0 GROUP BY tr.trip""")
+def _(spark, sf):
+    a = grid_arcs(spark, sf)
+    # every fifth street is beach, open for 150 s three times
+    begin = (F.col("arc") % 7) * 60 + F.col("k") * 300.0
+    wins = a.filter("way % 5 = 0").select("arc", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("arc", begin.alias("begin"), (begin + 150.0).alias("end"))
+    trips = street_trips(spark, sf, a).withColumn("depart", (F.col("trip") % 600).cast("double"))
+    found, _ = ar.arc_routes(trips, a, F.round(F.round("length_m", 3) * 0.2, 3), None, False, ROUTE_LIMIT, windows=wins)
+    return found.select("trip", "found", F.round("cost", 3).alias("cost"))
+
+
+@query("G13_tide_gate", None)
+def _(spark, sf):
+    from .tracks import tides
+    a = grid_arcs(spark, sf).withColumn("beach", F.col("way") % 5 == 0)
+    trips = street_trips(spark, sf, a).withColumn("station", F.col("trip")).withColumn("depart", 694224000.0 + F.col("trip") * 7919 % 300000 * 1000)
+    cost = F.round(F.round("length_m", 3) * 0.2, 3)
+    return ar.tide_gate(trips, a, cost, cost, tides(spark, sf), 0.9, 1.6, 600.0, True, None, ROUTE_LIMIT)["plans"].select("trip", "found", F.round("cost", 3).alias("cost"), "dropped")
+
+
+@query("G12_metres_apart", ARCS + """, nw AS (SELECT arc % 300 AS trip, arc, length_m AS m, arc % 6 <> 1 AS apart FROM arcs WHERE arc % 4 = 1), c AS (SELECT *, sum(m) OVER w AS upto, coalesce(apart <> lag(apart) OVER w, true) AS f, max(arc) OVER (PARTITION BY trip) AS last FROM nw WINDOW w AS (PARTITION BY trip ORDER BY arc)),
+ r AS (SELECT *, sum(f::INT) OVER (PARTITION BY trip ORDER BY arc) AS run FROM c), g AS (SELECT trip, run, min(arc) AS n, min(upto - m) AS at_m, sum(m) AS metres, max(arc) = max(last) AS fin FROM r WHERE apart GROUP BY trip, run)
+ SELECT trip, CAST(row_number() OVER (PARTITION BY trip ORDER BY run) AS INT) AS parting, n, round(at_m, 2) AS at_m, CASE WHEN NOT fin THEN round(metres, 2) END AS metres FROM g""")
+def _(spark, sf):
+    a = arcs(spark, sf)
+    plan = a.select((F.col("arc") % 300).alias("trip"), F.col("arc").alias("n"), "arc")
+    d = ar.partings(plan.filter("arc % 4 = 1"), plan.filter("arc % 6 = 1"), a, size=50000)
+    return d.select("trip", "parting", "n", F.round("at_m", 2).alias("at_m"), F.round("metres", 2).alias("metres"))
+
+
 @query("G12_replan_difference", ARCS + "SELECT arc % 300 AS trip, arc FROM arcs WHERE arc % 4 = 1 EXCEPT SELECT arc % 300 AS trip, arc FROM arcs WHERE arc % 6 = 1")
 def _(spark, sf):
     a = arcs(spark, sf).select((F.col("arc") % 300).alias("trip"), "arc")

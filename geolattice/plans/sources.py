@@ -105,3 +105,18 @@ def _(spark, sf):
     v = F.when(k % 10 == 0, '{"type":"welcome"}').when(k % 10 == 1, '{"type":"error","message":"x"}').when(k % 10 == 2, "not json").when(k % 10 < 6, '{"type":"event","mmsi":367000001,"lat":1.5,"lon":2.5}').otherwise('{"type":"event","raw":["!AIVDM,1,1,,A,x,0*00"]}')
     d = src.stream_frames(table(spark, sf, "events").select(k.alias("seq"), v.alias("value")))
     return d.select("seq", "kind", F.col("raw").isNotNull().alias("has_raw"))
+
+
+DTED = with_ctes("posts") + """, p AS (SELECT -100 + col // 12 AS w, 30 + row // 12 AS s, row % 12 AS r, col % 12 AS c, elev FROM posts), g AS (SELECT w, s, max(r) AS mr, max(c) AS mc FROM p GROUP BY w, s), a AS (SELECT w, s, r, c, mr, mc FROM g, range(0, 12) x(r), range(0, 12) y(c) WHERE r <= mr AND c <= mc)
+ SELECT 'w' || lpad((-w)::VARCHAR, 3, '0') || '/n' || s AS cell, 1 AS level, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, round(s + r/greatest(mr, 1)::DOUBLE, 6) AS lat, round(w + c/greatest(mc, 1)::DOUBLE, 6) AS lon, max(elev) AS elev FROM a LEFT JOIN p USING (w, s, r, c) GROUP BY ALL"""
+
+
+@query("S11_X4_dted_cells", DTED)
+def _(spark, sf):
+    from ..sources import landed
+    landed.register(spark)
+    path = scratch(spark, "dted")
+    p = derived(spark, sf, "posts").selectExpr("cast(-100 + col div 12 as int) AS w", "cast(30 + row div 12 as int) AS s", "row % 12 AS row", "col % 12 AS col", "elev")
+    landed.write_dted(p.groupBy("w", "s", "row", "col").agg(F.max("elev").alias("elev")), path)
+    d = spark.read.format("landed").option("kind", "dted").load(path)
+    return d.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))

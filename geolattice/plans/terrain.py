@@ -179,7 +179,18 @@ def _(spark, sf):
     return te.fill_nodes(nodes, links.join(nodes.select(F.col("node").alias("v")), "v", "left_semi"), tol=0.005).select("node", F.round("elev", 2).alias("elev"))
 
 
-@query("R8_viewshed", None)
+_RAY = {"mn": "least(a.mn, b.mn)", "mx": "greatest(a.mx, b.mx)", "ip": "CASE WHEN fr = 0 THEN a.ip ELSE a.ip*(1 - fr) + b.ip*fr END"}
+VIEWS = with_ctes("posts", recursive=True) + f""", ob AS MATERIALIZED (SELECT row*120 + col AS id, row AS r0, col AS c0, elev + 10 AS eye FROM posts WHERE (row*120 + col) % 997 = 5 AND elev IS NOT NULL),
+ rg AS MATERIALIZED (SELECT r, dr, dc, floor(dr*(r - 1)/r)::INT AS ar, floor(dc*(r - 1)/r)::INT AS ac, ceil(dr*(r - 1)/r)::INT AS br, ceil(dc*(r - 1)/r)::INT AS bc, greatest((dr*(r - 1)) - r*floor(dr*(r - 1)/r), (dc*(r - 1)) - r*floor(dc*(r - 1)/r))/r AS fr, sqrt(dr*dr + dc*dc)*90e0 AS d
+   FROM (SELECT r::BIGINT AS r, dr::BIGINT AS dr, dc::BIGINT AS dc FROM range(1, 21) a(r), range(-20, 21) b(dr), range(-20, 21) c(dc) WHERE greatest(abs(dr), abs(dc)) = r)),
+ hz AS MATERIALIZED (SELECT id, rg.*, elev, coalesce(elev, 0) - d*d/(2*{geo.CURVATURE_R!r}) - eye AS rise FROM ob, rg LEFT JOIN posts ON posts.row = r0 + dr AND posts.col = c0 + dc),
+ v(id, r, dr, dc, mn, mx, ip, vmn, vmx, vip, known) AS (SELECT id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '-Infinity'::DOUBLE, '-Infinity'::DOUBLE, '-Infinity'::DOUBLE, 0e0, 0e0, 0e0, true FROM ob
+  UNION ALL SELECT id, r, dr, dc, {', '.join(f"CASE WHEN {m}*d < rise THEN rise/d ELSE {m} END" for m in _RAY)}, {', '.join(f"CASE WHEN {m}*d < rise THEN 0 ELSE {m}*d - rise END" for m in _RAY)}, elev IS NOT NULL
+   FROM (SELECT h.id, h.r, h.dr, h.dc, h.d, h.rise, h.elev, {', '.join(f"{e} AS {m}" for m, e in _RAY.items())} FROM hz h JOIN v a ON a.id = h.id AND a.r = h.r - 1 AND a.dr = h.ar AND a.dc = h.ac JOIN v b ON b.id = h.id AND b.r = h.r - 1 AND b.dr = h.br AND b.dc = h.bc) x)
+ SELECT v.id, CAST(r0 + dr AS BIGINT) AS row, CAST(c0 + dc AS BIGINT) AS col, round(vmn, 3) AS vh_min, round(vmx, 3) AS vh_max, round(vip, 3) AS vh_interp FROM v JOIN ob USING (id) WHERE known"""
+
+
+@query("R8_viewshed", VIEWS)
 def _(spark, sf):
     o = posts(spark, sf).filter("(row * 120 + col) % 997 = 5 and elev is not null").select((F.col("row") * 120 + F.col("col")).alias("id"), "row", "col", F.lit(10.0).alias("height_m"), F.lit(20).alias("steps"))
     v = te.viewshed(o, posts(spark, sf), 90.0)
