@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ["features", "spatial", "tracks", "roads", "terrain", "feeds", "charts", "sources", "navigation", "guidance"]
+FAMILIES = ["features", "spatial", "tracks", "roads", "terrain", "feeds", "charts", "sources", "navigation", "guidance", "layers"]
 for _m in FAMILIES:
     importlib.import_module(f"{__name__}.{_m}")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -75,7 +76,7 @@ def main():
         sf, args = args[1], args[2:]
     sf = f"/root/testdata/sf{sf}"
     spark = build("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-                                            "spark.driver.memory": "12g", "spark.log.level": "ERROR"})
+                                            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"), "spark.driver.memory": "12g", "spark.log.level": "ERROR"})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(sf), e.oracle_sql(), []
     for name, fn in e.queries().items():

@@ -124,3 +124,13 @@ def test_fill_and_contours_take_the_full_grid(spark):
     lines = plans.QUERIES["R4_contour_lines"](spark, sf).groupBy("level").count().collect()
     segments = {r.level: r["segments"] for r in terrain.contour_segments(posts(spark, sf), interval=50.0).groupBy("level").agg(F.count("*").alias("segments")).collect()}
     assert len(segments) > 3 and {r.level: r["count"] for r in lines} == segments
+
+
+def test_size_estimates_do_not_grow_from_round_to_round(spark):
+    from geolattice.session import cut_lineage, discard
+    d = cut_lineage(spark.range(20).select("id"))
+    for _ in range(30):
+        d, was = cut_lineage(d.join(d.select(F.col("id").alias("b")), F.col("id") == F.col("b")).select("id")), d
+        discard(was)
+    assert int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+    assert d.count() == 20
