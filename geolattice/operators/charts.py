@@ -143,6 +143,23 @@ def feature_lines(pointers: DataFrame, vectors: DataFrame) -> DataFrame:
     return o.groupBy("owner").agg(F.max("part").alias("parts"), F.sum(F.when(F.col("coords").isNotNull(), n).otherwise(0)).alias("points"), F.min(F.col("coords").isNotNull()).alias("complete"))
 
 
+def feature_vertices(pointers: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Line geometry from ordered edge pointers as rows: (owner, part, n, vertex), n from 0 along each part.
+
+    As ``feature_lines``: an edge joins the run before it where its first vertex is the run's last, which then comes once; edges without a vector leave a gap.
+    """
+    j = pointers.join(vectors, "target").withColumn("coords", F.when(F.col("reverse"), F.reverse("coords")).otherwise(F.col("coords")))
+    j = j.withColumn("_a", F.col("coords")[0]).withColumn("_z", F.element_at("coords", -1))
+    chunk = F.floor(F.col("seq") / 1000)
+    whole = pointers.select("owner", "seq").join(j.select("owner", "seq", "_a", "_z", "coords"), ["owner", "seq"], "left")
+    o = Ordered(whole, ["owner"], ["seq"], chunk).previous(z=F.col("_z"))
+    o = o.islands(F.col("is_first") | ~F.col("_a").eqNullSafe(F.col("prev_z")), "part").result()
+    joined = ~F.col("is_first") & F.col("_a").eqNullSafe(F.col("prev_z"))
+    v = o.filter("coords is not null").select("owner", "seq", "part", joined.alias("_on"), F.posexplode("coords").alias("_pos", "vertex")).filter(~F.col("_on") | (F.col("_pos") > 0))
+    v = Ordered(v, ["owner", "part"], ["seq", "_pos"], F.floor(F.col("seq") / 1000)).running(sums={"_n": F.lit(1)}).result()
+    return v.select("owner", "part", (F.col("_n") - 1).alias("n"), "vertex")
+
+
 def compare_catalog(installed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per installed cell: current, new edition, new update, cancelled or not listed.
 

@@ -75,6 +75,19 @@ def _(spark, sf):
     return ch.feature_lines(o.select(F.col("o_custkey").alias("owner"), k.alias("seq"), k.alias("target"), flip.alias("reverse")), v).select("owner", "parts", "points")
 
 
+@query("J13_feature_vertices", """WITH p AS (SELECT o_custkey AS owner, o_orderkey AS seq, o_orderkey % 200 AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 200 + 1 ELSE (o_orderkey*7) % 200 END AS z FROM orders), l AS (SELECT *, lag(z) OVER (PARTITION BY owner ORDER BY seq) AS pz FROM p),
+ g AS (SELECT *, sum(CASE WHEN pz IS NULL OR pz <> a THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY seq) AS part FROM l), v AS (SELECT owner, part, seq, 0 AS i, a AS vertex FROM g WHERE pz IS NULL OR pz <> a UNION ALL SELECT owner, part, seq, 1, z FROM g)
+ SELECT owner, CAST(part AS BIGINT) AS part, row_number() OVER (PARTITION BY owner, part ORDER BY seq, i) - 1 AS n, vertex FROM v""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders")
+    z = F.when(k % 3 == 0, k % 200 + 1).otherwise((k * 7) % 200)
+    flip = k % 2 == 0
+    v = o.select(k.alias("target"), F.when(flip, F.array(z, k % 200)).otherwise(F.array(k % 200, z)).alias("coords"))
+    d = ch.feature_vertices(o.select(F.col("o_custkey").alias("owner"), k.alias("seq"), k.alias("target"), flip.alias("reverse")), v)
+    return d.select("owner", "part", F.col("n").cast("long").alias("n"), "vertex")
+
+
 CAT = with_ctes("catalog", "installed")
 
 

@@ -120,3 +120,20 @@ def _(spark, sf):
     landed.write_dted(p.groupBy("w", "s", "row", "col").agg(F.max("elev").alias("elev")), path)
     d = spark.read.format("landed").option("kind", "dted").load(path)
     return d.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+@query("O9_best_level", """WITH c AS (SELECT l_suppkey AS cell, l_linenumber % 3 AS level, l_orderkey AS post, l_quantity AS elev FROM lineitem WHERE l_suppkey % 4 <> 1 OR l_linenumber % 3 < 2) SELECT cell, level, post, CAST(elev AS DOUBLE) AS elev FROM c QUALIFY level = max(level) OVER (PARTITION BY cell)""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").filter("l_suppkey % 4 <> 1 or l_linenumber % 3 < 2")
+    return src.best_level(li.select(F.col("l_suppkey").alias("cell"), (F.col("l_linenumber") % 3).alias("level"), F.col("l_orderkey").alias("post"), F.col("l_quantity").cast("double").alias("elev")))
+
+
+@query("S15_versioned_table", "SELECT c_custkey AS id, c_name AS name, c_acctbal::DOUBLE AS value FROM customer WHERE c_nationkey % 3 <> 0")
+def _(spark, sf):
+    # a file per nation; every third nation's is of another version and is refused
+    path = scratch(spark, "tables")
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("double").cast("string")).alias("value"))
+    first = c.select("c_nationkey").distinct().select("c_nationkey", F.lit(-1).alias("c_custkey"), F.concat(F.lit("#version="), F.when(F.col("c_nationkey") % 3 == 0, "1").otherwise("2")).alias("value"))
+    rows = first.unionByName(c.withColumn("c_custkey", F.col("c_custkey").cast("int"))).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return src.read_table(spark, f"{path}/*", "id long, name string, value double", "2").select("id", "name", "value")
