@@ -137,3 +137,20 @@ def test_viewshed_flat_ground_is_visible(spark):
     obs = spark.createDataFrame([(1, 10, 10, 5.0, 8)], "id long, row long, col long, height_m double, steps int")
     v = terrain.viewshed(obs, posts, 90.0)
     assert v.count() == 17 * 17 and v.agg(F.max("vh_max")).first()[0] < 0.05
+
+
+def test_map_matching_radius_and_confidence(spark):
+    from geolattice.operators import navigation
+    m = 1 / 111195.08023353292
+    segs = spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 0.0, 0.01), (2, 3, 4, 20 * m, 0.0, 20 * m, 0.01)], "seg long, u long, v long, alat double, alon double, blat double, blon double")
+    rows = [(1, 0, 4 * m, 0.002, 5.0, 8.0), (1, 1, 4 * m, 0.003, 5.0, 1.0), (1, 2, 40 * m, 0.004, 5.0, 3.0), (1, 3, -40 * m, 0.004, 5.0, 12.0), (2, 0, -20 * m, 0.005, None, None), (3, 0, 8 * m, 0.002, 5.0, 4.0), (3, 1, 12 * m, 0.002, 0.2, 4.0)]
+    fixes = spark.createDataFrame(rows, "track long, seq long, lat double, lon double, speed double, hdop double")
+    got = {(r.track, r.seq): r for r in navigation.match_tracks(fixes, segs).collect()}
+    first = got[1, 0]      # 40 m: both roads in range, 4 and 16 m away
+    assert (first.seg, first.candidates) == (1, 2) and first.confidence == pytest.approx(0.9, abs=1e-6)
+    assert got[1, 1].seg == 1 and got[1, 1].candidates == 1 and got[1, 1].confidence == pytest.approx(1 - 4 / 15, abs=1e-6)      # never under 15 m
+    assert got[1, 2].seg is None and got[1, 2].candidates == 0
+    assert got[1, 3].seg == 1 and got[1, 3].confidence == pytest.approx(1 - 40 / 60, abs=1e-6)
+    assert got[2, 0].seg == 1 and got[2, 0].confidence == pytest.approx(1 - 20 / 25, abs=1e-6)
+    assert got[3, 0].confidence == pytest.approx((1 - 8 / 20) * (0.5 + 0.5 * 0.4), abs=1e-6)
+    assert got[3, 1].seg == 1 and got[3, 1].held and got[3, 1].confidence == pytest.approx(1 - 12 / 20, abs=1e-6)
