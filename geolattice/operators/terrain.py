@@ -219,15 +219,16 @@ def overview(posts: DataFrame, n: int) -> DataFrame:
 
 def climb_descent(profile: Column, hysteresis: float) -> Column:
     """Struct(climb, descent) of an elevation array: a change counts once it reaches the hysteresis from the
-    last counted level; the remainder to the last entry is counted outright."""
-    inner = F.filter(F.slice(profile, F.lit(2), F.greatest(F.lit(0), F.size(profile) - 2)), lambda e: e.isNotNull())
+    last counted level; the remainder to the last entry is counted outright. Voids are passed over; the other direction's are these swapped."""
+    profile = F.filter(profile, lambda e: e.isNotNull())
+    inner = F.slice(profile, F.lit(2), F.greatest(F.lit(0), F.size(profile) - 2))
     zero = F.struct(F.get(profile, F.lit(0)).alias("ref"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
 
     def step(s, e):
         d = e - s.ref
         return F.struct(F.when(F.abs(d) >= hysteresis, e).otherwise(s.ref).alias("ref"), (s.up + F.when(d >= hysteresis, d).otherwise(0.0)).alias("up"),
                         (s.down + F.when(-d >= hysteresis, -d).otherwise(0.0)).alias("down"))
-    last = F.element_at(profile, -1)
+    last = F.try_element_at(profile, F.lit(-1))
     return F.aggregate(inner, zero, step, lambda s: F.struct((s.up + F.greatest(last - s.ref, F.lit(0.0))).alias("climb"), (s.down + F.greatest(s.ref - last, F.lit(0.0))).alias("descent")))
 
 

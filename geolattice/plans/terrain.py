@@ -161,12 +161,16 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(geo.elevation_drop(F.col("l_quantity") * 1000), 6).alias("drop_m"))
 
 
-@query("A17_G10_climb_descent", None)
-def _(spark, sf):
-    p = posts(spark, sf).filter("elev is not null")
-    # profiles of at most eight posts, as along one road arc
-    a = p.groupBy("row", F.floor(F.col("col") / 8).alias("arc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "elev"))), lambda x: x.elev).alias("profile"))
-    return a.withColumn("c", te.climb_descent(F.col("profile"), 3.0)).select("row", "arc", F.round("c.climb", 3).alias("climb_m"), F.round("c.descent", 3).alias("descent_m"))
+@query("A17_G10_climb_descent", with_ctes("posts", recursive=True) + """, p AS (SELECT row, col, elev, row_number() OVER w AS n, count(*) OVER (PARTITION BY row) AS k FROM posts WHERE elev IS NOT NULL WINDOW w AS (PARTITION BY row ORDER BY col)),
+ s(row, n, k, ref, up, down) AS (SELECT row, n, k, elev::DOUBLE, 0e0, 0e0 FROM p WHERE n = 1
+  UNION ALL SELECT p.row, p.n, p.k, CASE WHEN abs(elev - ref) >= 3 THEN elev ELSE ref END, up + CASE WHEN elev - ref >= 3 THEN elev - ref ELSE 0 END, down + CASE WHEN ref - elev >= 3 THEN ref - elev ELSE 0 END FROM s JOIN p ON p.row = s.row AND p.n = s.n + 1 WHERE p.n < p.k),
+ f AS (SELECT s.row, s.ref, up, down, p.elev FROM s JOIN p ON p.row = s.row AND p.n = p.k WHERE s.n = greatest(1, s.k - 1))
+ SELECT row, round(up + greatest(elev - ref, 0), 3) AS climb_m, round(down + greatest(ref - elev, 0), 3) AS descent_m, round(down + greatest(ref - elev, 0), 3) AS back_climb_m FROM f""")
+def _(spark, sf):
+    # every row of the grid as one road, voids and all; driven back, what fell rises
+    a = posts(spark, sf).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "elev"))), lambda x: x.elev).alias("profile")).filter(F.exists("profile", lambda e: e.isNotNull()))
+    a = a.withColumn("c", te.climb_descent(F.col("profile"), 3.0))
+    return a.select("row", F.round("c.climb", 3).alias("climb_m"), F.round("c.descent", 3).alias("descent_m"), F.round("c.descent", 3).alias("back_climb_m"))
 
 
 @query("W20_fill_nodes", None)
