@@ -134,7 +134,7 @@ def _(spark, sf):
     return a.select("arc", "edge", "way", "src", "dst", F.round("length_m", 3).alias("length_m"), "klass")
 
 
-@query("J10_twin_arcs", WAYS + "SELECT a.arc, b.arc AS twin FROM arcs a LEFT JOIN arcs b ON b.edge = a.edge AND b.arc <> a.arc")
+@query("J10_twin_arcs", WAYS + "SELECT a.arc, max(CASE WHEN b.arc <> a.arc THEN b.arc END) AS twin FROM arcs a JOIN (SELECT arc, edge FROM arcs) b ON b.edge = a.edge GROUP BY a.arc")
 def _(spark, sf):
     return osm.twin_arcs(grid_arcs(spark, sf))
 
