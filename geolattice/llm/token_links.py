@@ -23,7 +23,7 @@ CHUNK = 1 << 16
 #: Vectors that one step of the tree adds up.
 FAN = 16
 #: Chunks up to so many characters whose alignment a worker remembers, and how many of them; others are aligned again, with the same result.
-SHORT, REMEMBERED = 48, 400_000
+SHORT, REMEMBERED = 48, 500_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _pairs: dict[tuple[str, str], "TokenPair"] = {}
 _chunks: dict[tuple[str, str], "Chunks"] = {}
@@ -142,7 +142,7 @@ class Chunks:
     def __init__(self, pair: TokenPair) -> None:
         self.pair = pair
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, np.ndarray, bytes]] = []
+        self.rows: list[tuple[int, int, bytes, bytes]] = []
 
     def _add(self, texts: list[str]) -> list[int]:
         """Numbers of new chunks; -1 for one that is not given back."""
@@ -152,7 +152,7 @@ class Chunks:
         for n_a, n_b, x, y, text in zip(al.n_a.tolist(), al.n_b.tolist(), ends, ends[1:], group_texts(self.pair, al)):
             out.append(len(self.rows) if n_a else -1)
             if n_a:
-                self.rows.append((n_a, n_b, key[x:y], text))
+                self.rows.append((n_a, n_b, key[x:y].tobytes(), text))
         return out
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
@@ -175,7 +175,7 @@ class Chunks:
         """Of some texts' chunks: the distinct ones, which of them each chunk is, the keys of the distinct ones' links, and how many each has."""
         one, which = np.unique(np.fromiter(itertools.chain.from_iterable(numbers), np.int64), return_inverse=True)
         links = [self.rows[i][2] for i in one.tolist()]
-        return one, which, np.concatenate([np.zeros(0, np.int64), *links]), np.array([len(k) for k in links], np.int64)
+        return one, which, np.frombuffer(b"".join(links), np.int64), np.fromiter(map(len, links), np.int64) // 8
 
 
 def chunks_of(first: str, second: str) -> Chunks:
