@@ -39,10 +39,11 @@ def bilinear(points: DataFrame, posts: DataFrame, lat0: float, lon0: float, step
     q = p.select("id", "_r", "_c", "_fy", "_fx", F.explode(offs).alias("_o")).withColumn("row", F.col("_r") + F.col("_o.a")).withColumn("col", F.col("_c") + F.col("_o.b"))
     w = F.when(F.col("_o.a") == 1, F.col("_fy")).otherwise(1 - F.col("_fy")) * F.when(F.col("_o.b") == 1, F.col("_fx")).otherwise(1 - F.col("_fx"))
     near = (F.col("_o.a") == F.floor(F.col("_fy") + 0.5)) & (F.col("_o.b") == F.floor(F.col("_fx") + 0.5))
-    j = q.join(posts.select("row", "col", "elev"), ["row", "col"])
+    # points may come out of exploded legs, which size estimates do not see: neither side is broadcast
+    j = q.join(posts.select("row", "col", "elev").hint("merge"), ["row", "col"])
     # corners of zero weight do not matter to the value
     a = j.groupBy("id").agg(F.count_if(F.col("elev").isNotNull()).alias("_n"), F.sum(w * F.col("elev")).alias("_v"), F.max(F.when(near, F.col("elev"))).alias("_near"))
-    out = points.join(a, "id", "left" if keep_missing else "inner")
+    out = points.join(a.hint("merge"), "id", "left" if keep_missing else "inner")
     return out.withColumn("elev", F.when(F.col("_n") == 4, F.col("_v")).otherwise(F.col("_near"))).drop("_n", "_v", "_near")
 
 
