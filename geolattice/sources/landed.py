@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual)
 
 _VOID = -32767
-_CELL = re.compile(r"([ew])(\d{1,3})/([ns])(\d{1,2})\.dt(\d)$", re.I)
+# a grid of posts may run past 90 degrees, and its cells are still told by their names
+_CELL = re.compile(r"([ew])(\d+)/([ns])(\d+)\.dt(\d)$", re.I)
 
 
 @dataclass
