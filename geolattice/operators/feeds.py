@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ais, geo, nmea
+from ..session import cut_lineage
 from .ordered import Ordered, time_chunk
 
 CHUNK = 86400.0
@@ -25,10 +26,12 @@ def sentences(lines: DataFrame) -> DataFrame:
 def assemble(sents: DataFrame) -> DataFrame:
     """Whole payloads: one row per message (feed, t, seq, tag, own, payload, fill) or dropped group (outcome).
 
-    A first fragment opens a group and discards an open one of the same key; a fragment without an open
-    group, or later than ten seconds after the first, is an orphan; repeats change nothing; fill bits
-    come from the last fragment; the tag is the first that is set.
+    A first fragment opens a group and discards an open one of the same key; its last missing fragment closes it. A fragment
+    without an open group, or later than ten seconds after the first, is an orphan; repeats in an open group change nothing;
+    fill bits come from the last fragment; the tag is the first that is set.
     """
+    # every kind of outcome reads the sentences, which are parsed once
+    sents = cut_lineage(sents.select("feed", "t", "seq", "tag", "f"))
     bad = sents.filter(F.col("f").isNull()).select("feed", "t", "seq", F.lit("bad line").alias("outcome"))
     ok = sents.filter(F.col("f").isNotNull()).select("feed", "t", "seq", "tag", "f.*")
     one = ok.filter("count = 1").select("feed", "t", "seq", "tag", "own", "payload", "fill", F.lit("message").alias("outcome"))
@@ -38,15 +41,19 @@ def assemble(sents: DataFrame) -> DataFrame:
     o = o.islands(F.col("number") == 1, "grp").running(lasts={"t0": F.when(F.col("number") == 1, F.col("t"))})
     r = o.result()
     live = (F.col("grp") > 0) & (F.col("t") - F.col("t0") <= FRAGMENT_S)
-    orphan = r.filter(~live).select("feed", "t", "seq", F.lit("orphan").alias("outcome"))
+    r = cut_lineage(r.withColumn("live", live))
+    early = r.filter(~F.col("live")).select("feed", "t", "seq", F.lit("orphan").alias("outcome"))
     # a group holds at most nine fragments once repeats are set aside
-    per = r.filter(live).groupBy(*keys, "grp", "number").agg(F.min(F.struct("seq", "t", "payload", "fill", "tag")).alias("x"))
+    per = r.filter("live").groupBy(*keys, "grp", "number").agg(F.min(F.struct("t", "seq", "payload", "fill", "tag")).alias("x"), F.count("*").alias("n"))
+    # only a repeat can come after the fragment that closes its group
+    shut = per.groupBy(*keys, "grp").agg(F.count("*").alias("_k"), F.max("n").alias("_n"), F.max(F.struct("x.t", "x.seq")).alias("_shut")).filter((F.col("_k") == F.col("count")) & (F.col("_n") > 1))
+    late = r.filter("live").join(shut.hint("merge"), [*keys, "grp"]).filter(F.struct("t", "seq") > F.col("_shut")).select("feed", "t", "seq", F.lit("orphan").alias("outcome"))
     g = per.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(F.struct("number", F.col("x.payload").alias("payload"), F.col("x.fill").alias("fill")))).alias("parts"),
                                       F.max("x.seq").alias("seq"), F.max("x.t").alias("t"), F.min(F.when(F.col("x.tag").isNotNull(), F.struct("number", F.col("x.tag").alias("tag")))).alias("tg"))
     whole = F.size("parts") == F.col("count")
     done = g.select("feed", "t", "seq", F.when(whole, F.col("tg.tag")).alias("tag"), "own", F.when(whole, F.array_join(F.transform("parts", lambda p: p.payload), "")).alias("payload"),
                     F.when(whole, F.element_at("parts", -1).fill).alias("fill"), F.when(whole, "message").otherwise("dropped").alias("outcome"))
-    return one.unionByName(done).unionByName(bad, allowMissingColumns=True).unionByName(orphan, allowMissingColumns=True)
+    return one.unionByName(done).unionByName(bad, allowMissingColumns=True).unionByName(early, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
 
 
 def messages(assembled: DataFrame) -> DataFrame:
@@ -71,7 +78,8 @@ def vessel_table(msgs: DataFrame) -> DataFrame:
     position gives way to another kind less than six minutes older. Partial aggregation by time, no
     per-vessel sort, except that type-27 rows look up the last other position first.
     """
-    d = msgs.filter((F.col("mmsi") != 0) & (F.col("outcome") == "decoded"))
+    d = cut_lineage(msgs.filter((F.col("mmsi") != 0) & (F.col("outcome") == "decoded")).select(
+        "mmsi", "t", "seq", "type", "lat", "lon", "sog_mps", "cog_deg", "heading_deg", "nav_status", "draught_m", "destination", "own", *STATIC))
     o = Ordered(d, ["mmsi"], ["t", "seq"], time_chunk(F.col("t"), CHUNK)).running(
         lasts={"_fine": F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("type") != 27), F.col("t"))}, inclusive=False).result()
     pos = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.coalesce((F.col("type") == 27) & (F.col("t") - F.col("_fine") < STALE_S), F.lit(False))
@@ -116,7 +124,8 @@ def alarms(cpa_rows: DataFrame, cpa_m: float = 926.0, tcpa_s: float = 600.0, rel
 
 def assemble_fixes(lines: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
     """Sentences sharing a time of day as one fix per feed; dated by the last RMC date heard when it closes."""
-    p = nmea.with_reading(lines).filter(F.col("r").isNotNull() & (F.col("r.type") != "HDT")).select("feed", "t", "seq", "r.*")
+    # each ordered step reads its input twice, so the parsed lines are kept, and so are the groups
+    p = cut_lineage(nmea.with_reading(lines).filter(F.col("r").isNotNull() & (F.col("r.type") != "HDT")).select("feed", "t", "seq", "r.*"))
     o = Ordered(p, ["feed"], ["t", "seq"], time_chunk(F.col("t"), CHUNK)).running(lasts={"_tod": F.col("tod_s")}, inclusive=False)
     new = F.col("_tod").isNull() & F.lit(False) | (F.col("tod_s").isNotNull() & F.col("_tod").isNotNull() & (F.abs(F.col("tod_s") - F.col("_tod")) >= tolerance_s))
     o = o.islands(new, "grp").running(lasts={"_date": F.col("date")})
@@ -127,7 +136,7 @@ def assemble_fixes(lines: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
     g = o.result().groupBy("feed", "grp").agg(F.min(at).alias("first"), F.max_by("_date", at).alias("_date"), F.min_by("date", at).alias("_opens"),
                                               *[last(c) for c in ("lat", "lon", "speed_mps", "heading_deg", "tod_s", "satellites", "hdop", "alt_m")])
     # the sentence that closes a group is the first of the next one, and its date already counts
-    q = Ordered(g.withColumn("t", F.col("first.t")), ["feed"], ["grp"], time_chunk(F.col("t"), CHUNK)).following(opens=F.col("_opens")).result()
+    q = Ordered(cut_lineage(g.withColumn("t", F.col("first.t"))), ["feed"], ["grp"], time_chunk(F.col("t"), CHUNK)).following(opens=F.col("_opens")).result()
     date = F.coalesce("next_opens", "_date")
     when = F.when(F.col("tod_s").isNotNull() & date.isNotNull(), F.unix_date(date) * 86400.0 + F.col("tod_s"))
     return q.filter(F.col("lat").isNotNull()).select("feed", "grp", when.alias("fix_t"), "lat", "lon", "speed_mps", "heading_deg", "satellites", "hdop", "alt_m")
