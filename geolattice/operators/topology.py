@@ -1,4 +1,7 @@
-"""Areas from edge topology: rings of faces walked by list ranking over the two sides of every edge."""
+"""Areas from edge topology: rings of faces walked by list ranking over the two sides of every edge.
+
+Tables of sides, rings and coordinates meet in sort-merge joins by hint: their sizes are those of compressed files or are guessed, and both would send them through the driver.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,7 +12,7 @@ from .ordered import Ordered
 
 def simple_features(rows: DataFrame, primitives: DataFrame) -> DataFrame:
     """Point and line features: each class row (feature, tile, prim) with the coordinates (pos, lat, lon) of its tile's primitive. Rows without one are left out."""
-    return rows.join(primitives.select("tile", "prim", "pos", "lat", "lon"), ["tile", "prim"]).select("feature", "pos", "lat", "lon")
+    return rows.join(primitives.select("tile", "prim", "pos", "lat", "lon").hint("merge"), ["tile", "prim"]).select("feature", "pos", "lat", "lon")
 
 
 def sides(edges: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def sides(edges: DataFrame) -> DataFrame:
         return edges.select("tile", F.struct("edge", F.lit(back).alias("back")).alias("at"), F.col(f"{a}_face").alias("face"), F.col(f"{b}_node").alias("_node"), F.col(f"{a}_edge").alias("_edge"),
                             (F.col("left_face") == F.col("right_face")).alias("spur"))
     to = edges.select("tile", F.col("edge").alias("_edge"), F.col("start_node").alias("_s"), F.col("end_node").alias("_e"), F.col("left_face").alias("_l"), F.col("right_face").alias("_r"))
-    j = one(False).unionByName(one(True)).join(to, ["tile", "_edge"], "left")
+    j = one(False).unionByName(one(True)).join(to.hint("merge"), ["tile", "_edge"], "left")
     loop = F.col("_s") == F.col("_e")
     back = F.when(loop & (F.col("_l") != F.col("_r")), F.col("face") == F.col("_l")).otherwise(F.col("_s") != F.col("_node"))
     return j.select("tile", "at", "face", F.when(F.col("_s").isNotNull(), F.struct(F.col("_edge").alias("edge"), back.alias("back"))).alias("next"), "spur")
@@ -40,32 +43,32 @@ def ring_walk(edges: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     s = cut_lineage(sides(edges))
     e = edges.select("tile", F.col("edge").alias("start_edge"), "left_face", "right_face")
-    r = rings.join(e, ["tile", "start_edge"], "left")
+    r = rings.join(e.hint("merge"), ["tile", "start_edge"], "left")
     side = F.when(F.col("right_face") == F.col("face"), False).when(F.col("left_face") == F.col("face"), True)
     r = cut_lineage(r.select("tile", "face", "ring", F.when(side.isNotNull(), F.struct(F.col("start_edge").alias("edge"), side.alias("back"))).alias("start")))
     cut = r.filter("start is not null").select("tile", F.col("start").alias("next"), F.lit(True).alias("_cut")).distinct()
-    p = s.join(cut, ["tile", "next"], "left").select("tile", "at", F.when(F.col("_cut").isNull(), F.col("next")).alias("to"), F.lit(0).cast("long").alias("far"),
+    p = s.join(cut.hint("merge"), ["tile", "next"], "left").select("tile", "at", F.when(F.col("_cut").isNull(), F.col("next")).alias("to"), F.lit(0).cast("long").alias("far"),
                                                      # where the ring is cut, the side ends it
                                                      F.when(F.col("_cut"), F.col("next")).alias("begin"))
     p = cut_lineage(p.withColumn("far", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long")))
     most, done = s.count(), 1
     while done <= most:
         ahead = p.select("tile", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("begin").alias("_begin"))
-        q = p.filter("to is not null").join(ahead, ["tile", "to"], "left").select("tile", "at", F.col("_to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_begin").alias("begin"))
+        q = p.filter("to is not null").join(ahead.hint("merge"), ["tile", "to"], "left").select("tile", "at", F.col("_to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_begin").alias("begin"))
         new = cut_lineage(p.filter("to is null").select("tile", "at", "to", "far", "begin").unionByName(q))
         discard(p)
         p, done = new, 2 * done
         if p.filter("to is not null").isEmpty():
             break
     ended = p.filter("to is null and begin is not null").select("tile", "at", "far", "begin")
-    on = r.filter("start is not null").join(ended, (r.tile == ended.tile) & (F.col("start") == F.col("begin"))).select(r.tile, "face", "ring", "start", "at", "far")
+    on = r.filter("start is not null").join(ended.hint("merge"), (r.tile == ended.tile) & (F.col("start") == F.col("begin"))).select(r.tile, "face", "ring", "start", "at", "far")
     top = on.groupBy("tile", "face", "ring").agg(F.max("far").alias("_top"), F.count("*").alias("_n"), F.count_distinct("far").alias("_d"),
                                                  F.max(F.when(F.col("at") == F.col("start"), F.col("far"))).alias("_first"))
     whole = top.filter((F.col("_n") == F.col("_top") + 1) & (F.col("_d") == F.col("_n")) & (F.col("_first") == F.col("_top")))
-    walked = on.join(whole, ["tile", "face", "ring"]).join(s.select("tile", "at", "spur"), ["tile", "at"])
+    walked = on.join(whole.hint("merge"), ["tile", "face", "ring"]).join(s.select("tile", "at", "spur").hint("merge"), ["tile", "at"])
     body = walked.groupBy("tile", "face", "ring").agg(F.max(~F.col("spur")).alias("body"))
-    out = walked.join(body, ["tile", "face", "ring"]).select("tile", "face", "ring", (F.col("_top") - F.col("far")).alias("n"), "at.edge", "at.back", "body")
-    broken = r.join(whole.select("tile", "face", "ring"), ["tile", "face", "ring"], "left_anti").select(
+    out = walked.join(body.hint("merge"), ["tile", "face", "ring"]).select("tile", "face", "ring", (F.col("_top") - F.col("far")).alias("n"), "at.edge", "at.back", "body")
+    broken = r.join(whole.select("tile", "face", "ring").hint("merge"), ["tile", "face", "ring"], "left_anti").select(
         "tile", "face", "ring", F.when(F.col("start").isNull(), "start edge does not bound the face").otherwise("ring does not close").alias("reason"))
     return out, broken
 
@@ -82,9 +85,9 @@ def area_points(features: DataFrame, edges: DataFrame, rings: DataFrame, coords:
     part = Ordered(kept, ["tile", "face"], ["ring"], F.floor(F.col("ring") / 10000)).running(sums={"_nth": F.lit(1)}).result().select("tile", "face", "ring", (F.col("_nth") - 1).alias("part"))
     span = coords.groupBy("tile", "edge").agg(F.max("pos").alias("_last"), F.min("pos").alias("_pos0"))
     # an edge brings all its points but the one it begins with; the ring's first edge brings that one too
-    p = walked.join(coords, ["tile", "edge"]).join(span, ["tile", "edge"])
+    p = walked.join(coords.hint("merge"), ["tile", "edge"]).join(span.hint("merge"), ["tile", "edge"])
     step = F.when(F.col("back"), F.col("_last") - F.col("pos")).otherwise(F.col("pos") - F.col("_pos0"))
     p = p.withColumn("step", step).filter("step > 0 or n = 0").select("tile", "face", "ring", "n", "step", "lat", "lon")
     o = Ordered(p, ["tile", "face", "ring"], ["n", "step"], F.floor(F.col("n") / 1000)).running(sums={"_at": F.lit(1)}).result()
-    ring = o.join(part, ["tile", "face", "ring"]).select("tile", "face", "part", (F.col("_at") - 1).alias("n"), "lat", "lon")
-    return features.select("feature", "tile", "face").join(ring, ["tile", "face"]).select("feature", "part", "n", "lat", "lon")
+    ring = o.join(part.hint("merge"), ["tile", "face", "ring"]).select("tile", "face", "part", (F.col("_at") - 1).alias("n"), "lat", "lon")
+    return features.select("feature", "tile", "face").join(ring.hint("merge"), ["tile", "face"]).select("feature", "part", "n", "lat", "lon")

@@ -17,3 +17,28 @@ def test_fragment_after_its_message_is_an_orphan(spark):
     got = {(r.outcome, r.seq, r.payload) for r in out.collect()}
     assert got == {("dropped", 1, None), ("dropped", 2, None), ("message", 4, "cd"), ("orphan", 5, None), ("message", 7, "fg"), ("orphan", 8, None), ("message", 10, "hi")}
     assert out.count() == 7
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_and_rings_are_not_broadcast(spark):
+    from geolattice.operators import topology as tp
+    # one square of four edges round face 2 in each tile
+    e = spark.range(8).selectExpr("id div 4 AS tile", "id % 4 + 1 AS edge", "id % 4 + 1 AS start_node", "(id + 1) % 4 + 1 AS end_node", "1L AS left_face", "2L AS right_face", "(id + 3) % 4 + 1 AS left_edge", "(id + 1) % 4 + 1 AS right_edge")
+    rings = spark.range(2).selectExpr("id AS tile", "2L AS face", "1L AS ring", "1L AS start_edge")
+    coords = e.select("tile", "edge", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).selectExpr("tile", "edge", "pos", "edge + pos + 0D AS lat", "0D AS lon")
+    a = tp.area_points(spark.range(2).selectExpr("id AS feature", "id AS tile", "2L AS face"), e, rings, coords)
+    assert "Broadcast" not in plan(a) and "Broadcast" not in plan(tp.sides(e)) and "Broadcast" not in plan(tp.ring_walk(e, rings)[0])
+    assert "Broadcast" not in plan(tp.simple_features(e.selectExpr("edge AS feature", "tile", "edge AS prim"), coords.withColumnRenamed("edge", "prim")))
+    assert [(r.feature, r.part, r.n) for r in a.orderBy("feature", "n").collect()] == [(f, 0, n) for f in (0, 1) for n in range(5)]
+
+
+def test_cells_of_segments_are_not_broadcast(spark):
+    from geolattice.operators import spatial as sp
+    segs = spark.range(5).selectExpr("id AS seg", "30D AS alat", "10 + id*1e-4D AS alon", "30.01D AS blat", "10 + id*1e-4D AS blon")
+    pts = spark.range(3).selectExpr("id AS pid", "30.005D AS lat", "10 + id*1e-4D AS lon")
+    d = sp.segments_in_radius(pts, segs, 15.0)
+    assert "Broadcast" not in plan(d)
+    assert {(r.pid, r.seg) for r in d.collect()} == {(i, j) for i in range(3) for j in range(5) if abs(i - j) <= 1}
