@@ -42,3 +42,19 @@ def test_cells_of_segments_are_not_broadcast(spark):
     d = sp.segments_in_radius(pts, segs, 15.0)
     assert "Broadcast" not in plan(d)
     assert {(r.pid, r.seg) for r in d.collect()} == {(i, j) for i in range(3) for j in range(5) if abs(i - j) <= 1}
+
+
+def test_turns_near_the_pole_take_the_bearings_of_their_legs(spark):
+    import math
+    from geolattice.operators import navigation as nav
+
+    def bearing(a, b):
+        (p, o), (q, r) = [(math.radians(x), math.radians(y)) for x, y in (a, b)]
+        return math.degrees(math.atan2(math.sin(r - o) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(r - o)))
+    lat0 = 89.9
+    place = lambda x, y: (lat0 + y / 111195.0, 10 + x / (111195.0 * math.cos(math.radians(lat0))))
+    pts = [place(*p) for p in ((0, 0), (100, 0), (100, 100), (200, 100), (200, 200))]
+    route = spark.createDataFrame([(1, i, *p, f"R{i}") for i, p in enumerate(pts)], "track long, seq long, lat double, lon double, name string")
+    got = {r.seq: r.turn_deg for r in nav.maneuvers(route, whole_legs=True).collect() if 0 < r.seq < 4}
+    want = {i: (bearing(pts[i], pts[i + 1]) - bearing(pts[i - 1], pts[i]) + 180) % 360 - 180 for i in (1, 2, 3)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
