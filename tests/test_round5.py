@@ -58,3 +58,22 @@ def test_turns_near_the_pole_take_the_bearings_of_their_legs(spark):
     got = {r.seq: r.turn_deg for r in nav.maneuvers(route, whole_legs=True).collect() if 0 < r.seq < 4}
     want = {i: (bearing(pts[i], pts[i + 1]) - bearing(pts[i - 1], pts[i]) + 180) % 360 - 180 for i in (1, 2, 3)}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_arcs_are_not_broadcast_to_twins_headings_and_restrictions(spark):
+    from geolattice.operators import osm, routing as rt
+    way = spark.range(1, 40).select(F.col("id").alias("way"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("id") * 2 + i).alias("refs"), F.create_map(F.lit("highway"), F.lit("primary")).alias("tags"))
+    points = F.array(*[F.struct(F.col(a).cast("double").alias("lat"), F.lit(0.0).alias("lon")) for a in ("src", "dst")])
+    arcs = spark.range(40).selectExpr("id AS arc", "id div 2 AS edge", "id div 2 AS way", "(id + id div 2) % 5 AS src", "(id + id div 2 + 1) % 5 AS dst").withColumn("shape", points)
+    twins = osm.twin_arcs(arcs)
+    seeds = spark.range(5).selectExpr("id AS origin", "id AS node", "10D AS heading")
+    heads = rt.heading_penalty(seeds, arcs)
+    member = lambda typ, ref, role: F.struct(F.lit(typ).alias("type"), ref.alias("ref"), F.lit(role).alias("role"))
+    rel = way.select(F.col("way").alias("id"), F.create_map(F.lit("restriction"), F.lit("no_left_turn")).alias("tags"),
+                     F.array(member("way", F.col("way"), "from"), member("node", F.col("way") % 5, "via"), member("way", F.col("way") + 1, "to")).alias("members"))
+    pairs, counts = osm.turn_restrictions(rel, arcs)
+    assert not [p for p in (twins, heads, pairs) if "Broadcast" in plan(p)]
+    # the count has only one-row tables beside each other
+    assert "BroadcastHashJoin" not in plan(counts)
+    assert {r.arc: r.twin for r in twins.collect()} == {i: i ^ 1 for i in range(40)}
+    assert heads.count() == 40 and counts.count() == 1
