@@ -215,6 +215,23 @@ def _(spark, sf):
 _WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n\\t\\r\\f\\x0B]+'), lambda t: t <> '')"
 
 
+def queries_met(q, d):
+    """Documents (doc_id, c) that may match queries (item_id, q, qt: its words): (doc_id, item_id, q)."""
+    # a match has, for each word of the query, a word that starts with it: words and queries meet on the first eight or four letters of a query's word,
+    # or all of it if it is shorter, and of a query's words the one found in the fewest documents is taken
+    def key(t):
+        n = F.length(t)
+        return F.substring(t, F.lit(1), F.when(n >= 8, 8).when(n >= 4, 4).otherwise(n))
+    words = F.array_distinct(text.tokens(text.ascii_lower(F.col("c"))))
+    starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3, 4, 8)]), lambda n: F.substring(w, F.lit(1), n)))))
+    held = d.select("doc_id", F.explode(starts).alias("k"))
+    keys = q.select("item_id", F.explode(F.array_distinct(F.transform("qt", key))).alias("k"))
+    found = held.join(keys.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("docs"))
+    # a word of no document leaves the query without a match
+    rarest = keys.join(found, "k", "left").groupBy("item_id").agg(F.min_by("k", F.struct(F.coalesce("docs", F.lit(0)), "k")).alias("k"))
+    return held.join(q.join(rarest, "item_id"), "k").select("doc_id", "item_id", "q")
+
+
 @query("F8_match_quality", f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS t FROM benchmark),
  q AS (SELECT item_id, array_to_string(t, ' ') AS q, t AS qt FROM i WHERE len(t) > 0),
  d2 AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c, {_WORDS.format('text')} AS ct FROM documents),
@@ -225,13 +242,9 @@ _WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTU
 def _(spark, sf):
     # typed queries: each whole benchmark text, over the whole texts of all documents
     said = text.tokens(text.ascii_lower(F.col("text")))
-    q = table(spark, sf, "benchmark").select("item_id", said.alias("qt")).filter(F.size("qt") > 0).select("item_id", F.array_join("qt", " ").alias("q"), F.element_at("qt", 1).alias("first"))
+    q = table(spark, sf, "benchmark").select("item_id", said.alias("qt")).filter(F.size("qt") > 0).select("item_id", F.array_join("qt", " ").alias("q"), "qt")
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("c"))
-    # a match has a word that starts with the query's first word: words and queries meet on the first four letters of that word, or all of it if it is shorter
-    q = q.withColumn("k", F.substring("first", 1, 4))
-    words = F.array_distinct(text.tokens(text.ascii_lower(F.col("c"))))
-    starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(w, F.lit(1), n)))))
-    met = d.select("doc_id", F.explode(starts).alias("k")).join(q, "k").select("doc_id", "item_id", "q")
+    met = queries_met(q, d)
     return (met.join(d, "doc_id").select("doc_id", "item_id", text.match_quality(F.col("q"), F.col("c")).cast("int").alias("quality"))
             .filter(F.col("quality") >= 0))
 

@@ -18,3 +18,15 @@ def test_a_search_ends_when_its_trips_cannot_become_cheaper(spark, monkeypatch):
     assert [tuple(r) for r in found.collect()] == [(1, True, 30.0)]
     assert [r.arc for r in way.orderBy("n").collect()] == [40, 42, 44, 46]
     assert labels[0].count() <= 10
+
+
+def test_queries_and_words_meet_on_the_rarest_word(spark, tmp_path):
+    from geolattice import plans
+    spark.createDataFrame([(i, f"common words of document {i}") for i in range(20)] + [(20, "Common  phrases seldom"), (21, "common words and zebra crossing")],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "common zeb"), (2, "common phrases sel"), (3, "common nowhere"), (4, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = plans.QUERIES["F8_match_quality"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in d.collect()) == [(20, 2, 2), (21, 1, 2)]
+    from geolattice.plans import features
+    q = spark.createDataFrame([(1, "common zeb", ["common", "zeb"]), (3, "common nowhere", ["common", "nowhere"])], "item_id long, q string, qt array<string>")
+    assert [(r.doc_id, r.item_id) for r in features.queries_met(q, spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("text", "c")).collect()] == [(21, 1)]
