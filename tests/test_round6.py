@@ -20,6 +20,17 @@ def test_a_search_ends_when_its_trips_cannot_become_cheaper(spark, monkeypatch):
     assert labels[0].count() <= 10
 
 
+def test_only_arcs_of_a_restriction_have_states_of_their_own(spark):
+    from geolattice.operators import routing as rt
+    # 30 arcs from node 1 to node 2; one of them may not go on by arc 101
+    rows = [(i, 1, 2, float(i)) for i in range(1, 31)] + [(101, 2, 3, 1.0), (102, 2, 4, 1.0)]
+    arcs = spark.createDataFrame(rows, "arc long, src long, dst long, w double")
+    res = spark.createDataFrame([(2, 1, 101, "no")], "via long, from_arc long, to_arc long, kind string")
+    seeds = spark.createDataFrame([(1, 1)], "origin long, node long")
+    st = rt.cost_distance(seeds, arcs, F.col("w"), res)
+    assert {(r.node, r.in_arc): r.cost for r in st.collect()} == {(1, -1): 0.0, (2, 1): 1.0, (2, -1): 2.0, (3, -1): 3.0, (4, -1): 2.0}
+
+
 def test_queries_and_words_meet_on_the_rarest_word(spark, tmp_path):
     from geolattice import plans
     spark.createDataFrame([(i, f"common words of document {i}") for i in range(20)] + [(20, "Common  phrases seldom"), (21, "common words and zebra crossing")],
