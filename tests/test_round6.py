@@ -31,6 +31,16 @@ def test_only_arcs_of_a_restriction_have_states_of_their_own(spark):
     assert {(r.node, r.in_arc): r.cost for r in st.collect()} == {(1, -1): 0.0, (2, 1): 1.0, (2, -1): 2.0, (3, -1): 3.0, (4, -1): 2.0}
 
 
+def test_edges_of_components_are_not_broadcast(spark, monkeypatch):
+    from geolattice.operators import components as co
+    plans = []
+    cut = co.cut_lineage
+    monkeypatch.setattr(co, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    got = co.components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "u long, v long"))
+    assert {(r.node, r.label) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_queries_and_words_meet_on_the_rarest_word(spark, tmp_path):
     from geolattice import plans
     spark.createDataFrame([(i, f"common words of document {i}") for i in range(20)] + [(20, "Common  phrases seldom"), (21, "common words and zebra crossing")],
