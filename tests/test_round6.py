@@ -51,3 +51,9 @@ def test_queries_and_words_meet_on_the_rarest_word(spark, tmp_path):
     from geolattice.plans import features
     q = spark.createDataFrame([(1, "common zeb", ["common", "zeb"]), (3, "common nowhere", ["common", "nowhere"])], "item_id long, q string, qt array<string>")
     assert [(r.doc_id, r.item_id) for r in features.queries_met(q, spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("text", "c")).collect()] == [(21, 1)]
+
+
+def test_the_column_of_longitude_180(spark):
+    from geolattice.functions import sql
+    sql.register(spark)
+    assert tuple(spark.sql("SELECT tile_x(180D, 10), tile_x(180D, 10, false), tile_x(-180D, 10, false)").first()) == (1023, 1024, 0)
