@@ -31,6 +31,23 @@ def test_only_arcs_of_a_restriction_have_states_of_their_own(spark):
     assert {(r.node, r.in_arc): r.cost for r in st.collect()} == {(1, -1): 0.0, (2, 1): 1.0, (2, -1): 2.0, (3, -1): 3.0, (4, -1): 2.0}
 
 
+def crowd(spark):
+    """400 boxes within 30 m, one more 50 m off and one far away, all of one name."""
+    d = spark.range(400).selectExpr("id AS seq", "32 + (id div 20) * 1e-5D AS s", "-80 + (id % 20) * 1e-5D AS w")
+    d = d.union(spark.createDataFrame([(400, 32.0006, -80.0), (401, 32.1, -80.0)], "seq long, s double, w double"))
+    return d.selectExpr("seq", "'a' AS title", "s", "w", "s + 1e-5D AS n", "w + 1e-5D AS e", "s AS anchor_lat", "w AS anchor_lon", "1 AS quality", "1 AS rank")
+
+
+def test_a_crowd_of_boxes_is_merged_without_all_its_pairs(spark, monkeypatch):
+    from geolattice.operators import search
+    links = []
+    whole = search.components
+    monkeypatch.setattr(search, "components", lambda e: links.append(e.count()) or whole(e))
+    got = search.merge_pieces(crowd(spark), 60.0, ["title"])
+    assert {(r.seq, r.pieces) for r in got.collect()} == {(0, 401), (401, 1)}
+    assert max(links) < 13 * 402
+
+
 def test_edges_of_components_are_not_broadcast(spark, monkeypatch):
     from geolattice.operators import components as co
     plans = []
