@@ -52,7 +52,7 @@ def assign_ids(df: DataFrame) -> DataFrame:
     d = df.withColumn("_g", F.lit(0))
     # files are numbered by name; there are far fewer files than features
     files = d.select("file").distinct()
-    files = files.withColumn("_fn", F.row_number().over(Window.orderBy("file")))
+    files = files.withColumn("_fn", F.row_number().over(Window.orderBy("file")).cast("long"))
     o = Ordered(d.join(files, "file"), ["_g"], ["_fn", "pos"], F.col("_fn") * 1000000 + F.floor(F.col("pos") / 10000)).running(sums={"_n": F.lit(1).cast("long")}).result()
     return o.crossJoin(F.broadcast(ok)).withColumn("id", F.when(F.col("_keep"), F.col("fid")).otherwise(F.col("_n"))).drop("_g", "_fn", "_n", "_keep", "fid")
 
