@@ -123,7 +123,10 @@ def alarms(cpa_rows: DataFrame, cpa_m: float = 926.0, tcpa_s: float = 600.0, rel
 
 
 def assemble_fixes(lines: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
-    """Sentences sharing a time of day as one fix per feed; dated by the last RMC date heard when it closes."""
+    """Sentences sharing a time of day as one fix per feed: the first time of day of the group, dated by the last RMC date heard when it closes.
+
+    A group still open at the end has the first date heard in it.
+    """
     # each ordered step reads its input twice, so the parsed lines are kept, and so are the groups
     p = cut_lineage(nmea.with_reading(lines).filter(F.col("r").isNotNull() & (F.col("r.type") != "HDT")).select("feed", "t", "seq", "r.*"))
     o = Ordered(p, ["feed"], ["t", "seq"], time_chunk(F.col("t"), CHUNK)).running(lasts={"_tod": F.col("tod_s")}, inclusive=False)
@@ -133,11 +136,14 @@ def assemble_fixes(lines: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
 
     def last(c):
         return F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
-    g = o.result().groupBy("feed", "grp").agg(F.min(at).alias("first"), F.max_by("_date", at).alias("_date"), F.min_by("date", at).alias("_opens"),
-                                              *[last(c) for c in ("lat", "lon", "speed_mps", "heading_deg", "tod_s", "satellites", "hdop", "alt_m")])
+
+    def first(c):
+        return F.min_by(c, F.when(F.col(c).isNotNull(), at))
+    g = o.result().groupBy("feed", "grp").agg(F.min(at).alias("first"), F.max_by("_date", at).alias("_date"), F.min_by("date", at).alias("_opens"), first("date").alias("_own"), first("tod_s").alias("tod_s"),
+                                              *[last(c) for c in ("lat", "lon", "speed_mps", "heading_deg", "satellites", "hdop", "alt_m")])
     # the sentence that closes a group is the first of the next one, and its date already counts
     q = Ordered(cut_lineage(g.withColumn("t", F.col("first.t"))), ["feed"], ["grp"], time_chunk(F.col("t"), CHUNK)).following(opens=F.col("_opens")).result()
-    date = F.coalesce("next_opens", "_date")
+    date = F.when(F.col("is_last"), F.coalesce("_own", "_date")).otherwise(F.coalesce("next_opens", "_date"))
     when = F.when(F.col("tod_s").isNotNull() & date.isNotNull(), F.unix_date(date) * 86400.0 + F.col("tod_s"))
     return q.filter(F.col("lat").isNotNull()).select("feed", "grp", when.alias("fix_t"), "lat", "lon", "speed_mps", "heading_deg", "satellites", "hdop", "alt_m")
 

@@ -9,3 +9,17 @@ def test_features_of_many_files_are_numbered(spark):
     d = spark.range(2200).selectExpr("concat('f', lpad(id, 5, '0')) AS file", "0 AS pos", "cast(null as bigint) AS fid", "id")
     got = vector.assign_ids(d.withColumnRenamed("id", "row"))
     assert got.filter("id <> row + 1").count() == 0 and got.count() == 2200
+
+
+def test_a_fix_takes_the_first_time_of_its_group(spark, tmp_path):
+    import duckdb
+    from compare import compare
+    from geolattice import plans
+    # two days apart at nearly the same time of day: one group, once closed by another and once the last
+    rows = [(1, 1, "2024-01-01 10:00:00.100"), (2, 1, "2024-01-03 10:00:00.130"), (3, 1, "2024-01-04 11:00:00"), (4, 2, "2024-01-01 10:00:00.200"), (5, 2, "2024-01-02 10:00:00.210")]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "'view' AS event_type", "1D AS value").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    name = "T4_assemble_fixes"
+    assert compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLES[name]) == (3, "")
