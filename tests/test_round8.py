@@ -23,3 +23,17 @@ def test_a_fix_takes_the_first_time_of_its_group(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
     name = "T4_assemble_fixes"
     assert compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLES[name]) == (3, "")
+
+
+def test_a_turn_after_a_first_leg_without_length(spark, tmp_path):
+    import duckdb
+    from compare import compare
+    from geolattice import plans
+    # these users ride at latitudes 990 and 1170, where the first leg runs along the pole
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame([(1, 48000), (2, 57000), (3, 20)], "event_id long, user_id long").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    name = "W15_junction_turns"
+    n, fault = compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLES[name])
+    assert n > 20 and fault == ""
