@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo
 from ..session import cut_lineage
 from .ordered import Ordered, asof, fold
-from .spatial import segment_cells
 
 # Seconds and metres of the rings, of leaving and rejoining, of arriving, and how far around the last place the next is sought.
 RINGS = {"heads_up": (30.0, 100.0, 400.0), "act_now": (8.0, 20.0, 80.0), "at": (1.5, 10.0, None)}
@@ -44,26 +43,55 @@ def on_route_places(fixes: DataFrame, segs: DataFrame) -> DataFrame:
 
     Distances count to the micrometre, places to the millimetre, so that equal ones are equal however they were added up. All places within OFF_ROUTE_M; where there is none, the nearest ones of the whole route. Fix and segment meet on (ride, cell); fixes that meet none look again
     with a wider reach, until every fix of a ride with a route has a place.
+
+    A cell is one reach high. It is as wide as a reach at the ride's highest latitude, so that near a pole, where degrees of longitude shrink, neither a fix nor a leg has many cells. A leg lies in one piece,
+    beyond 180 where it crosses the antimeridian; a fix is sought a turn on or back where the ride's box reaches there. Longitudes more than a turn apart are none from -180 to 180 and stay as they are.
     """
-    shape = segs.select(F.struct("ride", "i", "s0", "s1").alias("seg"), "alat", "alon", "blat", "blon")
-    left, reach, found = cut_lineage(fixes.join(segs.select("ride").distinct(), "ride", "left_semi").select("ride", "seq", "lat", "lon")), OFF_ROUTE_M, []
+    scale = lambda lat: F.abs(F.cos(F.radians(F.col(lat))))
+    ends = fixes.select("ride", scale("lat").alias("c")).unionByName(segs.select("ride", F.least(scale("alat"), scale("blat")).alias("c"))).groupBy("ride").agg(F.min("c").alias("_c"))
+    gap = F.col("blon") - F.col("alon")
+    legs = segs.select("ride", F.struct("i", "s0", "s1").alias("seg"), "alat", "alon", "blat", F.when(F.abs(gap) <= 360.0, F.col("alon") + geo.normalize_lon(gap)).otherwise(F.col("blon")).alias("blon"))
+    box = legs.groupBy("ride").agg(F.min(F.least("alon", "blon")).alias("_w"), F.max(F.greatest("alon", "blon")).alias("_e"))
+    legs = cut_lineage(legs.join(ends.hint("merge"), "ride"))
+    left = cut_lineage(fixes.select("ride", "seq", "lat", "lon").join(box.join(ends.hint("merge"), "ride").hint("merge"), "ride"))
+    reach, found = OFF_ROUTE_M, []
     while True:
         top = reach / geo.M_PER_DEG
-        wide = top / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("lat")))) + 1e-9
-        probe = (left.withColumn("_row", F.explode(F.sequence(F.floor((F.col("lat") - top - 1e-9) / top), F.floor((F.col("lat") + top + 1e-9) / top))))
-                 .withColumn("_col", F.explode(F.sequence(F.floor((F.col("lon") - wide) / top), F.floor((F.col("lon") + wide) / top)))))
-        cells = segment_cells(shape, top, 0).withColumn("ride", F.col("seg.ride"))
-        j = geo.with_projection(probe.join(cells, ["ride", "_row", "_col"]), "p", "lat", "lon", "alat", "alon", "blat", "blon")
-        share = F.coalesce(F.try_divide(F.col("p.along_m"), F.col("p.length_m")), F.lit(0.0))
-        here = (F.floor(F.col("p.lat") / top) == F.col("_row")) & (F.floor(F.col("p.lon") / top) == F.col("_col"))
-        hit = cut_lineage(j.filter(here & (F.col("p.distance_m") <= reach)).select(
-            "ride", "seq", F.col("seg.i").alias("i"), F.round("p.distance_m", 6).alias("cross"), F.round(F.col("seg.s0") + (F.col("seg.s1") - F.col("seg.s0")) * share, 3).alias("along"),
-            F.col("seg.s0").alias("s0"), F.col("seg.s1").alias("s1")))
+        wide = F.lit(top) / F.col("_c")
+
+        def around(low, high, size, pad):
+            return F.explode(F.sequence(F.floor(low / size - pad), F.floor(high / size + pad)))
+        far = top / scale("lat") + 1e-9
+        turn = F.filter(F.array(F.lit(0.0), F.when(F.col("lon") + 360.0 - far <= F.col("_e"), 360.0), F.when(F.col("lon") - 360.0 + far >= F.col("_w"), -360.0)), lambda x: x.isNotNull())
+        probe = (left.withColumn("_turn", F.explode(turn)).withColumn("_x", F.col("lon") + F.col("_turn"))
+                 .withColumn("_row", around(F.col("lat") - top, F.col("lat") + top, F.lit(top), 1e-5))
+                 .withColumn("_col", around(F.col("_x") - top / scale("lat"), F.col("_x") + top / scale("lat"), wide, 1e-5)).drop("_c"))
+        cut = legs.withColumn("_dlon", F.col("blon") - F.col("alon")).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("blat") - F.col("alat")) / top, F.abs("_dlon") / wide))))
+        cut = cut.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+
+        def at(a, d, k):
+            return F.col(a) + d * k / F.col("_n")
+        la, lb = [at("alat", F.col("blat") - F.col("alat"), F.col("_k") + k) for k in (0, 1)]
+        oa, ob = [at("alon", F.col("_dlon"), F.col("_k") + k) for k in (0, 1)]
+        cells = (cut.withColumn("_row", around(F.least(la, lb), F.greatest(la, lb), F.lit(top), 1e-5)).withColumn("_col", around(F.least(oa, ob), F.greatest(oa, ob), wide, 1e-5))
+                 .select("ride", "_row", "_col", "seg", "alat", "alon", "blat", "blon", "_c").distinct())
+        c = F.col
+        way = F.abs(c("alon") - c("_x"))
+        j = probe.join(cells.hint("merge"), ["ride", "_row", "_col"]).filter((way <= 180.0) | ((c("_turn") == 0.0) & (way > 360.0)))
+        mx = geo.M_PER_DEG * scale("lat")
+        # worked out in steps, so that later filters do not copy them
+        j = geo.pinned(j, _ax=(c("alon") - c("_x")) * mx, _ay=(c("alat") - c("lat")) * geo.M_PER_DEG, _dx=(c("blon") - c("alon")) * mx, _dy=(c("blat") - c("alat")) * geo.M_PER_DEG)
+        j = geo.pinned(j, _share=F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(-(c("_ax") * c("_dx") + c("_ay") * c("_dy")), c("_dx") * c("_dx") + c("_dy") * c("_dy")))))
+        j = geo.pinned(j, _px=c("_ax") + c("_share") * c("_dx"), _py=c("_ay") + c("_share") * c("_dy"))
+        here = (F.floor((c("lat") + c("_py") / geo.M_PER_DEG) / top) == c("_row")) & (F.floor((c("_x") + c("_px") / mx) / wide) == c("_col"))
+        cross = F.sqrt(c("_px") * c("_px") + c("_py") * c("_py"))
+        hit = cut_lineage(j.filter(here & (cross <= reach)).select(
+            "ride", "seq", c("seg.i").alias("i"), F.round(cross, 6).alias("cross"), F.round(c("seg.s0") + (c("seg.s1") - c("seg.s0")) * c("_share"), 3).alias("along"), c("seg.s0").alias("s0"), c("seg.s1").alias("s1")))
         if reach > OFF_ROUTE_M:   # off the route only the nearest counts; equal ones are told apart by the window
             least = hit.groupBy("ride", "seq").agg(F.min("cross").alias("_least"))
-            hit = hit.join(least, ["ride", "seq"]).filter(F.col("cross") <= F.col("_least") + 1e-6).drop("_least")
+            hit = hit.join(least.hint("merge"), ["ride", "seq"]).filter(F.col("cross") <= F.col("_least") + 1e-6).drop("_least")
         found.append(hit)
-        left = cut_lineage(left.join(hit.select("ride", "seq").distinct(), ["ride", "seq"], "left_anti"))
+        left = cut_lineage(left.join(hit.select("ride", "seq").distinct().hint("merge"), ["ride", "seq"], "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
         reach *= 8.0

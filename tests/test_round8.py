@@ -37,3 +37,23 @@ def test_a_turn_after_a_first_leg_without_length(spark, tmp_path):
     name = "W15_junction_turns"
     n, fault = compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLES[name])
     assert n > 20 and fault == ""
+
+
+def test_rides_along_a_pole_and_over_the_antimeridian(spark, tmp_path):
+    import duckdb
+    from compare import compare
+    from geolattice import plans
+    from geolattice.operators import guidance as gd
+    # latitudes 89.98, 90, 150 and 1170
+    path = f"{tmp_path}/events.parquet"
+    spark.range(160).selectExpr("id AS event_id", "element_at(array(2999L, 3000L, 6000L, 57000L), cast(id % 4 + 1 AS int)) AS user_id").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    name = "T13_guidance"
+    n, fault = compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLES[name])
+    assert n > 20 and fault == ""
+    # one leg west of the line, one over it, one east of it
+    pts = spark.createDataFrame([(1, 0, 10.0, 179.998), (1, 1, 10.0, 179.9995), (1, 2, 10.0, -179.9995), (1, 3, 10.0, -179.998)], "ride long, i long, lat double, lon double")
+    fix = spark.createDataFrame([(1, k, 10.00001, lon) for k, lon in enumerate([179.999, 179.9999, -179.9999, -179.999])], "ride long, seq long, lat double, lon double")
+    got = gd.on_route_places(fix, gd.route_segments(pts)).groupBy("seq").agg(F.min(F.struct("cross", "i")).alias("m")).collect()
+    assert sorted((r.seq, r.m.i, round(r.m.cross, 1)) for r in got) == [(0, 0, 1.1), (1, 1, 1.1), (2, 1, 1.1), (3, 2, 1.1)]
