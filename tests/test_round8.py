@@ -57,3 +57,24 @@ def test_rides_along_a_pole_and_over_the_antimeridian(spark, tmp_path):
     fix = spark.createDataFrame([(1, k, 10.00001, lon) for k, lon in enumerate([179.999, 179.9999, -179.9999, -179.999])], "ride long, seq long, lat double, lon double")
     got = gd.on_route_places(fix, gd.route_segments(pts)).groupBy("seq").agg(F.min(F.struct("cross", "i")).alias("m")).collect()
     assert sorted((r.seq, r.m.i, round(r.m.cross, 1)) for r in got) == [(0, 0, 1.1), (1, 1, 1.1), (2, 1, 1.1), (3, 2, 1.1)]
+
+
+def test_routes_of_any_cost_are_found(spark, duck):
+    from compare import compare
+    from geolattice import plans
+    name, sf = "G4_G6_arc_ends", "/root/testdata/sf0.001"
+    assert compare(spark, duck, sf, name, plans.QUERIES[name], plans.ORACLES[name]) == (130, "")
+    assert max(r.cost or 0 for r in plans.QUERIES[name](spark, sf).collect()) > 300
+
+
+def test_a_search_without_a_limit_ends_when_an_end_is_cut_off(spark, monkeypatch):
+    from geolattice.operators import arc_routes as ar
+    # a street of 20 blocks, and one that only leads into it
+    arcs = spark.range(20).selectExpr("id * 2 AS arc", "id AS edge", "id AS src", "id + 1 AS dst").union(spark.createDataFrame([(500, 500, 900, 5), (501, 501, 901, 900)], "arc long, edge long, src long, dst long"))
+    arcs = arcs.selectExpr("*", "10D AS w", "array(named_struct('lat', src * 0.001D, 'lon', 0D), named_struct('lat', dst * 0.001D, 'lon', 0D)) AS shape")
+    trips = spark.createDataFrame([(1, None, 0, 0.5, None, 500, 0.5, None), (2, None, 4, 0.5, None, 30, 0.5, None)], "trip long, from_node long, from_arc long, from_at double, to_node long, to_arc long, to_at double, heading double")
+    labels, steps = [], ar._steps
+    monkeypatch.setattr(ar, "_steps", lambda t, b, l: labels.append(l) or steps(t, b, l))
+    found, _ = ar.arc_routes(trips, arcs, F.col("w"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, False, None), (2, True, 130.0)]
+    assert labels[0].filter("origin.from_arc = 0").count() <= 10
